@@ -137,10 +137,13 @@ def smallest(df: DataFrame, keys: Sequence[str], order: str, quota: DataFrame, t
     )
     marked = df.join(cut, keys)
     under = marked.where(F.col(order) < F.col("_cut"))
-    edge = Window.partitionBy(*keys).orderBy(tie)
-    at_cut = (
-        marked.where(F.col(order) == F.col("_cut"))
-        .withColumn("_rank", F.row_number().over(edge))
-        .where(F.col("_rank") <= F.col("_left"))
-    )
+    at_cut = marked.where(F.col(order) == F.col("_cut"))
+    # Copies of one row share its place: keep at most the quota per input slice, then overall.
+    for part in ([*keys, "_slice"], keys):
+        edge = Window.partitionBy(*part).orderBy(tie)
+        at_cut = (
+            at_cut.withColumn("_slice", F.spark_partition_id())
+            .withColumn("_rank", F.row_number().over(edge))
+            .where(F.col("_rank") <= F.col("_left"))
+        )
     return under.select(*df.columns).unionByName(at_cut.select(*df.columns))

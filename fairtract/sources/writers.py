@@ -60,28 +60,28 @@ def write_features(df: DataFrame, folder: str, columns: Sequence[str] = names.FE
     text.hint("rebalance", "state").write.partitionBy("state").text(folder)
 
 
-def _pieces(df: DataFrame, key: Column, per_piece: int) -> DataFrame:
+def _pieces(df: DataFrame, spread: Column, per_piece: int) -> DataFrame:
     """Spread the rows of each state over pieces of about ``per_piece`` rows."""
     sizes = df.groupBy("state").agg(F.ceil(F.count("*") / F.lit(per_piece)).alias("pieces"))
-    return df.join(stage(sizes, "sizes"), "state").withColumn(
-        "piece", F.pmod(F.xxhash64(key), F.col("pieces"))
-    )
+    numbered = df.withColumn("spread", spread)
+    return numbered.join(stage(sizes, "sizes"), "state").withColumn("piece", F.pmod("spread", "pieces"))
 
 
 def write_feature_collections(
     df: DataFrame,
     folder: str,
     columns: Sequence[str] = names.FEATURE_COLUMNS,
-    per_document: int = 20_000,
+    per_document: int = 2_000,
 ) -> None:
     """Whole ``FeatureCollection`` documents, one per line.
 
     A state larger than ``per_document`` is split into several documents, so
-    no task ever holds a whole state.
+    no task ever holds a whole state. Rows are dealt out by their position in
+    a stored table: a hash would put all copies of one feature together.
     """
-    text = _feature_text(features(df.where(F.col(STATE).isNotNull()), columns))
+    text = stage(_feature_text(features(df.where(F.col(STATE).isNotNull()), columns)), "features")
     documents = (
-        _pieces(text, F.col("value"), per_document)
+        _pieces(text, F.monotonically_increasing_id(), per_document)
         .groupBy("state", "piece")
         .agg(F.array_join(F.collect_list("value"), ",").alias("body"))
         .select(
@@ -98,7 +98,7 @@ def write_keyed_json(
     key: str,
     value: Column | None = None,
     state: str = STATE,
-    per_object: int = 20_000,
+    per_object: int = 5_000,
 ) -> None:
     """JSON objects keyed by id under ``state=XX`` folders, one object per line.
 
@@ -113,7 +113,7 @@ def write_keyed_json(
         F.col(key).alias("entry_key"),
     )
     objects = (
-        _pieces(entries, F.col("entry_key"), per_object)
+        _pieces(entries, F.xxhash64("entry_key"), per_object)
         .groupBy("state", "piece")
         .agg(F.array_join(F.collect_list("entry"), ",").alias("body"))
         .select("state", F.concat(F.lit("{"), "body", F.lit("}")).alias("value"))
@@ -133,15 +133,16 @@ def last_by_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
 
 
 def fips_table(df: DataFrame, order: str = STATE) -> DataFrame:
-    """FIPS code and state; where two states share a code the last one by ``order`` wins."""
+    """FIPS code and state; where two states share a code the last one by ``order`` wins.
+
+    The table is stored, so that look-ups neither scan the tracts again nor
+    shuffle by a code that a third of all tracts may share.
+    """
     pairs = df.select(
         state_fips(geoid11_int(F.col("ID"))).alias("fips"), F.col(STATE), F.col(order).alias("_order")
     )
-    return (
-        pairs.where(F.col("fips").isNotNull())
-        .groupBy("fips")
-        .agg(F.max_by(STATE, "_order").alias(STATE))
-    )
+    last = F.max_by(STATE, "_order").alias(STATE)
+    return stage(pairs.where(F.col("fips").isNotNull()).groupBy("fips").agg(last), "fips")
 
 
 def manifest(df: DataFrame, indicators: dict[str, str] = names.INDICATOR_LABELS) -> DataFrame:

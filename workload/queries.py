@@ -281,8 +281,7 @@ def _(spark, sf):
 @query("tract_by_id", f"{UNIT} select {', '.join(BASE)}, {_r(P_COLUMNS)} from unit where ID = 1000000103")
 def _(spark, sf):
     unit = tables.unit(spark, sf)
-    fips = writers.fips_table(unit)
-    return rounded(select.tract_by_id(unit, fips, "01000000103").select(*BASE, *P_COLUMNS), P_COLUMNS)
+    return rounded(select.tract_by_id(unit, tables.fips(spark, sf), "01000000103").select(*BASE, *P_COLUMNS), P_COLUMNS)
 
 
 @query("tracts_by_ids", f"{UNIT} select ID, ST_ABBREV, {_r(['P_CANCER'])} from unit where DEMOGIDX_2 > 0.5")
@@ -290,7 +289,7 @@ def _(spark, sf):
     unit = tables.unit(spark, sf)
     wanted = unit.where(F.col("DEMOGIDX_2") > 0.5).select(F.concat(F.lit("tract "), "ID").alias("id"))
     unknown = unit.select(F.concat(F.lit("99"), F.lpad(F.col("ID").cast("string"), 9, "0")).alias("id"))
-    found = select.tracts_by_ids(unit, writers.fips_table(unit), wanted.unionByName(unknown))
+    found = select.tracts_by_ids(unit, tables.fips(spark, sf), wanted.unionByName(unknown))
     return rounded(found.select("ID", "ST_ABBREV", "P_CANCER"), ["P_CANCER"])
 
 
@@ -460,7 +459,7 @@ def _(spark, sf):
     ids = tables.table(spark, sf, "customer").select(
         scalars.geoid11_int((F.col("c_nationkey") % 7 + 1).cast("bigint") * 1000000000 + F.col("c_custkey")).alias("geoid11")
     )
-    return joins.attach_state(ids, writers.fips_table(tables.unit(spark, sf)))
+    return joins.attach_state(ids, tables.fips(spark, sf))
 
 
 # ---- aggregations --------------------------------------------------------------------------
@@ -578,7 +577,7 @@ e0 as (select {head} min(v) lo, max(v) hi from h0 where v is not null {f"group b
 e as (select {head} case when lo=hi then lo-0.5 else lo end lo, case when lo=hi then hi+0.5 else hi end hi from e0),
 h as (select {head} least(cast(floor((v-lo)/((hi-lo)/{bins})) as int), {bins - 1}) bin, count(*) n from h0 join e {using} where v is not null group by all),
 g as (select *, unnest(range({bins})) bin from e)
-select {cols} cast(g.bin as int) bin, {r6(f"lo+g.bin*((hi-lo)/{bins})")} bin_start, {r6(f"lo+(g.bin+1)*((hi-lo)/{bins})")} bin_end, coalesce(n,0) n
+select {cols} cast(g.bin as int) bin, {r6(f"lo+g.bin*((hi-lo)/{bins})", 9)} bin_start, {r6(f"lo+(g.bin+1)*((hi-lo)/{bins})", 9)} bin_end, coalesce(n,0) n
 from g left join h on {on} g.bin=h.bin"""
 
 
@@ -590,12 +589,12 @@ def _(spark, sf):
     rows = tables.unit(spark, sf).select(
         "ST_ABBREV", F.coalesce(F.col("P_CANCER") >= 50, F.lit(False)).alias("flag"), F.round("DEMOGIDX_2", 6).alias("v")
     )
-    return rounded(aggregates.histogram(rows, "v", 40, ["ST_ABBREV", "flag"]), ["bin_start", "bin_end"])
+    return rounded(aggregates.histogram(rows, "v", 40, ["ST_ABBREV", "flag"]), ["bin_start", "bin_end"], 9)
 
 
 @query("histogram_all", _histogram(f"{UNIT}, h0 as (select P_RESP v from unit)", "", 50))
 def _(spark, sf):
-    return rounded(aggregates.histogram(tables.unit(spark, sf), "P_RESP", 50), ["bin_start", "bin_end"])
+    return rounded(aggregates.histogram(tables.unit(spark, sf), "P_RESP", 50), ["bin_start", "bin_end"], 9)
 
 
 @query("driver_importance", f"{DRIVERS} select outcome, feature, {r6('avg(abs(shap))', 5)} mean_abs_shap from drv group by 1,2")

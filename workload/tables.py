@@ -15,7 +15,7 @@ from fairtract.functions.scalars import geoid11_int, zero_pad
 from fairtract.operators.drivers import nest_drivers, top_drivers_wide
 from fairtract.operators.ranks import cumulative_counts, percent_rank, rank_columns
 from fairtract.operators.select import complete_cases
-from fairtract.sources.writers import write_tracts
+from fairtract.sources.writers import fips_table, write_tracts
 from fairtract.staging import new_path, stage
 
 MEASURES = [
@@ -129,6 +129,11 @@ def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(built.schema).parquet(path).select(*built.columns)
 
 
+@_once("fips")
+def fips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fips_table(unit(spark, sf_dir))
+
+
 @_once("index")
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second index with misses; blanks around the id test the trim."""
