@@ -155,21 +155,22 @@ def leaf_table(spark, fitted: OutcomeModel) -> LeafTable:
     return LeafTable(np.array([v for v, _ in leaves]), feature, low, high)
 
 
-def pattern_counts(df: DataFrame, features: Sequence[str], leaves: LeafTable) -> DataFrame:
-    """Background rows per leaf and pattern; each task emits its own totals only."""
-    features, size = list(features), 1 << leaves.slots
-    count = len(leaves.value)
+def pattern_counts(df: DataFrame, features: Sequence[str], models: Sequence[LeafTable]) -> DataFrame:
+    """Background rows per model, leaf and pattern; each task emits its own totals only."""
+    features = list(features)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros(count * size, dtype=np.int64)
-        base = np.arange(count) * size
+        totals = [np.zeros(len(m.value) << m.slots, dtype=np.int64) for m in models]
         for x in _chunks(batches, features):
-            totals += np.bincount((leaves.patterns(x) + base).ravel(), minlength=count * size)
-        hit = np.flatnonzero(totals)
-        yield pd.DataFrame({"leaf": hit // size, "pattern": hit % size, "n": totals[hit]})
+            for m, total in zip(models, totals):
+                cells = m.patterns(x) + (np.arange(len(m.value)) << m.slots)
+                total += np.bincount(cells.ravel(), minlength=len(total))
+        for i, total in enumerate(totals):
+            hit = np.flatnonzero(total)
+            yield pd.DataFrame({"model": i, "cell": hit, "n": total[hit]})
 
-    partial = df.select(*features).mapInPandas(tally, "leaf long, pattern long, n long")
-    return partial.groupBy("leaf", "pattern").agg(F.sum("n").alias("n"))
+    partial = df.select(*features).mapInPandas(tally, "model int, cell long, n long")
+    return partial.groupBy("model", "cell").agg(F.sum("n").alias("n"))
 
 
 def _chunks(batches: Iterator[pd.DataFrame], features: list[str]) -> Iterator[np.ndarray]:
@@ -206,37 +207,50 @@ def contribution_table(leaves: LeafTable, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Explainer:
+    """Leaves of one model with the contribution of every leaf, pattern and slot."""
+
+    leaves: LeafTable
+    table: np.ndarray
+    to_feature: np.ndarray
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        phi = self.table[np.arange(len(self.leaves.value)), self.leaves.patterns(x)]
+        return phi.reshape(len(x), -1) @ self.to_feature
+
+
+def _explainer(leaves: LeafTable, counts: np.ndarray, width: int) -> Explainer:
+    to_feature = np.zeros((*leaves.feature.shape, width))
+    used = np.isfinite(leaves.low) | np.isfinite(leaves.high)
+    for leaf, slot in zip(*np.nonzero(used)):
+        to_feature[leaf, slot, leaves.feature[leaf, slot]] = 1.0
+    return Explainer(leaves, contribution_table(leaves, counts), to_feature.reshape(-1, width))
+
+
 def tree_shap(
-    df: DataFrame, fitted: OutcomeModel, background: DataFrame | None = None
+    df: DataFrame, models: Sequence[OutcomeModel], background: DataFrame | None = None
 ) -> DataFrame:
     """Add ``shap_<outcome>_<feature>`` columns; each row's sum is its prediction minus the background mean.
 
-    The background is the whole input unless another table is given.
+    All models must share their features, and are explained in one pass. The
+    background is the whole input unless another table is given.
     """
-    spark, features = df.sparkSession, fitted.features
-    leaves = leaf_table(spark, fitted)
-    size = 1 << leaves.slots
-    counts = np.zeros((len(leaves.value), size))
-    # At most leaves x 2^depth rows come back, a bound set by the model.
+    features = models[0].features
+    leaves = [leaf_table(df.sparkSession, m) for m in models]
+    counts = [np.zeros(len(m.value) << m.slots) for m in leaves]
+    # At most leaves x 2^depth rows come back per model, a bound set by the model.
     for row in pattern_counts(background if background is not None else df, features, leaves).collect():
-        counts[row.leaf, row.pattern] = row.n
-    table = contribution_table(leaves, counts)
-    added = [f"shap_{fitted.outcome}_{f}" for f in features]
-    leaf_numbers = np.arange(len(leaves.value))
-    # Contributions of slots that share a feature are summed by one matrix product.
-    to_feature = np.zeros((len(leaves.value), leaves.slots, len(features)))
-    used = np.isfinite(leaves.low) | np.isfinite(leaves.high)
-    for leaf, slot in zip(*np.nonzero(used)):
-        to_feature[leaf, slot, leaves.feature[leaf, slot]] = 1.0
-    to_feature = to_feature.reshape(-1, len(features))
+        counts[row.model][row.cell] = row.n
+    explainers = [
+        _explainer(m, total.reshape(len(m.value), -1), len(features)) for m, total in zip(leaves, counts)
+    ]
+    added = [f"shap_{m.outcome}_{f}" for m in models for f in features]
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for x in _chunks(iter([batch]), features):
-                phi = table[leaf_numbers, leaves.patterns(x)]
-                parts.append(phi.reshape(len(x), -1) @ to_feature)
-            shap = np.concatenate(parts) if parts else np.zeros((0, len(features)))
+            parts = [np.hstack([e.contributions(x) for e in explainers]) for x in _chunks(iter([batch]), features)]
+            shap = np.concatenate(parts) if parts else np.zeros((0, len(added)))
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(shap, columns=added)], axis=1)
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])

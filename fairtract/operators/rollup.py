@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtract.functions.scalars import county_or_unknown
-from fairtract.schema import ROLLUP_DEMOGRAPHICS, ROLLUP_ENVIRONMENT
+from fairtract.schema import OUTCOME_COLUMNS, ROLLUP_DEMOGRAPHICS, ROLLUP_ENVIRONMENT
 
 STATE = "ST_ABBREV"
 MEASURES = [*ROLLUP_ENVIRONMENT, *ROLLUP_DEMOGRAPHICS]
@@ -51,25 +51,41 @@ def nested_summary(summary: DataFrame) -> DataFrame:
     )
 
 
-def driver_frequency(drivers: DataFrame, keys: Sequence[str], outcome: str, n: int = 5) -> DataFrame:
-    """How often each feature raises risk, the ``n`` most frequent per group; ties by name."""
-    counts = (
-        drivers.select(*keys, F.explode(outcome).alias("driver"))
-        .where(F.col("driver.shap") > 0)
-        .groupBy(*keys, F.col("driver.feature").alias("feature"))
-        .agg(F.count("*").alias("count"))
-    )
-    order = Window.partitionBy(*keys).orderBy(F.desc("count"), "feature")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+def driver_counts(drivers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tracts per group in which a feature raises risk: ``keys, outcome, feature, count``.
 
+    One pass for all outcomes; lists are cut down to names inside each row.
+    """
 
-def driver_lists(frequency: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Ranked counts folded into one array per group."""
-    entry = F.struct("rank", "feature", "count")
-    folded = F.array_sort(F.collect_list(entry))
-    return frequency.groupBy(*keys).agg(
-        F.transform(folded, lambda e: F.struct(e["feature"].alias("feature"), e["count"].alias("count"))).alias(name)
-    )
+    def raising(outcome: str):
+        positive = F.filter(outcome, lambda d: d["shap"] > 0)
+        named = F.transform(positive, lambda d: F.struct(F.lit(outcome).alias("outcome"), d["feature"].alias("feature")))
+        return F.coalesce(named, F.array().cast("array<struct<outcome:string,feature:string>>"))
+
+    found = F.explode(F.concat(*[raising(outcome) for outcome in OUTCOME_COLUMNS])).alias("d")
+    return drivers.select(*keys, found).groupBy(*keys, "d.outcome", "d.feature").agg(F.count("*").alias("count"))
+
+
+def driver_frequency(counts: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
+    """The ``n`` most frequent features per group and outcome; ties by name.
+
+    ``counts`` may be finer than ``keys``: state lists come from county counts.
+    """
+    keys = list(keys)
+    totals = counts.groupBy(*keys, "outcome", "feature").agg(F.sum("count").alias("count"))
+    order = Window.partitionBy(*keys, "outcome").orderBy(F.desc("count"), "feature")
+    return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def driver_lists(frequency: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranked counts folded into one array per group and outcome: ``top_cancer``, ``top_resp``."""
+
+    def folded(outcome: str):
+        entries = F.collect_list(F.when(F.col("outcome") == outcome, F.struct("rank", "feature", "count")))
+        named = lambda e: F.struct(e["feature"].alias("feature"), e["count"].alias("count"))
+        return F.transform(F.array_sort(entries), named).alias(f"top_{outcome}")
+
+    return frequency.groupBy(*keys).agg(*[folded(outcome) for outcome in OUTCOME_COLUMNS])
 
 
 def rank_counties(counties: DataFrame) -> DataFrame:

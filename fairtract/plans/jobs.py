@@ -68,5 +68,6 @@ def explain_outcomes(
         models = pool.map(lambda outcome: boosting.fit_outcome(rows, available, outcome, **model), outcomes)
     out = rows
     for fitted in models:
-        out = boosting.tree_shap(boosting.predict(out, fitted), fitted, rows)
+        out = boosting.predict(out, fitted)
+    out = boosting.tree_shap(out, models, rows)
     return drivers.top_drivers_wide(out, available), models

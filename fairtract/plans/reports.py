@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairtract.functions.scalars import fixed, label, plain_number
-from fairtract.operators import rollup
+from fairtract.functions.scalars import county_or_unknown, fixed, label, plain_number
+from fairtract.operators import joins, rollup
 from fairtract.schema import DEMOGRAPHIC_LABELS, ENVIRONMENT_COLUMNS, OUTCOME_COLUMNS
+from fairtract.staging import stage
 
 STATE = "ST_ABBREV"
 
@@ -147,31 +148,31 @@ def _county_line() -> Column:
     )
 
 
-def county_report(tracts: DataFrame) -> DataFrame:
-    """Counties with means, driver lists, rank and the detailed flag.
+def county_driver_counts(tracts: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Driver counts per county, stored: county and state lists both come from them."""
+    named = tracts.select("ID", STATE, county_or_unknown(F.col("CNTY_NAME")).alias("county"))
+    return stage(rollup.driver_counts(joins.attach_drivers(named, drivers), [STATE, "county"]), "driver-counts")
 
-    ``tracts`` carries the indicator columns and the driver lists of ``attach_drivers``.
-    """
+
+def county_report(tracts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counties with means, driver lists, rank and the detailed flag."""
     keys = [STATE, "county"]
-    named = tracts.withColumn("county", F.coalesce("CNTY_NAME", F.lit("Unknown")))
-    counties = rollup.county_summary(tracts)
-    for outcome in OUTCOME_COLUMNS:
-        top = rollup.driver_frequency(named, keys, outcome, 3)
-        counties = counties.join(rollup.driver_lists(top, keys, f"top_{outcome}"), keys, "left")
+    lists = rollup.driver_lists(rollup.driver_frequency(counts, keys, 3), keys)
+    counties = rollup.county_summary(tracts).join(lists, keys, "left")
     return rollup.split_top(rollup.rank_counties(counties), TOP_COUNTIES)
 
 
-def state_context(tracts: DataFrame) -> DataFrame:
+def state_context(tracts: DataFrame, drivers: DataFrame) -> DataFrame:
     """One report per state: averages, top drivers, detailed and compact counties.
 
-    Tracts are first reduced to one row per county; a state's text is put
-    together from its counties.
+    Tracts are read twice, once for the means and once for the driver counts,
+    and reduced to one row per county; a state's text is put together from
+    its counties.
     """
-    counties = county_report(tracts)
-    states = rollup.state_summary(counties)
-    for outcome in OUTCOME_COLUMNS:
-        top = rollup.driver_frequency(tracts, [STATE], outcome, 5)
-        states = states.join(rollup.driver_lists(top, [STATE], f"top_{outcome}"), STATE, "left")
+    counts = county_driver_counts(tracts, drivers)
+    counties = stage(county_report(tracts, counts), "counties")
+    lists = rollup.driver_lists(rollup.driver_frequency(counts, [STATE], 5), [STATE])
+    states = rollup.state_summary(counties).join(lists, STATE, "left")
     text = F.when(F.col("detailed"), _county_detail()).otherwise(_county_line())
     entry = counties.select(STATE, "rank", "detailed", text.alias("text"))
     folded = entry.groupBy(STATE).agg(F.array_sort(F.collect_list(F.struct("rank", "detailed", "text"))).alias("lines"))

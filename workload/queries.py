@@ -508,20 +508,17 @@ def _frequency(keys: str, n: int) -> str:
       (select *, row_number() over (partition by {keys}, outcome order by c desc, feature) rk from freq) where rk<={n}"""
 
 
-def _frequencies(df, keys, n):
-    parts = [rollup.driver_frequency(df, keys, o, n).withColumn("outcome", F.lit(o)) for o in ("cancer", "resp")]
-    return parts[0].unionByName(parts[1])
-
-
 @query("driver_frequency", _frequency("ST_ABBREV", 2))
 def _(spark, sf):
-    return _frequencies(tables.driver_records(spark, sf), ["ST_ABBREV"], 2)
+    counts = rollup.driver_counts(tables.driver_records(spark, sf), ["ST_ABBREV"])
+    return rollup.driver_frequency(counts, ["ST_ABBREV"], 2)
 
 
 @query("driver_frequency_by_county", _frequency("ST_ABBREV, county", 3))
 def _(spark, sf):
+    keys = ["ST_ABBREV", "county"]
     records = tables.driver_records(spark, sf).withColumn("county", scalars.county_or_unknown(F.col("CNTY_NAME")))
-    return _frequencies(records, ["ST_ABBREV", "county"], 3)
+    return rollup.driver_frequency(rollup.driver_counts(records, keys), keys, 3)
 
 
 @query("distinct_states", f"{UNIT} select distinct ST_ABBREV from unit where ST_ABBREV is not null")
@@ -1089,4 +1086,4 @@ from state s left join sl on sl.ST_ABBREV=s.ST_ABBREV left join body on body.ST_
 
 @query("state_context", _STATE_TEXT)
 def _(spark, sf):
-    return reports.state_context(_tracts(spark, sf))
+    return reports.state_context(tables.unit(spark, sf), tables.driver_records(spark, sf))

@@ -116,8 +116,11 @@ CARRIED = ["ID", "ST_ABBREV", "STATE_NAME", "CNTY_NAME", "DEMOGIDX_2"]
 
 def build_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = stage(raw(spark, sf_dir), "raw")
-    ranked = rank_columns(base, CARRIED, MEASURES, 100 * percent_rank(), ["ST_ABBREV"])
-    return ranked.select(*CARRIED, *[F.col(c).alias(f"P_{c}") for c in MEASURES])
+    row = ["ID", "ST_ABBREV"]
+    ranked = rank_columns(base, row, MEASURES, 100 * percent_rank(), ["ST_ABBREV"])
+    # Names and the raw index are joined back by id, not carried through every melted row.
+    joined = base.select(*CARRIED).join(ranked, row)
+    return joined.select(*CARRIED, *[F.col(c).alias(f"P_{c}") for c in MEASURES])
 
 
 @_once("unit")
