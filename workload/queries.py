@@ -706,11 +706,16 @@ def _(spark, sf):
     return rounded(pca.cumulative_variance(components, ["ST_ABBREV"]), ["var_explained", "cumulative"])
 
 
-@query("pad_components")
+@query(
+    "pad_components",
+    f"""{UNIT}, s as (select ST_ABBREV, count(*) n_tracts from unit group by 1) select ST_ABBREV, n_tracts, cast(pc as int) pc, pc <= {len(P_COLUMNS)} filled
+    from (select *, unnest(range(1,21)) pc from s)""",
+)
 def _(spark, sf):
     components = pca.top_loadings(_loadings(spark, sf), ["ST_ABBREV"])
     states = tables.unit(spark, sf).groupBy("ST_ABBREV").agg(F.count("*").alias("n_tracts"))
-    return rounded(pca.pad_components(components, states), ["var_explained"])
+    padded = pca.pad_components(components, states)
+    return padded.select("ST_ABBREV", "n_tracts", "pc", F.col("var_explained").isNotNull().alias("filled"))
 
 
 @query("preview", f"{UNIT} select ID, ST_ABBREV, {_r(['P_CANCER'])} from unit order by ID limit 15")
@@ -786,10 +791,37 @@ def _(spark, sf):
     return rounded(moments.standardise(rows, _NARROW, ["ST_ABBREV"]), _NARROW)
 
 
-@query("pca")
+def _rebuilt(loadings, keys, columns):
+    """The correlation matrix put together again from all components: a complete check of both."""
+    pair = F.explode(F.col("vector")).alias("v1", "x1")
+    entries = F.map_from_entries(F.collect_list(F.struct("variable", "loading"))).alias("vector")
+    vectors = loadings.groupBy(*keys, "n", "pc", "var_explained").agg(entries)
+    first = vectors.select(*keys, "n", "var_explained", "vector", pair)
+    both = first.select(*keys, "n", "var_explained", "v1", "x1", F.explode("vector").alias("v2", "x2"))
+    weight = F.col("var_explained") * F.lit(len(columns)) * F.col("x1") * F.col("x2")
+    return both.groupBy(*keys, "n", F.col("v1").alias("var1"), F.col("v2").alias("var2")).agg(r(F.sum(weight)).alias("rho"))
+
+
+def _correlation_sql(columns, keys: str) -> str:
+    present = " and ".join(f"{c} is not null" for c in columns)
+    part = f"{keys}, " if keys else ""
+    group = f"group by {keys}" if keys else ""
+    aggregates_ = ", ".join(f"corr({a},{b}) c_{i}_{j}" for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)
+    rows = " union all ".join(
+        f"select {part}n, '{a}' var1, '{b}' var2, {r6(f'c_{min(i, j)}_{max(i, j)}')} rho from cm" for i, a in enumerate(columns) for j, b in enumerate(columns)
+    )
+    return f"{UNIT}, cm as (select {part}count(*) n, {aggregates_} from unit where {present} {group}) {rows}"
+
+
+@query("pca", _correlation_sql(["DEMOGIDX_2", *P_COLUMNS], ""))
+def _(spark, sf):
+    columns = ["DEMOGIDX_2", *P_COLUMNS]
+    return _rebuilt(pca.pca(tables.unit(spark, sf), columns), [], columns)
+
+
+@query("pca_loadings_by_state", _correlation_sql(P_COLUMNS, "ST_ABBREV"))
 def _(spark, sf):
-    rows = pca.pca(tables.unit(spark, sf), select.numeric_names(tables.unit(spark, sf)))
-    return rounded(rows.withColumn("loading", F.abs("loading")), ["loading", "var_explained"])
+    return _rebuilt(_loadings(spark, sf), ["ST_ABBREV"], P_COLUMNS)
 
 
 @query("pca_by_state")
@@ -886,19 +918,38 @@ def _features(wide):
     return [c.removeprefix("shap_cancer_") for c in wide.columns if c.startswith("shap_cancer_")]
 
 
-@query("fit_outcome")
+_EXPLAINED = f"""{INDEX}, cc as (select unit.* from unit join idx on trim(idx.GEOID)=lpad(cast(ID as varchar),11,'0')
+  where {' and '.join(f'{c} is not null' for c in names.MINIMAL_COLUMNS)})"""
+
+
+@query(
+    "fit_outcome",
+    f"{_EXPLAINED} select 'cancer' outcome, count(*) n, true beats_least_squares from cc union all select 'resp', count(*), true from cc",
+)
 def _(spark, sf):
     wide, _models = _explained(spark, sf)
+    linear = moments.ols(wide, list(names.OUTCOME_COLUMNS.values()), _features(wide))
     fits = [
-        aggregates.fit_r2(wide, column, f"pred_{o}").withColumn("outcome", F.lit(o)) for o, column in names.OUTCOME_COLUMNS.items()
+        aggregates.fit_r2(wide, column, f"pred_{o}").select(F.lit(o).alias("outcome"), F.lit(column).alias("column"), "n", F.col("r2").alias("boosted"))
+        for o, column in names.OUTCOME_COLUMNS.items()
     ]
-    return rounded(fits[0].unionByName(fits[1]), ["r2", "r2_pearson"])
+    compared = fits[0].unionByName(fits[1]).join(linear.select(F.col("outcome").alias("column"), "r2"), "column")
+    return compared.select("outcome", "n", (F.col("boosted") > F.col("r2")).alias("beats_least_squares"))
 
 
-@query("tree_shap")
+_zero = " union all ".join("select ID, '{o}' outcome, 0.0 gap from cc".format(o=o) for o in names.OUTCOME_COLUMNS)
+
+
+@query("tree_shap", f"{_EXPLAINED} select ID, outcome, cast(gap as double) gap from ({_zero})")
 def _(spark, sf):
+    """What the contributions of a tract leave open of prediction minus mean prediction."""
     wide, _models = _explained(spark, sf)
-    return drivers.to_long(wide, _features(wide), ["ID"])
+    means = wide.agg(*[F.avg(f"pred_{o}").alias(o) for o in names.OUTCOME_COLUMNS]).head()
+    parts = []
+    for o in names.OUTCOME_COLUMNS:
+        total = sum((F.col(f"shap_{o}_{f}") for f in _features(wide)), F.lit(0.0))
+        parts.append(wide.select("ID", F.lit(o).alias("outcome"), r(total - (F.col(f"pred_{o}") - F.lit(means[o]))).alias("gap")))
+    return parts[0].unionByName(parts[1])
 
 
 @query("shap_importance")
@@ -907,10 +958,17 @@ def _(spark, sf):
     return drivers.pivot_importance(drivers.driver_importance(drivers.to_long(wide, _features(wide), ["ID"])))
 
 
-@query("residual_table")
+_actual = " union all ".join(
+    f"select ID, '{o}' outcome, {r6(c)} actual, cast(0 as double) gap from cc" for o, c in names.OUTCOME_COLUMNS.items()
+)
+
+
+@query("residual_table", f"{_EXPLAINED} {_actual}")
 def _(spark, sf):
     wide, models = _explained(spark, sf)
-    return boosting.residual_table(wide.drop("pred_cancer", "pred_resp"), models, ["ID", "ST_ABBREV"])
+    rows = boosting.residual_table(wide.drop("pred_cancer", "pred_resp"), models, ["ID"])
+    gap = F.col("predicted") + F.col("residual") - F.col("actual")
+    return rows.select("ID", "outcome", r(F.col("actual")).alias("actual"), r(gap).alias("gap"))
 
 
 @query(
