@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairtract import schema as names
-from fairtract.functions.scalars import geoid11_int, json_row
+from fairtract.functions.scalars import geoid11_int, json_row, nan_to_null
 from fairtract.operators import boosting, drivers, joins, rollup, select
 from fairtract.operators.sampling import stratified_sample
 from fairtract.sources import writers
@@ -24,7 +24,7 @@ def export(indicators: DataFrame, geometry: DataFrame, folder: str, order: str |
     ``order`` names the source position that decides between rows of one id.
     Returns the number of tracts written per state.
     """
-    joined = stage(joins.join_geometry(indicators, geometry), "joined")
+    joined = stage(joins.join_geometry(nan_to_null(indicators), geometry), "joined")
     records = joined.drop("geometry", "GEOID")
     writers.write_features(joined, f"{folder}/features")
     unique = writers.last_by_key(records, "ID", order)

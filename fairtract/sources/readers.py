@@ -77,19 +77,26 @@ def read_features(
 
 
 def read_feature_collections(
-    spark: SparkSession, path: str, columns: Sequence[str] = names.FEATURE_COLUMNS
+    spark: SparkSession, path: str, columns: Sequence[str] = names.FEATURE_COLUMNS, whole: bool = False
 ) -> DataFrame:
-    """Classic GeoJSON documents (one ``FeatureCollection`` per line or per file) as feature rows."""
+    """Feature rows of ``FeatureCollection`` documents, one per line.
+
+    ``whole`` reads classic files that hold one document over many lines; such
+    a file cannot be split between tasks.
+    """
     document = T.StructType([T.StructField("features", T.ArrayType(_feature_schema(columns)))])
-    raw = spark.read.option("multiLine", True).schema(document).json(path)
-    return raw.select(F.explode("features").alias("feature")).select("feature.*")
+    raw = spark.read.option("multiLine", whole).schema(document).json(path)
+    rows = raw.select(F.explode("features").alias("feature")).select("feature.*")
+    # Coordinates are kept as the text of the file, which may be indented.
+    packed = F.regexp_replace("geometry.coordinates", r"\s+", "")
+    return rows.withColumn("geometry", F.col("geometry").withField("coordinates", packed))
 
 
 def read_keyed_json(
     spark: SparkSession, path: str, value_schema: T.StructType, key: str = "geoid11", whole: bool = False
 ) -> DataFrame:
     """JSON objects keyed by id as rows ``key, value``. ``whole`` reads one pretty-printed object per file."""
-    text = spark.read.option("wholetext", whole).text(path)
+    text = spark.read.text(path, wholetext=whole)
     parsed = F.from_json("value", T.MapType(T.StringType(), value_schema))
     return text.select(
         F.explode(parsed).alias(key, "value"), *[c for c in text.columns if c != "value"]

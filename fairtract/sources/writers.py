@@ -105,6 +105,7 @@ def write_keyed_json(
     Keys must be unique (see ``last_by_key``). A state larger than
     ``per_object`` is written as several objects with disjoint keys.
     """
+    df = nan_to_null(df)
     body = value if value is not None else json_row(*[c for c in df.columns if c != key])
     quoted = F.to_json(F.array(F.col(key).cast("string")))
     entries = df.where(F.col(state).isNotNull() & F.col(key).isNotNull()).select(
