@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 PAGE_LIMIT = 12_000
 CUT_MARK = "\n\n[Content truncated.]"
 
-# White space as browsers define it, which is wider than Java's class.
-_SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# White space as browsers define it: Unicode white space without U+0085, plus U+FEFF.
+# One negated class is several times faster than a list of characters.
+_UNICODE_SPACE = r"[\s&&[^\x85]]"
+_SPACE = rf"(?:{_UNICODE_SPACE}|\x{{FEFF}})"
 
 
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
 
 
 def strip_html(html: Column) -> Column:
@@ -22,8 +24,8 @@ def strip_html(html: Column) -> Column:
     text = html
     for block in ("script", "style"):
         text = F.regexp_replace(text, rf"(?is)<{block}(?![A-Za-z0-9_]).*?</{block}>", " ")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    return F.btrim(F.regexp_replace(text, f"{_SPACE}+", " "), F.lit(" "))
+    text = F.replace(F.regexp_replace(text, "<[^>]+>", " "), F.lit("\ufeff"), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, f"(?U){_UNICODE_SPACE}+", " "), F.lit(" "))
 
 
 def truncate_text(c: Column, limit: int = PAGE_LIMIT, mark: str = CUT_MARK) -> Column:
@@ -32,6 +34,6 @@ def truncate_text(c: Column, limit: int = PAGE_LIMIT, mark: str = CUT_MARK) -> C
 
 def unwrap_fence(c: Column) -> Column:
     """Content of the first fenced block that starts a line, else the trimmed text."""
-    fence = rf"(?m)^```(?:markdown|md)?{_SPACE}*\n?((?s:.*?))\n?```{_SPACE}*$"
+    fence = rf"(?mU)^```(?:markdown|md)?{_SPACE}*\n?((?s:.*?))\n?```{_SPACE}*$"
     text = trim_all(c)
     return F.when(text.rlike(fence), trim_all(F.regexp_extract(text, fence, 1))).otherwise(text)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fairtract import schema as names
 from fairtract.functions.scalars import geoid11_int, json_row, nan_to_null
-from fairtract.operators import boosting, drivers, joins, rollup, select
+from fairtract.operators import boosting, drivers, joins, pca, resilience, rollup, select
 from fairtract.operators.sampling import stratified_sample
 from fairtract.sources import writers
 from fairtract.staging import stage
@@ -71,3 +71,27 @@ def explain_outcomes(
         out = boosting.predict(out, fitted)
     out = boosting.tree_shap(out, models, rows)
     return drivers.top_drivers_wide(out, available), models
+
+
+def analyse(indicators: DataFrame, index: DataFrame | None, folder: str, **options) -> DataFrame:
+    """Every table of the analysis chain in one job: minimal set, components, resilience, drivers.
+
+    Tables are written as CSV, driver records as keyed JSON per state.
+    ``options`` go to ``explain_outcomes``. Returns the driver records per state.
+    """
+    minimal = stage(analysis_minimal(indicators, index), "minimal")
+    writers.write_csv(minimal, f"{folder}/analysis_minimal")
+    writers.write_csv(pca.pca_by_state(indicators), f"{folder}/pca_by_state")
+    models = stage(resilience.ols_by_state(indicators), "ols")
+    tracts = stage(resilience.resilience(indicators, models), "resilience")
+    writers.write_csv(tracts, f"{folder}/resilience_all_states")
+    writers.write_csv(resilience.resilience_summary(tracts, models), f"{folder}/resilience_by_state")
+    wide, fitted = explain_outcomes(minimal, **options)
+    explained = stage(wide, "explained")
+    writers.write_csv(explained, f"{folder}/tract_shap")
+    long = drivers.to_long(explained, fitted[0].features)
+    writers.write_csv(drivers.pivot_importance(drivers.driver_importance(long)), f"{folder}/shap_importance")
+    records = drivers.nest_drivers(writers.last_by_key(explained, "ID"))
+    body = F.to_json(F.struct(*names.OUTCOME_COLUMNS))
+    writers.write_keyed_json(records.withColumn("record", body), f"{folder}/shap", "geoid11", F.col("record"))
+    return writers.write_report(records)

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairtract.operators import boosting, drivers
+from fairtract import schema as names
 from fairtract.plans import jobs
+from fairtract.sources import readers
 
 FEATURES = ["P_PM25", "P_OZONE", "P_DSLPM", "DEMOGIDX_2"]
 
@@ -99,3 +101,18 @@ def test_residual_table(rows, models):
     found = boosting.residual_table(rows, models).toPandas()
     assert len(found) == 800
     np.testing.assert_allclose(found.residual, found.actual - found.predicted)
+
+
+def test_analysis_chain_writes_every_table(spark, rows, tmp_path):
+    folder = str(tmp_path / "analysis")
+    tracts = rows.withColumn("P_PTRAF", F.col("P_OZONE") / 2)
+    index = rows.select(F.lpad(F.col("ID").cast("string"), 11, "0").alias("GEOID"), (F.col("ID") / 400).alias("RPL_EJI"))
+    report = jobs.analyse(tracts, index, folder, trees=2, min_leaf=5)
+    assert sorted(map(tuple, report.collect()), key=str) == [("AA", 400, 1), (None, 400, 1)]
+    for name, count in {
+        "analysis_minimal": 400, "pca_by_state": 20, "resilience_all_states": 400, "resilience_by_state": 1,
+        "tract_shap": 400, "shap_importance": 6,
+    }.items():
+        assert spark.read.option("header", True).csv(f"{folder}/{name}").count() == count, name
+    records = readers.read_keyed_json(spark, f"{folder}/shap", names.DRIVER_RECORD)
+    assert records.count() == 400 and len(records.head().value.resp) == 3

@@ -72,6 +72,7 @@ def test_json_row_keeps_nulls(spark):
         ("<style>p{}</style>  a\t\n<br/>b ", "a b"),
         ("<scripty>kept</scripty>", "kept"),
         ("<script>never closed", "never closed"),
+        ("\ufeff a\u00a0\u2003b\u3000\ufeffc\u0085d\u00a0", "a b c\u0085d"),
     ],
 )
 def test_strip_html(spark, raw, clean):
@@ -95,6 +96,7 @@ def test_truncate_text(spark):
         ("Sure:\n```\nx\ny\n```\nbye", "x\ny"),
         ("  plain ``` inline  ", "plain ``` inline"),
         ("```\na\n```\n```\nb\n```", "a"),
+        ("\ufeff\u00a0x\u00a0y \ufeff", "x\u00a0y"),
     ],
 )
 def test_unwrap_fence(spark, raw, body):
