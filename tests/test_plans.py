@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from fairtract.operators import ranks
 from workload.compare import rows_of
 from workload.queries import QUERIES
 
@@ -53,3 +55,29 @@ def test_partitioning_does_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
+
+
+def test_hot_value_is_split_by_the_skew_join(spark):
+    """A third of the rows share one value; with lowered thresholds the join back is split."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("ID"),
+        F.lit("AA").alias("ST_ABBREV"),
+        F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("x"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ranked = ranks.rank_columns(df.repartition(8), ["ID", "ST_ABBREV"], ["x"], ranks.average_rank(), ["ST_ABBREV"])
+        zeros = ranked.where("ID % 3 = 0").agg(F.min("x"), F.max("x"), F.count("*"))
+        assert tuple(zeros.collect()[0]) == (10_000.5, 10_000.5, 20_000)
+        assert "isSkew=true" in plan_of(zeros) or "skew=true" in plan_of(zeros)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
