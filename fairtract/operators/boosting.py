@@ -247,11 +247,14 @@ def tree_shap(
     ]
     added = [f"shap_{m.outcome}_{f}" for m in models for f in features]
 
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in added])
+
+    # Only the features travel to Python; all other columns stay on the JVM side.
+    @F.pandas_udf(schema)
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [np.hstack([e.contributions(x) for e in explainers]) for x in _chunks(iter([batch]), features)]
             shap = np.concatenate(parts) if parts else np.zeros((0, len(added)))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(shap, columns=added)], axis=1)
+            yield pd.DataFrame(shap, columns=added)
 
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
-    return df.mapInPandas(explain, schema)
+    return df.withColumn("_shap", explain(F.struct(*features))).select(*df.columns, "_shap.*")

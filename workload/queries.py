@@ -73,19 +73,19 @@ def _with_geometry(spark, sf):
 
 GEO = f"""{UNIT},
 geo as (select *, cast(ID % 360 - 180 as double) lng, cast(ID % 170 - 85 as double) lat
-  from unit where ID % 11 <> 0 and ID % 13 <> 0)"""
+  from unit where P_PTRAF is not null)"""
 
 
 @query(
     "read_features",
     f"""{GEO} select {', '.join(MAP_COLUMNS[:3])}, {_r(MAP_P)}, 'Polygon' shape,
     concat('[[[', lng, ',', lat, '],[', lng+1, ',', lat, '],[', lng+1, ',', lat+1, '],[', lng, ',', lat, ']]]') coordinates
-    from geo where ST_ABBREV in ('AF','EU')""",
+    from geo""",
 )
 def _(spark, sf):
     folder = new_path(spark, "features")
     writers.write_features(_with_geometry(spark, sf), folder)
-    rows = readers.read_features(spark, folder, ["AF", "EU"])
+    rows = readers.read_features(spark, folder)
     flat = rows.select("properties.*", F.col("geometry.type").alias("shape"), F.col("geometry.coordinates").alias("coordinates"))
     return rounded(flat.drop("P_RSEI_AIR"), MAP_P)
 

@@ -50,7 +50,7 @@ UNIT = f"{_RAW},\nunit as (select ID, ST_ABBREV, STATE_NAME, CNTY_NAME, DEMOGIDX
 INDEX = f"""{UNIT},
 idx as (select concat(' ', lpad(cast(ID as varchar),11,'0'), ' ') GEOID,
   percent_rank() over (order by P_PTSDF, ID) RPL_EJI
-  from unit where ID % 7 <> 0 and P_PTSDF is not null)"""
+  from unit where DEMOGIDX_2 < 0.9 and P_PTSDF is not null)"""
 
 _features = list(LINEAR["cancer"])
 _contributions = ",\n  ".join(

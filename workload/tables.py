@@ -139,8 +139,8 @@ def fips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_once("index")
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second index with misses; blanks around the id test the trim."""
-    rows = unit(spark, sf_dir).where((F.col("ID") % 7 != 0) & F.col("P_PTSDF").isNotNull())
+    """A second index that lacks the most vulnerable tracts; blanks around the id test the trim."""
+    rows = unit(spark, sf_dir).where((F.col("DEMOGIDX_2") < 0.9) & F.col("P_PTSDF").isNotNull())
     # Ranked by P_PTSDF then ID, so that every pair is one row.
     pair = F.struct(F.col("P_PTSDF"), F.col("ID"))
     counts = cumulative_counts(rows.select(F.lit(0).alias("all"), pair.alias("pair")), ["all"], "pair")
@@ -168,25 +168,21 @@ def driver_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A square around a made-up position per customer, with some ids that are no number."""
-    customers = raw_ids(spark, sf_dir)
+    """A triangle at a position per tract; where traffic is missing the id is no number."""
+    tracts = unit(spark, sf_dir).select("ID", "P_PTRAF")
     lng = (F.col("ID") % 360 - 180).cast("double")
     lat = (F.col("ID") % 170 - 85).cast("double")
     ring = F.array(
         F.array(lng, lat), F.array(lng + 1, lat), F.array(lng + 1, lat + 1), F.array(lng, lat)
     )
-    return customers.where(F.col("ID") % 11 != 0).select(
-        F.when(F.col("ID") % 13 == 0, F.concat(F.lit("x"), F.col("ID").cast("string")))
+    return tracts.select(
+        F.when(F.col("P_PTRAF").isNull(), F.concat(F.lit("x"), F.col("ID").cast("string")))
         .otherwise(geoid11_int(F.col("ID")))
         .alias("GEOID"),
         F.struct(F.lit("Polygon").alias("type"), F.to_json(F.array(ring)).alias("coordinates")).alias("geometry"),
     )
 
 
-def raw_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit(spark, sf_dir).select("ID")
-
-
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometries of four types from the first two numbers of each embedding."""
     at = lambda i: F.col("embedding")[i].cast("double")
