@@ -175,6 +175,9 @@ def spearman(
     row = list(dict.fromkeys([*row, *keys]))
     rows = complete_cases(df.select(*row, *columns), columns)
     ranked = rank_columns(rows, row, columns, average_rank(), keys)
+    if len(columns) > NARROW:
+        # Wide moments read their input twice; ranking twice would cost far more than a stored copy.
+        ranked = stage(ranked.select(*keys, *columns), "ranks")
     moments = stage(group_moments(ranked, columns, keys), "moments")
     return correlations(moments, keys)
 
@@ -217,6 +220,19 @@ def _ols_schema(stats: DataFrame, keys: list[str]) -> T.StructType:
     )
 
 
+def _inverse(cov: np.ndarray) -> np.ndarray:
+    """Inverse of a covariance matrix; where it has none, the pseudo-inverse, which gives least norm.
+
+    Rank is judged on the correlation scale, so that units do not matter.
+    """
+    scale = np.sqrt(np.diag(cov))
+    if (scale > 0).all():
+        correlation = cov / np.outer(scale, scale)
+        if np.linalg.eigvalsh(correlation)[0] > 1e-10:
+            return np.linalg.inv(correlation) / np.outer(scale, scale)
+    return np.linalg.pinv(cov, rcond=1e-12, hermitian=True)
+
+
 def _solver(keys: list[str], outcomes: list[str], predictors: list[str]):
     q, p = len(outcomes), len(outcomes) + len(predictors)
 
@@ -227,7 +243,7 @@ def _solver(keys: list[str], outcomes: list[str], predictors: list[str]):
                 means = np.asarray(record["means"], dtype=float)
                 cov = np.asarray(record["cov"], dtype=float).reshape(p, p)
                 inner = cov[q:, q:]
-                inverse = np.linalg.pinv(inner, rcond=1e-12, hermitian=True)
+                inverse = _inverse(inner)
                 for i, outcome in enumerate(outcomes):
                     beta = inverse @ cov[q:, i]
                     residual = cov[i, i] - 2 * beta @ cov[q:, i] + beta @ inner @ beta

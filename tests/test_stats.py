@@ -85,6 +85,14 @@ def test_ols_with_dependent_predictors_has_least_norm(spark):
     assert fits["flat"].r2 == 1.0 and fits["flat"].intercept == pytest.approx(5.0)
 
 
+def test_ols_does_not_depend_on_units(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=200) * 1e8, rng.normal(size=200) * 1e-3
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": 2e-8 * a + 3e3 * b + 1}))
+    fit = moments.ols(df, ["y"], ["a", "b"]).head()
+    np.testing.assert_allclose([fit.intercept, *fit.coefficients], [1, 2e-8, 3e3], rtol=1e-6)
+
+
 def test_resilience_and_its_summary(spark, tracts):
     df = spark.createDataFrame(tracts).withColumns(
         {c: F.when(~F.isnan(c), F.col(c)) for c in COLUMNS}
