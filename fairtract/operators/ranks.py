@@ -30,12 +30,15 @@ def cumulative_counts(long: DataFrame, keys: Sequence[str], value: str = "value"
 
     ``value`` may have any ordered type. Groups with a NULL key are left out.
     """
+    usable = F.lit(True)
+    for c in [*keys, value]:
+        usable = usable & F.col(c).isNotNull()
+    return accumulate(long.where(usable).groupBy(*keys, value).agg(F.count("*").alias("ties")), keys, value)
+
+
+def accumulate(counts: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Running totals of counted values (``keys, value, ties``), as in ``cumulative_counts``."""
     keys = list(keys)
-    present = [F.col(k).isNotNull() for k in [*keys, value]]
-    usable = present[0]
-    for condition in present[1:]:
-        usable = usable & condition
-    counts = long.where(usable).groupBy(*keys, value).agg(F.count("*").alias("ties"))
     slices = stage(
         counts.repartitionByRange(*keys, value).withColumn("slice", F.spark_partition_id()), "slices"
     )
@@ -93,25 +96,109 @@ def rank_columns(
     )
 
 
+# Half width of a bracket around a quantile, relative to the group, and the accuracy of the
+# sketch that places it. Groups up to SMALL rows fit the built-in exact aggregate.
+MARGIN = 4e-4
+ACCURACY = 10_000
+SMALL = 50_000
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Interpolated quantiles, one row per group and variable, one column per named probability."""
-    counts = cumulative_counts(melt(df, keys, columns), [*keys, "variable"])
-    aggregates = []
-    for name, p in probabilities.items():
-        position = (F.col("total") - 1) * F.lit(p)
-        aggregates += [
-            F.max(F.when(_holds(F.floor(position)), F.col("value"))).alias(f"_{name}_low"),
-            F.max(F.when(_holds(F.ceil(position)), F.col("value"))).alias(f"_{name}_high"),
+    """Interpolated quantiles, one row per group and variable, one column per named probability.
+
+    Small groups use the built-in exact aggregate, whose buffer grows with the
+    group. In large ones a sketch gives a narrow bracket around each quantile;
+    only values inside it are ranked, together with the number of rows below
+    it, so no large group is shuffled or sorted.
+    """
+    groups = [*keys, "variable"]
+    long = melt(df, keys, columns)
+    brackets = stage(_brackets(df, columns, probabilities, list(keys)), "brackets")
+    small, large = brackets.where(F.col("total") <= SMALL), brackets.where(F.col("total") > SMALL)
+    if large.isEmpty():
+        return _small_quantiles(long, small, probabilities, groups)
+    found = _large_quantiles(long, large, groups)
+    wide = found.groupBy(*groups).agg(
+        *[F.max(F.when(F.col("q") == name, F.col("quantile"))).alias(name) for name in probabilities]
+    )
+    if small.isEmpty():
+        return wide
+    return wide.unionByName(_small_quantiles(long, small, probabilities, groups))
+
+
+def _small_quantiles(long: DataFrame, small: DataFrame, probabilities: dict[str, float], groups: list[str]) -> DataFrame:
+    rows = long.join(small.select(*groups).distinct(), groups, "left_semi")
+    exact = rows.groupBy(*groups).agg(F.percentile("value", list(probabilities.values())).alias("found"))
+    return exact.select(*groups, *[F.get("found", F.lit(i)).alias(name) for i, name in enumerate(probabilities)])
+
+
+def _large_quantiles(long: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
+    """``groups, q, quantile``. Should a bracket miss, its group is ranked whole."""
+    near = long.join(brackets.select(*groups, "q", "low", "high"), groups).where(F.col("value") <= F.col("high"))
+    # Values below the bracket become one NULL per group, so that they are only counted.
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    cells = stage(near.groupBy(*groups, "q", inside.alias("value")).agg(F.count("*").alias("ties")), "cells")
+    under = cells.where(F.col("value").isNull()).select(*groups, "q", F.col("ties").alias("under"))
+    ranked = (
+        accumulate(cells.where(F.col("value").isNotNull()), [*groups, "q"])
+        .drop("total")
+        .join(brackets.drop("low", "high"), [*groups, "q"], "right")
+        .join(under, [*groups, "q"], "left")
+        .withColumn("below", F.col("below") + F.coalesce("under", F.lit(0)))
+    )
+    found = stage(_interpolated(ranked, [*groups, "q"]), "quantiles")
+    missed = found.where(F.col("quantile").isNull())
+    if missed.isEmpty():
+        return found
+    return found.where(F.col("quantile").isNotNull()).unionByName(_whole(long, missed, brackets, groups))
+
+
+def _brackets(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: list[str]) -> DataFrame:
+    """``keys, variable, q, p, total, low, high`` of every group with values."""
+    ends = [max(0.0, p - MARGIN) for p in probabilities.values()] + [min(1.0, p + MARGIN) for p in probabilities.values()]
+    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    sketches = []
+    for i, c in enumerate(columns):
+        sketches += [
+            F.count(number[c]).alias(f"total_{i}"),
+            F.percentile_approx(number[c], ends, ACCURACY).alias(f"ends_{i}"),
         ]
-    found = counts.groupBy(*keys, "variable").agg(F.max("total").alias("total"), *aggregates)
-    out = []
-    for name, p in probabilities.items():
-        position = (F.col("total") - 1) * F.lit(p)
-        share = position - F.floor(position)
-        out.append((F.col(f"_{name}_low") * (1 - share) + F.col(f"_{name}_high") * share).alias(name))
-    return found.select(*keys, "variable", *out)
+    entries = []
+    for i, c in enumerate(columns):
+        for j, (name, p) in enumerate(probabilities.items()):
+            low, high = F.get(f"ends_{i}", F.lit(j)), F.get(f"ends_{i}", F.lit(j + len(probabilities)))
+            entries.append(
+                F.struct(
+                    F.lit(c).alias("variable"),
+                    F.lit(name).alias("q"),
+                    F.lit(float(p)).alias("p"),
+                    F.col(f"total_{i}").alias("total"),
+                    low.alias("low"),
+                    high.alias("high"),
+                )
+            )
+    wide = df.groupBy(*keys).agg(*sketches)
+    return wide.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*").where(F.col("total") > 0)
+
+
+def _interpolated(ranked: DataFrame, groups: list[str]) -> DataFrame:
+    position = (F.col("total") - 1) * F.col("p")
+    share = position - F.floor(position)
+    ends = ranked.groupBy(*groups, "p", "total").agg(
+        F.max(F.when(_holds(F.floor(position)), F.col("value"))).alias("low"),
+        F.max(F.when(_holds(F.ceil(position)), F.col("value"))).alias("high"),
+    )
+    return ends.select(*groups, (F.col("low") * (1 - share) + F.col("high") * share).alias("quantile"))
+
+
+def _whole(long: DataFrame, missed: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
+    """Quantiles of groups whose bracket missed, from all of their values."""
+    affected = long.join(missed.select(*groups).distinct(), groups, "left_semi")
+    wanted = brackets.join(missed.select(*groups, "q"), [*groups, "q"], "left_semi")
+    ranked = cumulative_counts(affected, groups).drop("total").join(wanted, groups)
+    return _interpolated(ranked, [*groups, "q"])
 
 
 def _holds(index: Column) -> Column:
@@ -123,27 +210,39 @@ def group_median(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 
 def smallest(df: DataFrame, keys: Sequence[str], order: str, quota: DataFrame, tie: str) -> DataFrame:
-    """The first ``quota`` rows of each group by ``order`` then ``tie``, without sorting a group in one task.
+    """The first ``quota`` rows of each group by the hash ``order`` (bigint), then ``tie``.
 
-    ``quota`` holds ``keys`` and a column ``quota``. The value at the quota's
-    position is found from the counts; only rows equal to it are ranked.
+    ``quota`` holds ``keys`` and a column ``quota``. Counts per leading bits of
+    the hash show which bucket the quota ends in; lower buckets are taken
+    whole and only rows of that bucket are ranked.
     """
     keys = list(keys)
+    bucket = F.shiftright(order, 48).alias("_bucket")
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(along))
+    before = F.col("upto") - F.col("n")
+    last = sizes.join(quota, keys).where((before < F.col("quota")) & (F.col("quota") <= F.col("upto")))
+    last = stage(last.select(*keys, F.col("_bucket").alias("_last"), (F.col("quota") - before).alias("_left")), "last")
+    marked = df.withColumn("_bucket", F.shiftright(order, 48)).join(last, keys)
+    under = marked.where(F.col("_bucket") < F.col("_last")).select(*df.columns)
+    edge = marked.where(F.col("_bucket") == F.col("_last")).select(*df.columns)
+    return under.unionByName(_first(edge, keys, order, last.select(*keys, F.col("_left").alias("quota")), tie))
+
+
+def _first(df: DataFrame, keys: list[str], order: str, quota: DataFrame, tie: str) -> DataFrame:
+    """As ``smallest``, by ranking every distinct hash."""
     counts = cumulative_counts(df, keys, order).join(quota, keys)
     at = (F.col("below") < F.col("quota")) & (F.col("quota") <= F.col("below") + F.col("ties"))
-    cut = stage(
-        counts.where(at).select(*keys, F.col(order).alias("_cut"), (F.col("quota") - F.col("below")).alias("_left")),
-        "cut",
-    )
-    marked = df.join(cut, keys)
+    cut = counts.where(at).select(*keys, F.col(order).alias("_cut"), (F.col("quota") - F.col("below")).alias("_left"))
+    marked = df.join(stage(cut, "cut"), keys)
     under = marked.where(F.col(order) < F.col("_cut"))
     at_cut = marked.where(F.col(order) == F.col("_cut"))
     # Copies of one row share its place: keep at most the quota per input slice, then overall.
     for part in ([*keys, "_slice"], keys):
-        edge = Window.partitionBy(*part).orderBy(tie)
+        place = Window.partitionBy(*part).orderBy(tie)
         at_cut = (
             at_cut.withColumn("_slice", F.spark_partition_id())
-            .withColumn("_rank", F.row_number().over(edge))
+            .withColumn("_rank", F.row_number().over(place))
             .where(F.col("_rank") <= F.col("_left"))
         )
     return under.select(*df.columns).unionByName(at_cut.select(*df.columns))

@@ -47,6 +47,18 @@ def test_quantiles_equal_numpy(spark, skewed):
     assert len(found) == 4
 
 
+@pytest.mark.parametrize(("small", "margin"), [(100, 4e-4), (100, 0.05), (0, 0.0)])
+def test_brackets_are_exact_and_a_miss_is_made_up(spark, skewed, monkeypatch, small, margin):
+    monkeypatch.setattr(ranks, "SMALL", small)
+    monkeypatch.setattr(ranks, "MARGIN", margin)
+    df = spark.createDataFrame(skewed)
+    found = ranks.exact_quantiles(df, ["x", "y"], {"low": 0.01, "mid": 0.5, "high": 0.9, "end": 1.0}, ["ST_ABBREV"]).collect()
+    assert len(found) == 8
+    for row in found:
+        x = skewed.loc[skewed.ST_ABBREV == row.ST_ABBREV, row.variable].dropna()
+        np.testing.assert_allclose([row.low, row.mid, row.high, row.end], np.quantile(x, [0.01, 0.5, 0.9, 1.0]))
+
+
 def test_sample_is_exact_and_repeatable(spark, skewed):
     df = spark.createDataFrame(skewed)
     one = {r.ID for r in stratified_sample(df.repartition(3), 501).collect()}
