@@ -758,23 +758,26 @@ def _moments_sql(columns, keys: str) -> str:
     present = " and ".join(f"{c} is not null" for c in columns)
     part = f"{keys}, " if keys else ""
     rows = " union all ".join(
-        f"select {part}'{a}' var1, '{b}' var2, count(*) n, {r6(f'avg({a})')} mean1, {r6(f'avg({b})')} mean2, {r6(f'covar_pop({a},{b})*count(*)', 4)} comoment from cc {f'group by {keys}' if keys else ''}"
+        f"select {part}'{a}' var1, '{b}' var2, count(*) n, {r6(f'avg({a})')} mean1, {r6(f'avg({b})')} mean2, {r6(f'covar_pop({a},{b})', 5)} covariance from cc {f'group by {keys}' if keys else ''}"
         for i, a in enumerate(columns)
         for b in columns[i:]
     )
     return f"{UNIT}, cc as (select * from unit where {present}) {rows}"
 
 
+def _covariances(found):
+    covariance = r(F.col("comoment") / F.col("n"), 5).alias("covariance")
+    return rounded(found, ["mean1", "mean2"]).select("ST_ABBREV", "var1", "var2", "n", "mean1", "mean2", covariance)
+
+
 @query("group_moments", _moments_sql(_NARROW, "ST_ABBREV"))
 def _(spark, sf):
-    found = moments.group_moments(tables.unit(spark, sf), _NARROW, ["ST_ABBREV"])
-    return rounded(rounded(found, ["mean1", "mean2"]), ["comoment"], 4)
+    return _covariances(moments.group_moments(tables.unit(spark, sf), _NARROW, ["ST_ABBREV"]))
 
 
 @query("group_moments_wide", _moments_sql(_WIDE, "ST_ABBREV"))
 def _(spark, sf):
-    found = moments.group_moments(tables.unit(spark, sf), _WIDE, ["ST_ABBREV"])
-    return rounded(rounded(found, ["mean1", "mean2"]), ["comoment"], 4)
+    return _covariances(moments.group_moments(tables.unit(spark, sf), _WIDE, ["ST_ABBREV"]))
 
 
 _standard = ", ".join(
