@@ -50,13 +50,14 @@ def accumulate(counts: DataFrame, keys: Sequence[str], value: str = "value") ->
         .withColumn("total", F.sum("size").over(Window.partitionBy(*keys)))
         .drop("size")
     )
+    # The slice and, below, the value come first among the keys: sorts compare leading columns fastest.
     inside = (
-        Window.partitionBy(*keys, "slice")
+        Window.partitionBy("slice", *keys)
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        slices.join(sizes, [*keys, "slice"])
+        slices.join(sizes, ["slice", *keys])
         .withColumn("below", F.col("before") + F.sum("ties").over(inside) - F.col("ties"))
         .select(*keys, value, "ties", "below", "total")
     )
@@ -86,7 +87,7 @@ def rank_columns(
     keys = list(keys)
     long = melt(df, row, columns)
     ranks = cumulative_counts(long, [*keys, "variable"]).withColumn("rank", rank)
-    ranked = long.join(ranks.select(*keys, "variable", "value", "rank"), [*keys, "variable", "value"])
+    ranked = long.join(ranks.select(*keys, "variable", "value", "rank"), ["value", "variable", *keys])
     anchors = df.select(*row, F.lit(None).cast("string").alias("variable"), F.lit(None).cast("double").alias("rank"))
     return (
         ranked.select(*row, "variable", "rank")
