@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtract.functions.geometry import points
-from fairtract.operators.ranks import exact_quantiles
+from fairtract.operators.ranks import exact_quantiles, melt
 from fairtract.operators.select import numeric_names
 from fairtract.staging import stage
 
@@ -16,24 +16,19 @@ from fairtract.staging import stage
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per numeric column."""
     columns = list(columns) if columns is not None else numeric_names(df, exclude=())
-    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    value = {c: _present(F.col(c)) for c in columns}
-    # One row for the whole table, turned into one row per column afterwards.
-    wide = df.agg(
-        *[measure(value[c]).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, measure in measures.items()]
+    long = melt(df, [], columns)
+    moments = long.groupBy("variable").agg(
+        F.count("*").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    entries = [
-        F.struct(F.lit(c).alias("variable"), *[F.col(f"{name}_{i}").alias(name) for name in measures])
-        for i, c in enumerate(columns)
-    ]
-    moments = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     quartiles = exact_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return moments.join(quartiles, "variable", "left")
-
-
-def _present(c: Column) -> Column:
-    value = c.cast("double")
-    return F.when(~F.isnan(value), value)
+    # An all-missing column still gets a row: the list of columns drives the join.
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    joined = listed.join(moments, "variable", "left").join(quartiles, "variable", "left")
+    return joined.withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def count_where(df: DataFrame, flags: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:

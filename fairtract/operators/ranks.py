@@ -166,22 +166,28 @@ def _brackets(df: DataFrame, columns: Sequence[str], probabilities: dict[str, fl
             F.count(number[c]).alias(f"total_{i}"),
             F.percentile_approx(number[c], ends, ACCURACY).alias(f"ends_{i}"),
         ]
-    entries = []
-    for i, c in enumerate(columns):
-        for j, (name, p) in enumerate(probabilities.items()):
-            low, high = F.get(f"ends_{i}", F.lit(j)), F.get(f"ends_{i}", F.lit(j + len(probabilities)))
-            entries.append(
-                F.struct(
-                    F.lit(c).alias("variable"),
-                    F.lit(name).alias("q"),
-                    F.lit(float(p)).alias("p"),
-                    F.col(f"total_{i}").alias("total"),
-                    low.alias("low"),
-                    high.alias("high"),
-                )
-            )
-    wide = df.groupBy(*keys).agg(*sketches)
-    return wide.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*").where(F.col("total") > 0)
+    entries = [
+        F.struct(F.lit(c).alias("variable"), F.col(f"total_{i}").alias("total"), F.col(f"ends_{i}").alias("ends"))
+        for i, c in enumerate(columns)
+    ]
+    asked = [
+        F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"), F.lit(j).alias("i"))
+        for j, (name, p) in enumerate(probabilities.items())
+    ]
+    per_column = df.groupBy(*keys).agg(*sketches).select(*keys, F.explode(F.array(*entries)).alias("e"))
+    return (
+        per_column.where(F.col("e.total") > 0)
+        .select(*keys, "e", F.explode(F.array(*asked)).alias("a"))
+        .select(
+            *keys,
+            "e.variable",
+            "a.q",
+            "a.p",
+            "e.total",
+            F.get("e.ends", F.col("a.i")).alias("low"),
+            F.get("e.ends", F.col("a.i") + len(asked)).alias("high"),
+        )
+    )
 
 
 def _interpolated(ranked: DataFrame, groups: list[str]) -> DataFrame:

@@ -144,3 +144,10 @@ def test_r2_of_constant_outcome(spark):
     )
     found = {r.k: (r.r2, r.r2_pearson) for r in aggregates.fit_r2(df, "y", "p", ["k"]).collect()}
     assert found == {"same": (1.0, None), "off": (0.0, None), "fit": (1.0, 1.0)}
+
+
+def test_describe_lists_a_column_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, float("nan"))], "a double, b double")
+    found = {r.variable: r for r in aggregates.describe(df).collect()}
+    assert (found["a"]["count"], found["a"].q25, found["a"].q50, found["a"].max) == (3, 1.5, 2.0, 4.0)
+    assert found["b"]["count"] == 0 and found["b"].mean is None and found["b"].q50 is None
