@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fairtract.llm import mixing, urls
+from fairtract.llm import mixing, passages, urls
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = [
@@ -72,5 +73,25 @@ f as (
 select page_id, host, path, fit.rule as rule, coalesce(fit.verdict, 'allow') as verdict from f
 """
 
-QUERIES = {"op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules}
-ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+p as (select doc_id, i, w[i] as word, case when i + 19 <= len(w) then md5(array_to_string(w[i:i + 19], ' ')) end as win
+  from (select doc_id, w, unnest(generate_series(1, len(w))) as i from d)),
+f as (select win, min({'d': doc_id, 'i': i}) as first from p where win is not null group by win having count(*) > 1),
+q as (select p.doc_id, p.i, p.word, coalesce(max((f.win is not null and f.first <> {'d': p.doc_id, 'i': p.i})::int) over (
+    partition by p.doc_id order by p.i rows between 19 preceding and current row), 0) = 1 as gone
+  from p left join f using (win)),
+g as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept
+  from q group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from d left join g using (doc_id)
+"""
+
+QUERIES = {"op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules, "op10_repeated_passages": op10_repeated_passages}
+ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op10_repeated_passages": OP10_SQL}
