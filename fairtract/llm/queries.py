@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtract.llm import mixing, passages, urls
+from fairtract.llm import mixing, near, passages, urls
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = [
@@ -73,6 +73,29 @@ f as (
 select page_id, host, path, fit.rule as rule, coalesce(fit.verdict, 'allow') as verdict from f
 """
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+OP9_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared
+  from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as reached from d union select r.doc_id, e.b from r join e on e.a = r.reached)
+select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(reached) as component_id,
+  min(reached) = r.doc_id as kept
+from r left join n using (doc_id) group by r.doc_id
+"""
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -93,5 +116,5 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 from d left join g using (doc_id)
 """
 
-QUERIES = {"op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules, "op10_repeated_passages": op10_repeated_passages}
-ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op10_repeated_passages": OP10_SQL}
+QUERIES = {"op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
+ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
