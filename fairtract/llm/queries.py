@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtract.llm import mixing, near, passages, urls
+from fairtract.llm import bpe, mixing, near, passages, urls
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = [
@@ -15,12 +16,23 @@ URL_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -116,5 +128,5 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 from d left join g using (doc_id)
 """
 
-QUERIES = {"op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
+QUERIES = {"op3_bpe": op3_bpe, "op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
 ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
