@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtract.llm import bpe, lm, mixing, near, passages, urls
+from fairtract.llm import bpe, html, lm, mixing, near, passages, quality, urls
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = [
@@ -37,6 +37,10 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +72,10 @@ from d
 """
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -132,5 +140,5 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 from d left join g using (doc_id)
 """
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op6_source_mix": op6_source_mix, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
+QUERIES = {"op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_main_text": op7_main_text, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
 ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
