@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtract.llm import bpe, html, lm, mixing, near, passages, quality, urls
+from fairtract.llm import bpe, html, lm, mixing, near, neighbours, passages, quality, urls
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = [
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
@@ -140,5 +144,5 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 from d left join g using (doc_id)
 """
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_main_text": op7_main_text, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
+QUERIES = {"op1_nearest": op1_nearest, "op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_main_text": op7_main_text, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
 ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
