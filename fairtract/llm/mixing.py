@@ -68,16 +68,20 @@ def mix_sources(
     which the fraction ends is ranked by document.
 
     Returns one row per input row: ``doc_id, source, size, source_size, target,
-    copies, taken``. A null text has size 0 and is taken as often as its source
+    copies, taken, row``, the last a struct of all its columns. A null text has size 0 and is taken as often as its source
     is; a null source is a source of its own; a null doc_id counts as its own
     text. Equal rows share their digest and are told apart by position in it.
-    An empty table gives an empty one. Other columns are not read.
+    An empty table gives an empty one. Other columns are only passed on.
     """
     number = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))
     digest = F.md5(F.concat(F.lit(f"{seed} "), number).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest")).withColumn(
-        "bucket", F.conv(F.substring("digest", 1, BUCKET_DIGITS), 16, 10).cast("int")
-    )
+    sized = docs.select(
+        "doc_id",
+        "source",
+        word_count(F.col("text")).alias("size"),
+        digest.alias("digest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    ).withColumn("bucket", F.conv(F.substring("digest", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
@@ -93,7 +97,7 @@ def mix_sources(
     )
     placed = sized.alias("d").join(
         plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))
-    ).select("doc_id", "d.source", "size", "digest", "d.bucket", "before", "bucket_size", "source_size", "target", "whole", "left")
+    ).select("doc_id", "d.source", "size", "digest", "row", "before", "bucket_size", "source_size", "target", "whole", "left", "d.bucket")
     inside = F.col("before") + F.col("bucket_size") <= F.col("left")
     outside = F.col("before") >= F.col("left")
     clear = placed.where(inside | outside).withColumn("more", inside.cast("long"))
@@ -110,4 +114,10 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        "row",
     )
+
+
+def drawn(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix, each as often as it enters."""
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

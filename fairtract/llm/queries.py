@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtract.llm import bpe, html, lm, mixing, near, neighbours, passages, quality, urls
+from fairtract.llm import bpe, html, lm, mixing, near, neighbours, passages, quality, token_counts, urls
+from fairtract.llm.storage import new_path
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = [
@@ -27,6 +28,40 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+#: Tokens of the second tokenizer version of the count query.
+PIECES = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are loaded with estimates, counted, counted by another tokenizer, and freed of copies."""
+    docs = table(spark, sf_dir, "documents")
+    path = new_path(spark, "token-counts")
+    estimate = F.floor(F.col("n_chars") / 6)
+    words, pieces = mixing.word_count(F.col("text")), F.regexp_count("text", F.lit(PIECES))
+    load = token_counts.inserted(docs, "words-1", estimate)
+    token_counts.commit(spark, path, "load", load)
+    token_counts.commit(spark, path, "count", token_counts.revised(docs, "words-1", estimate, words))
+    token_counts.commit(spark, path, "pieces", token_counts.inserted(docs, "pieces-1", pieces))
+    copies = token_counts.copies(docs)
+    gone = token_counts.both(token_counts.deleted(copies, "words-1", words), token_counts.deleted(copies, "pieces-1", pieces))
+    token_counts.commit(spark, path, "copies", gone)
+    token_counts.commit(spark, path, "load", load)  # again, to no effect
+    return token_counts.totals(spark, path)
+
+
+OP2_SQL = r"""
+with d as (
+  select *, doc_id > min(doc_id) over (partition by coalesce(text, '')) as is_copy,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as words,
+    coalesce(len(regexp_extract_all(text, '[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+')), 0) as pieces
+  from documents)
+select source, lang, tokenizer, count(*)::bigint as n_docs, sum(n)::bigint as n_tokens
+from (select source, lang, 'words-1' as tokenizer, words as n from d where not is_copy
+  union all select source, lang, 'pieces-1', pieces from d where not is_copy)
+group by all
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
@@ -144,5 +179,5 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 from d left join g using (doc_id)
 """
 
-QUERIES = {"op1_nearest": op1_nearest, "op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_main_text": op7_main_text, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
-ORACLES = {"op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
+QUERIES = {"op1_nearest": op1_nearest, "op2_token_counts": op2_token_counts, "op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_main_text": op7_main_text, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
+ORACLES = {"op2_token_counts": OP2_SQL, "op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
