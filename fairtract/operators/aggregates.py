@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtract.functions.geometry import points
-from fairtract.operators.ranks import exact_quantiles, melt
+from fairtract.operators.ranks import described
 from fairtract.operators.select import numeric_names
 from fairtract.staging import stage
 
@@ -16,19 +16,13 @@ from fairtract.staging import stage
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per numeric column."""
     columns = list(columns) if columns is not None else numeric_names(df, exclude=())
-    long = melt(df, [], columns)
-    moments = long.groupBy("variable").agg(
-        F.count("*").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    more = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = described(df, columns, quartiles, more).withColumnRenamed("total", "count")
     # An all-missing column still gets a row: the list of columns drives the join.
     listed = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
-    joined = listed.join(moments, "variable", "left").join(quartiles, "variable", "left")
-    return joined.withColumn("count", F.coalesce("count", F.lit(0)))
+    joined = listed.join(found, "variable", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return joined.select("variable", "count", *more, *quartiles)
 
 
 def count_where(df: DataFrame, flags: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -81,16 +75,16 @@ def choropleth(df: DataFrame, column: str) -> DataFrame:
 
 def bounds(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Bounding box of all geometries; NULL corners where there is no usable position."""
-    every = points(F.col("geometry"))
-    lng = F.transform(every, lambda p: F.get(p, 0))
-    lat = F.transform(every, lambda p: F.get(p, 1))
-    boxes = df.select(
-        *keys,
-        F.array_min(lng).alias("min_lng"),
-        F.array_min(lat).alias("min_lat"),
-        F.array_max(lng).alias("max_lng"),
-        F.array_max(lat).alias("max_lat"),
+    # One fold over the positions makes a row's box, so that its text is parsed once.
+    none = F.lit(None).cast("double")
+    sides = ("min_lng", "min_lat", "max_lng", "max_lat")
+    wider = (F.least, F.least, F.greatest, F.greatest)
+    box = F.aggregate(
+        F.coalesce(points(F.col("geometry")), F.array().cast("array<array<double>>")),
+        F.struct(*[none.alias(side) for side in sides]),
+        lambda b, p: F.struct(*[f(b[side], F.get(p, i % 2)).alias(side) for i, (f, side) in enumerate(zip(wider, sides))]),
     )
+    boxes = df.select(*keys, box.alias("box")).select(*keys, "box.*")
     return boxes.groupBy(*keys).agg(
         F.min("min_lng").alias("min_lng"),
         F.min("min_lat").alias("min_lat"),

@@ -28,13 +28,15 @@ from fairtract.staging import new_path
 
 # Rows evaluated together inside a task; bounds the rows-by-leaves work arrays.
 CHUNK = 1024
+# Intervals of a leaf: patterns and the driver's tables grow with two to this power.
+MAX_SLOTS = 8
 
 
 @dataclass
 class OutcomeModel:
     outcome: str
     features: list[str]
-    model: GBTRegressionModel
+    model: GBTRegressionModel | None = None
 
 
 def model_data(
@@ -78,13 +80,18 @@ def residual_table(df: DataFrame, models: Sequence[OutcomeModel], keys: Sequence
     """``keys, outcome, actual, predicted, residual``."""
     for fitted in models:
         df = predict(df, fitted)
+    return residuals(df, [m.outcome for m in models], keys)
+
+
+def residuals(df: DataFrame, outcomes: Sequence[str], keys: Sequence[str] = ("ID",)) -> DataFrame:
+    """As ``residual_table``, of predictions that ``df`` holds as ``pred_<outcome>``."""
     entries = [
         F.struct(
-            F.lit(m.outcome).alias("outcome"),
-            F.col(OUTCOME_COLUMNS[m.outcome]).alias("actual"),
-            F.col(f"pred_{m.outcome}").alias("predicted"),
+            F.lit(outcome).alias("outcome"),
+            F.col(OUTCOME_COLUMNS[outcome]).alias("actual"),
+            F.col(f"pred_{outcome}").alias("predicted"),
         )
-        for m in models
+        for outcome in outcomes
     ]
     long = df.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*")
     return long.withColumn("residual", F.col("actual") - F.col("predicted"))
@@ -229,15 +236,22 @@ def _explainer(leaves: LeafTable, counts: np.ndarray, width: int) -> Explainer:
 
 
 def tree_shap(
-    df: DataFrame, models: Sequence[OutcomeModel], background: DataFrame | None = None
+    df: DataFrame,
+    models: Sequence[OutcomeModel],
+    background: DataFrame | None = None,
+    leaves: Sequence[LeafTable] | None = None,
 ) -> DataFrame:
     """Add ``shap_<outcome>_<feature>`` columns; each row's sum is its prediction minus the background mean.
 
     All models must share their features, and are explained in one pass. The
-    background is the whole input unless another table is given.
+    background is the whole input unless another table is given. ``leaves``
+    replaces the models' own trees, in the same order. Leaves over more than
+    ``MAX_SLOTS`` features are refused, as the work grows with two to that power.
     """
     features = models[0].features
-    leaves = [leaf_table(df.sparkSession, m) for m in models]
+    leaves = list(leaves) if leaves is not None else [leaf_table(df.sparkSession, m) for m in models]
+    if max(m.slots for m in leaves) > MAX_SLOTS:
+        raise ValueError(f"leaves over more than {MAX_SLOTS} features; fit trees of less depth")
     counts = [np.zeros(len(m.value) << m.slots) for m in leaves]
     # At most leaves x 2^depth rows come back per model, a bound set by the model.
     for row in pattern_counts(background if background is not None else df, features, leaves).collect():

@@ -44,21 +44,21 @@ def _strongest(outcome: str, features: Sequence[str], k: int) -> Column:
             for f in features
         ]
     )
-    return F.slice(F.array_sort(entries), 1, k)
+    return F.slice(F.sort_array(entries), 1, k)
 
 
 def top_drivers_wide(wide: DataFrame, features: Sequence[str], k: int = TOP) -> DataFrame:
     """Add ``top_<outcome>_<r>_feature`` and ``_shap`` columns; sorting stays inside each row."""
-    added = {}
+    lists, added = {}, {}
     for outcome in OUTCOME_COLUMNS:
         present = [f for f in features if f"shap_{outcome}_{f}" in wide.columns]
         if not present:
             continue
-        best = _strongest(outcome, present, k)
+        lists[f"_strongest_{outcome}"] = _strongest(outcome, present, k)
         for r in range(1, k + 1):
-            added[f"top_{outcome}_{r}_feature"] = F.get(best, r - 1)["feature"]
-            added[f"top_{outcome}_{r}_shap"] = F.get(best, r - 1)["shap"]
-    return wide.withColumns(added)
+            entry = F.get(f"_strongest_{outcome}", F.lit(r - 1))
+            added[f"top_{outcome}_{r}_feature"], added[f"top_{outcome}_{r}_shap"] = entry["feature"], entry["shap"]
+    return wide.withColumns(lists).withColumns(added).drop(*lists)
 
 
 def top_columns(k: int = TOP) -> list[str]:

@@ -113,7 +113,14 @@ def _spread(rows: DataFrame, aggregates: dict, keys: list[str]):
 
 
 def _attach(rows: DataFrame, stats, keys: list[str]) -> DataFrame:
-    return rows.join(stats, keys) if keys else rows.withColumns(stats)
+    """Rows with the statistics of their group; a missing key is a group of its own."""
+    if not keys:
+        return rows.withColumns(stats)
+    renamed = stats.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(renamed, same).drop(*[f"_{k}" for k in keys])
 
 
 def centre(rows: DataFrame, columns: list[str], keys: list[str]):
@@ -168,13 +175,10 @@ def _literals(own: DataFrame) -> list:
     return [F.lit(x) for pair in entries.items() for x in pair]
 
 
-def spearman(
-    df: DataFrame, columns: Sequence[str], row: Sequence[str], keys: Sequence[str] = ()
-) -> DataFrame:
-    """Rank correlation matrix of complete cases, in long form. ``row`` columns identify a row."""
-    row = list(dict.fromkeys([*row, *keys]))
-    rows = complete_cases(df.select(*row, *columns), columns)
-    ranked = rank_columns(rows, row, columns, average_rank(), keys)
+def spearman(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation matrix of complete cases, in long form; repeated rows all count."""
+    rows = complete_cases(df.select(*keys, *columns), columns)
+    ranked = rank_columns(rows, keys, columns, average_rank(), keys)
     if len(columns) > NARROW:
         # Wide moments read their input twice; ranking twice would cost far more than a stored copy.
         ranked = stage(ranked.select(*keys, *columns), "ranks")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairtract.operators.moments import group_moments
-from fairtract.operators.select import complete_cases, distinct_states, prefix_names
+from fairtract.operators.select import complete_cases, prefix_names, present
 from fairtract.staging import stage
 
 STATE = "ST_ABBREV"
+# Components per state, and the smallest sample that gets any.
 COMPONENTS = 20
 MIN_TRACTS = 10
 MIN_COLUMNS = 2
@@ -106,12 +107,11 @@ def pca_by_state(df: DataFrame, columns: Sequence[str] | None = None, k: int = C
     States with too few complete tracts keep their rows, with NULLs.
     """
     columns = list(columns) if columns is not None else prefix_names(df)
-    complete = complete_cases(df.select(STATE, *columns), columns)
-    counted = complete.groupBy(STATE).agg(F.count("*").alias("n_tracts"))
-    states = stage(
-        distinct_states(df).join(counted, STATE, "left").withColumn("n_tracts", F.coalesce("n_tracts", F.lit(0))),
-        "states",
-    )
+    rows = df.select(STATE, *columns).where(F.col(STATE).isNotNull())
+    complete = complete_cases(rows, columns)
+    # The list of states and the sizes of their samples in one pass.
+    usable = F.count_if(present(rows, columns)) if columns else F.count("*")
+    states = stage(rows.groupBy(STATE).agg(usable.alias("n_tracts")), "states")
     if len(columns) < MIN_COLUMNS:
         enough = states.where(F.lit(False))
     else:

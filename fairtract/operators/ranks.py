@@ -80,21 +80,81 @@ def rank_columns(
 ) -> DataFrame:
     """Replace each column by its rank within ``keys``.
 
-    ``row`` columns identify a row and are kept; they must include ``keys``.
-    Missing values stay missing. The join by value meets long runs of one
-    value, which AQE splits as skew; rows are then regrouped by ``row``.
+    ``row`` columns are kept; they must include ``keys``. Missing values, and
+    those of rows with a missing key, get no rank. Each row is ranked, also
+    if others are equal to it: rows are numbered in a stored copy.
+
+    The values of all columns are sorted by range together, the row number
+    last, so that also a value of very many rows is dealt over slices. A slice
+    ranks its own rows; what lies before it, and how far the values at its two
+    ends reach into others, comes from a small table of slices.
     """
     keys = list(keys)
-    long = melt(df, row, columns)
-    ranks = cumulative_counts(long, [*keys, "variable"]).withColumn("rank", rank)
-    ranked = long.join(ranks.select(*keys, "variable", "value", "rank"), ["value", "variable", *keys])
-    anchors = df.select(*row, F.lit(None).cast("string").alias("variable"), F.lit(None).cast("double").alias("rank"))
-    return (
-        ranked.select(*row, "variable", "rank")
-        .unionByName(anchors)
-        .groupBy(*row)
+    numbered = stage(df.select(*row, *columns, F.monotonically_increasing_id().alias("_row")), "numbered")
+    groups = [*keys, "variable"]
+    long = melt(numbered, ["_row", *keys], columns)
+    for k in keys:
+        long = long.where(F.col(k).isNotNull())
+    sliced = long.repartitionByRange(*groups, "value", "_row").withColumn("slice", F.spark_partition_id())
+    sliced = stage(sliced, "slices")
+    # Slice and value lead, as sorts compare leading columns fastest.
+    inside = Window.partitionBy("slice", *groups)
+    local = sliced.withColumns(
+        {
+            "local_below": F.rank().over(inside.orderBy("value")) - 1,
+            "local_ties": F.count("*").over(Window.partitionBy("slice", *groups, "value")),
+        }
+    )
+    ends = stage(_slice_ends(sliced, groups), "ends")
+    at_end = F.when(F.col("value") == F.col("low"), F.col("at_low")).when(F.col("value") == F.col("high"), F.col("at_high"))
+    placed = (
+        local.join(ends, ["slice", *groups])
+        .withColumn("at_end", at_end)
+        .withColumn("below", F.coalesce(F.col("at_end.below"), F.col("before") + F.col("local_below")))
+        .withColumn("ties", F.coalesce(F.col("at_end.ties"), F.col("local_ties")))
+    )
+    wide = (
+        placed.select("_row", "variable", rank.alias("rank"))
+        .groupBy("_row")
         .agg(*[F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(c) for c in columns])
     )
+    return numbered.select("_row", *row).join(wide, "_row", "left").select(*row, *columns)
+
+
+def _slice_ends(sliced: DataFrame, groups: list[str]) -> DataFrame:
+    """Per slice and group: rows ``before`` it, the group's ``total``, and for its lowest and
+    highest value the rows of the whole group ``below`` it and its ``ties``."""
+    counts = sliced.groupBy("slice", *groups, "value").agg(F.count("*").alias("n"))
+    per_slice = counts.groupBy("slice", *groups).agg(
+        F.sum("n").alias("size"),
+        F.min(F.struct("value", "n")).alias("first"),
+        F.max(F.struct("value", "n")).alias("last"),
+    )
+    along = Window.partitionBy(*groups).orderBy("slice")
+    whole = Window.partitionBy(*groups)
+    spans = (
+        per_slice.withColumn("before", F.sum("size").over(along) - F.col("size"))
+        .withColumn("total", F.sum("size").over(whole))
+    )
+    # The rows below a value end where its first slice has it: at the front, or else at the back.
+    front = F.struct(F.col("first.value").alias("value"), F.col("first.n").alias("n"), F.col("before").alias("below"))
+    back = F.struct(
+        F.col("last.value").alias("value"), F.col("last.n").alias("n"), (F.col("before") + F.col("size") - F.col("last.n")).alias("below")
+    )
+    both = F.when(F.col("first.value") == F.col("last.value"), F.array(front)).otherwise(F.array(front, back))
+    values = (
+        spans.select(*groups, F.explode(both).alias("e"))
+        .groupBy(*groups, F.col("e.value").alias("value"))
+        .agg(F.min("e.below").alias("below"), F.sum("e.n").alias("ties"))
+        .select(*groups, "value", F.struct("below", "ties").alias("at"))
+    )
+    low = values.withColumnsRenamed({"value": "low", "at": "at_low"})
+    high = values.withColumnsRenamed({"value": "high", "at": "at_high"})
+    return (
+        spans.select("slice", *groups, "before", "total", F.col("first.value").alias("low"), F.col("last.value").alias("high"))
+        .join(low, [*groups, "low"])
+        .join(high, [*groups, "high"])
+    )
 
 
 # Half width of a bracket around a quantile, relative to the group, and the accuracy of the
@@ -105,11 +165,15 @@ SMALL = 50_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: dict[str, float],
+    keys: Sequence[str] = (),
+    small: int | None = None,
 ) -> DataFrame:
     """Interpolated quantiles, one row per group and variable, one column per named probability.
 
-    Small groups use the built-in exact aggregate, whose buffer grows with the
+    Groups up to ``small`` rows (default ``SMALL``) use the built-in exact aggregate, whose buffer grows with the
     group. In large ones a sketch gives a narrow bracket around each quantile;
     only values inside it are ranked, together with the number of rows below
     it, so no large group is shuffled or sorted.
@@ -117,7 +181,11 @@ def exact_quantiles(
     groups = [*keys, "variable"]
     long = melt(df, keys, columns)
     brackets = stage(_brackets(df, columns, probabilities, list(keys)), "brackets")
-    small, large = brackets.where(F.col("total") <= SMALL), brackets.where(F.col("total") > SMALL)
+    return _quantiles(long, brackets, probabilities, groups, SMALL if small is None else small)
+
+
+def _quantiles(long: DataFrame, brackets: DataFrame, probabilities: dict[str, float], groups: list[str], most: int) -> DataFrame:
+    small, large = brackets.where(F.col("total") <= most), brackets.where(F.col("total") > most)
     if large.isEmpty():
         return _small_quantiles(long, small, probabilities, groups)
     found = _large_quantiles(long, large, groups)
@@ -156,8 +224,14 @@ def _large_quantiles(long: DataFrame, brackets: DataFrame, groups: list[str]) ->
     return found.where(F.col("quantile").isNotNull()).unionByName(_whole(long, missed, brackets, groups))
 
 
-def _brackets(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: list[str]) -> DataFrame:
-    """``keys, variable, q, p, total, low, high`` of every group with values."""
+def _brackets(
+    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: list[str], more: dict | None = None
+) -> DataFrame:
+    """``keys, variable, q, p, total, low, high`` of every group with values.
+
+    ``more`` holds functions from a column to further aggregates of the same pass.
+    """
+    more = more or {}
     ends = [max(0.0, p - MARGIN) for p in probabilities.values()] + [min(1.0, p + MARGIN) for p in probabilities.values()]
     number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     sketches = []
@@ -165,9 +239,15 @@ def _brackets(df: DataFrame, columns: Sequence[str], probabilities: dict[str, fl
         sketches += [
             F.count(number[c]).alias(f"total_{i}"),
             F.percentile_approx(number[c], ends, ACCURACY).alias(f"ends_{i}"),
+            *[f(number[c]).alias(f"{name}_{i}") for name, f in more.items()],
         ]
     entries = [
-        F.struct(F.lit(c).alias("variable"), F.col(f"total_{i}").alias("total"), F.col(f"ends_{i}").alias("ends"))
+        F.struct(
+            F.lit(c).alias("variable"),
+            F.col(f"total_{i}").alias("total"),
+            F.col(f"ends_{i}").alias("ends"),
+            *[F.col(f"{name}_{i}").alias(name) for name in more],
+        )
         for i, c in enumerate(columns)
     ]
     asked = [
@@ -186,6 +266,7 @@ def _brackets(df: DataFrame, columns: Sequence[str], probabilities: dict[str, fl
             "e.total",
             F.get("e.ends", F.col("a.i")).alias("low"),
             F.get("e.ends", F.col("a.i") + len(asked)).alias("high"),
+            *[F.col(f"e.{name}") for name in more],
         )
     )
 
@@ -212,8 +293,19 @@ def _holds(index: Column) -> Column:
     return (F.col("below") <= index) & (index < F.col("below") + F.col("ties"))
 
 
-def group_median(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return exact_quantiles(df, columns, {"median": 0.5}, keys)
+def described(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], more: dict) -> DataFrame:
+    """``variable, total``, the ``more`` aggregates and the quantiles of columns with values, in one pass and a bracket's."""
+    brackets = stage(_brackets(df, columns, probabilities, [], more), "brackets")
+    totals = brackets.select("variable", "total", *more).distinct()
+    found = _quantiles(melt(df, [], columns), brackets.drop(*more), probabilities, ["variable"], SMALL)
+    return totals.join(found, "variable")
+
+
+def group_median(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), p: float = 0.5, small: int | None = None
+) -> DataFrame:
+    """The median, or the quantile at ``p``, as column ``median``."""
+    return exact_quantiles(df, columns, {"median": p}, keys, small)
 
 
 def smallest(df: DataFrame, keys: Sequence[str], order: str, quota: DataFrame, tie: str) -> DataFrame:

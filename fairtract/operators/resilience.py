@@ -45,9 +45,16 @@ def ols_by_state(df: DataFrame, predictors: Sequence[str] = REGRESSION_PREDICTOR
 
 
 def resilience(
-    df: DataFrame, models: DataFrame | None = None, predictors: Sequence[str] = REGRESSION_PREDICTORS
+    df: DataFrame,
+    models: DataFrame | None = None,
+    predictors: Sequence[str] = REGRESSION_PREDICTORS,
+    threshold: float = 0.5,
 ) -> DataFrame:
-    """Predictions, residuals and flags of every complete tract in states that have a model."""
+    """Predictions, residuals and flags of every complete tract in states that have a model.
+
+    Tracts at or above the ``threshold`` quantile of their state count as highly
+    vulnerable: the median, or 0.75 for the stricter quartile.
+    """
     predictors = list(predictors)
     rows = complete_cases(
         df.select(*dict.fromkeys(["ID", STATE, "CNTY_NAME", VULNERABILITY, *regression_columns(predictors)])),
@@ -55,7 +62,7 @@ def resilience(
     )
     if models is None:
         models = ols_by_state(df, predictors)
-    medians = group_median(rows.select(STATE, VULNERABILITY), [VULNERABILITY], [STATE])
+    medians = group_median(rows.select(STATE, VULNERABILITY), [VULNERABILITY], [STATE], threshold)
     fitted = stage(
         models.where(F.col("r2_cancer").isNotNull()).join(medians.select(STATE, "median"), STATE), "models"
     )

@@ -35,7 +35,22 @@ def state_summary(counties: DataFrame, measures: Sequence[str] = MEASURES) -> Da
     )
 
 
-def nested_summary(summary: DataFrame) -> DataFrame:
+def nested_summary(counties: DataFrame, counts: DataFrame) -> DataFrame:
+    """States with means as two maps, their top drivers, and the list of their counties, highest risk first.
+
+    ``counties`` is the county summary and ``counts`` the driver counts by
+    state and county; a state's list has one entry per county.
+    """
+    by_county = [STATE, "county"]
+    states = with_maps(state_summary(counties)).join(driver_lists(driver_frequency(counts, [STATE], 5), [STATE]), STATE, "left")
+    listed = with_maps(rank_counties(counties)).join(driver_lists(driver_frequency(counts, by_county, 3), by_county), by_county, "left")
+    fields = [c for c in listed.columns if c not in (STATE, "risk")]
+    entry = F.struct("rank", *[c for c in fields if c != "rank"])
+    in_order = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"])
+    return states.join(listed.groupBy(STATE).agg(in_order.alias("counties")), STATE)
+
+
+def with_maps(summary: DataFrame) -> DataFrame:
     """The means of a summary as two maps, with the outcomes also on top level."""
 
     def as_map(columns: Sequence[str]):

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtract.operators.ranks import smallest
 from fairtract.staging import stage
 
-MAX_ROWS = 100_000
-
 
 def quotas(df: DataFrame, n: int, key: str = "ST_ABBREV") -> DataFrame:
     """Rows to draw per group, in proportion to its size, by largest remainder; ties by name."""
@@ -24,15 +22,15 @@ def quotas(df: DataFrame, n: int, key: str = "ST_ABBREV") -> DataFrame:
 
 
 def stratified_sample(
-    df: DataFrame, n: int | None = MAX_ROWS, key: str = "ST_ABBREV", seed: int = 42, id_column: str = "ID"
+    df: DataFrame, n: int | None, key: str = "ST_ABBREV", seed: int = 42, id_column: str = "ID", draw: Column | None = None
 ) -> DataFrame:
     """Exactly ``n`` rows in proportion to ``key`` if there are more, else all rows.
 
-    Rows are ordered by a seeded hash of their id, so the sample does not
-    depend on partitioning. ``n=None`` keeps everything.
+    Rows are ordered by a seeded hash of their id, or by the bigint ``draw``,
+    so the sample does not depend on partitioning. ``n=None`` keeps everything.
     """
     if n is None or df.count() <= n:
         return df
-    hashed = df.withColumn("_draw", F.xxhash64(F.col(id_column), F.lit(seed)))
+    hashed = df.withColumn("_draw", F.xxhash64(F.col(id_column), F.lit(seed)) if draw is None else draw)
     quota = stage(quotas(df, n, key), "quotas").where(F.col("quota") > 0)
     return smallest(hashed, [key], "_draw", quota, id_column).drop("_draw")

@@ -13,6 +13,7 @@ from fairtract import schema as names
 from fairtract.functions.scalars import MISSING, format_key, format_value, geoid11, state_fips
 
 STATE = "ST_ABBREV"
+# Fixed value: the states shown where none is chosen.
 DEFAULT_STATES = ["IN"]
 
 
@@ -43,7 +44,7 @@ def prefix_columns(df: DataFrame, prefix: str = "P_") -> DataFrame:
 
 
 def for_state(df: DataFrame, state: str | None = None) -> DataFrame:
-    return df.where(F.col(STATE) == state) if state else df
+    return df.where(F.col(STATE) == state.upper()) if state else df
 
 
 def for_states(df: DataFrame, states: Sequence[str], fallback: Sequence[str] = DEFAULT_STATES) -> DataFrame:
@@ -55,14 +56,19 @@ def complete_cases(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
     return df.na.drop("any", subset=list(subset) if subset is not None else None)
 
 
-def drop_report(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Row counts before and after ``complete_cases``, in one pass."""
-    columns = list(subset) if subset is not None else df.columns
+def present(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Whether a row has a value, and no NaN, in all columns."""
     usable = F.lit(True)
     for c in columns:
         usable = usable & F.col(c).isNotNull()
         if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
             usable = usable & ~F.isnan(c)
+    return usable
+
+
+def drop_report(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+    """Row counts before and after ``complete_cases``, in one pass."""
+    usable = present(df, list(subset) if subset is not None else df.columns)
     return df.agg(
         F.count("*").alias("n_before"),
         F.count_if(usable).alias("n_after"),
@@ -96,8 +102,16 @@ def tracts_by_ids(df: DataFrame, fips: DataFrame, ids: DataFrame, column: str =
 
 
 def drivers_for_tract(drivers: DataFrame, tract_id: str, state: str) -> DataFrame:
-    wanted = geoid11(F.lit(tract_id))
-    return drivers.where((F.col(STATE) == state) & (F.col("geoid11") == wanted))
+    """The attribution record of one tract, none if there is none.
+
+    On a table written by ``write_tracts`` the state prunes partitions and the
+    id is pushed down to the scan.
+    """
+    geoid = re.sub("[^0-9]", "", tract_id).rjust(11, "0")
+    in_state = drivers.where(F.col(STATE) == state.upper())
+    if "ID" not in drivers.columns:
+        return in_state.where(F.col("geoid11") == geoid)
+    return in_state.where(F.col("ID") == int(geoid)) if len(geoid) <= 18 else in_state.limit(0)
 
 
 def tract_sections(

@@ -218,11 +218,11 @@ def result_blocks(
     """Search results as one text per query.
 
     ``results``: ``query, position, title, url, text, highlights``. The best
-    ``n`` are kept per query, which Spark limits before the shuffle, so a
+    ``n`` by position, then url, are kept per query, which Spark limits before the shuffle, so a
     query with very many results is no hot group. Queries without results get
     a message.
     """
-    best = Window.partitionBy("query").orderBy("position")
+    best = Window.partitionBy("query").orderBy("position", "url")
     kept = results.withColumn("i", F.row_number().over(best)).where(F.col("i") <= n)
     text = F.coalesce(F.substring("text", 1, chars), F.array_join("highlights", " "))
     content = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, NO_CONTENT).otherwise(text)

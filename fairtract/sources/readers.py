@@ -24,12 +24,19 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError(f"none of these paths exists: {', '.join(paths)}")
 
 
+#: Where a row stands in its source: later rows compare greater.
+POSITION = "_position"
+
+
 def read_indicators(
-    spark: SparkSession, path: str, format: str = "csv", infer: bool = False
+    spark: SparkSession, path: str, format: str = "csv", infer: bool = True, position: bool = False
 ) -> DataFrame:
-    """One row per tract. Known columns get their declared type, others text.
+    """One row per tract. Known columns get their declared type, others the type that fits a CSV's values.
 
-    ``infer=True`` costs a second pass over the CSV and types unknown columns too.
+    ``infer=False`` spares the pass over the CSV that this needs and reads
+    unknown columns as text. ``position`` adds the column ``_position`` with
+    each row's place among the files, by which ``export`` and ``analyse`` let
+    later rows of an id win.
     """
     if format == "csv":
         reader = spark.read.option("header", True).option("enforceSchema", False)
@@ -41,7 +48,15 @@ def read_indicators(
         raw = reader.schema(T.StructType(fields)).csv(path)
     else:
         raw = spark.read.format(format).load(path)
-    return nan_to_null(raw)
+    if not position:
+        return nan_to_null(raw)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    columns = raw.columns
+    return nan_to_null(raw.select("*", place.alias(POSITION)).select(*columns, POSITION))
 
 
 def optional_source(

@@ -73,10 +73,10 @@ def write_feature_collections(
     columns: Sequence[str] = names.FEATURE_COLUMNS,
     per_document: int = 2_000,
 ) -> None:
-    """Whole ``FeatureCollection`` documents, one per line.
+    """One or more ``FeatureCollection`` documents per state, one per line.
 
-    A state larger than ``per_document`` is split into several documents, so
-    no task ever holds a whole state. Rows are dealt out by their position in
+    The features of a state are dealt over documents of about ``per_document``,
+    so no task ever holds a whole state; readers must not rely on one. Rows are dealt out by their position in
     a stored table: a hash would put all copies of one feature together.
     """
     text = stage(_feature_text(features(df.where(F.col(STATE).isNotNull()), columns)), "features")
@@ -100,10 +100,10 @@ def write_keyed_json(
     state: str = STATE,
     per_object: int = 5_000,
 ) -> None:
-    """JSON objects keyed by id under ``state=XX`` folders, one object per line.
+    """One or more JSON objects keyed by id per state under ``state=XX`` folders, one per line.
 
-    Keys must be unique (see ``last_by_key``). A state larger than
-    ``per_object`` is written as several objects with disjoint keys.
+    Keys must be unique (see ``last_by_key``); the objects of a state, of about
+    ``per_object`` keys, have disjoint keys.
     """
     df = nan_to_null(df)
     body = value if value is not None else json_row(*[c for c in df.columns if c != key])

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fairtract import staging
 from fairtract.operators import boosting, drivers
 from fairtract import schema as names
 from fairtract.plans import jobs
@@ -87,9 +88,9 @@ def test_explain_outcomes_end_to_end(rows):
     assert (found.top_cancer_1_shap.abs() >= found.top_cancer_2_shap.abs()).all()
 
 
-def test_explain_outcomes_with_row_cap(rows):
-    wide, _ = jobs.explain_outcomes(rows, max_rows=150, trees=2, min_leaf=5)
-    assert wide.count() == 150
+def test_bounded_fit_explains_all_rows(rows):
+    wide, _ = jobs.explain_outcomes(rows, max_fit_rows=150, trees=2, min_leaf=5)
+    assert wide.count() == 400 and wide.where("shap_cancer_P_PM25 is null").count() == 0
 
 
 def test_model_data_names_missing_features(rows):
@@ -103,11 +104,15 @@ def test_residual_table(rows, models):
     np.testing.assert_allclose(found.residual, found.actual - found.predicted)
 
 
-def test_analysis_chain_writes_every_table(spark, rows, tmp_path):
+def test_analysis_chain_writes_every_table(spark, rows, tmp_path, monkeypatch):
     folder = str(tmp_path / "analysis")
     tracts = rows.withColumn("P_PTRAF", F.col("P_OZONE") / 2)
     index = rows.select(F.lpad(F.col("ID").cast("string"), 11, "0").alias("GEOID"), (F.col("ID") / 400).alias("RPL_EJI"))
-    report = jobs.analyse(tracts, index, folder, trees=2, min_leaf=5)
+    source, staged = str(tmp_path / "tracts"), str(tmp_path / "staged")
+    tracts.write.parquet(source)
+    monkeypatch.setattr(staging, "scratch_dir", lambda spark: staged)
+    report = jobs.analyse(spark.read.parquet(source), index, folder, trees=2, min_leaf=5)
+    assert list((tmp_path / "staged").glob("*")) == []
     assert sorted(map(tuple, report.collect()), key=str) == [("AA", 400, 1), (None, 400, 1)]
     for name, count in {
         "analysis_minimal": 400, "pca_by_state": 20, "resilience_all_states": 400, "resilience_by_state": 1,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairtract.operators import ranks
+from fairtract.staging import stage
 from workload.compare import rows_of
 from workload.queries import QUERIES
 
@@ -13,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 PLANNED = [
     "county_summary", "state_summary", "driver_frequency", "join_index", "join_geometry", "attach_state",
     "tracts_by_ids", "resilience", "histogram", "spearman", "spearman_all", "group_moments_wide", "standardise",
-    "pca_by_state", "stratified_sample", "tract_context", "state_context", "result_blocks", "choropleth",
+    "pca_by_state_all", "stratified_sample", "tract_context", "state_context", "result_blocks", "choropleth",
 ]
 
 
@@ -57,19 +58,16 @@ def test_partitioning_does_not_matter(spark, name):
     assert found[0] == found[1] == found[2]
 
 
-def test_hot_value_is_split_by_the_skew_join(spark):
-    """A third of the rows share one value; with lowered thresholds the join back is split."""
+def test_hot_value_is_dealt_over_slices(spark, monkeypatch):
+    """A third of the rows share one value; they are ranked in several slices."""
     df = spark.range(60_000).select(
         F.col("id").alias("ID"),
         F.lit("AA").alias("ST_ABBREV"),
         F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("x"),
     )
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
-    }
+    stored = {}
+    monkeypatch.setattr(ranks, "stage", lambda table, name: stored.setdefault(name, stage(table, name)))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -77,7 +75,37 @@ def test_hot_value_is_split_by_the_skew_join(spark):
         ranked = ranks.rank_columns(df.repartition(8), ["ID", "ST_ABBREV"], ["x"], ranks.average_rank(), ["ST_ABBREV"])
         zeros = ranked.where("ID % 3 = 0").agg(F.min("x"), F.max("x"), F.count("*"))
         assert tuple(zeros.collect()[0]) == (10_000.5, 10_000.5, 20_000)
-        assert "isSkew=true" in plan_of(zeros) or "skew=true" in plan_of(zeros)
+        sizes = [r["count"] for r in stored["slices"].groupBy("slice").count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 8_000
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_bounds_parses_each_kind_once(spark):
+    assert plan_of(QUERIES["bounds"](spark, SF_DIR)).split("== Initial Plan ==")[0].count("from_json") <= 6
+
+
+def test_lookup_of_drivers_is_pruned_and_pushed_down(spark, tmp_path):
+    from fairtract.operators import select
+    from fairtract.sources.writers import write_tracts
+
+    stored = spark.range(50).select((F.col("id") + 1_001_000_000).alias("ID"), F.lit("AA").alias("ST_ABBREV"), F.lit(1.0).alias("shap"))
+    write_tracts(stored, str(tmp_path / "drivers"))
+    found = select.drivers_for_tract(spark.read.parquet(str(tmp_path / "drivers")), "1001000007", "aa")
+    assert found.count() == 1
+    plan = plan_of(found)
+    assert re.search(r"PartitionFilters: \[[^\]]*ST_ABBREV", plan) and "EqualTo(ID,1001000007)" in plan
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fairtract.staging import scratch_dir
+
+    context = SimpleNamespace(
+        master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None
+    )
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context)
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(cluster)

@@ -78,5 +78,5 @@ def test_sample_of_copies_keeps_its_size(spark):
 
 def test_sample_keeps_small_input(spark, skewed):
     df = spark.createDataFrame(skewed)
-    assert stratified_sample(df).count() == len(skewed)
+    assert stratified_sample(df, None).count() == stratified_sample(df, 10**6).count() == len(skewed)
     assert stratified_sample(df, None).count() == len(skewed)

@@ -44,9 +44,11 @@ def test_missing_county_counts_as_zero_and_shifts_the_state(tracts):
     assert tracts.agg(F.avg("P_CANCER")).head()[0] == pytest.approx(weighted / 35)
 
 
-def test_nested_summary(tracts):
-    row = rollup.nested_summary(rollup.state_summary(rollup.county_summary(tracts))).head()
+def test_nested_summary(tracts, records):
+    counts = reports.county_driver_counts(tracts, records)
+    row = rollup.nested_summary(rollup.county_summary(tracts), counts).head()
     assert len(row.avg_env) == 12 and len(row.avg_demo) == 2 and row.avg_env["P_CANCER"] == row.avg_cancer
+    assert [c.rank for c in row.counties] == list(range(1, 20)) and row.top_cancer[0].feature == "P_UST"
 
 
 def test_county_ties_go_by_name(spark):

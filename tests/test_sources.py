@@ -38,9 +38,17 @@ def test_csv_keeps_types_and_turns_nan_into_null(spark, tracts, tmp_path):
 
 def test_unknown_csv_columns(spark, tmp_path):
     (tmp_path / "x.csv").write_text('ID,EXTRA,CNTY_NAME\n1001020100,7,"Baldwin, AL"\n\n1001020200,,\n')
-    plain = readers.read_indicators(spark, str(tmp_path / "x.csv"))
+    plain = readers.read_indicators(spark, str(tmp_path / "x.csv"), infer=False)
     assert rows(plain) == [(1001020100, "7", "Baldwin, AL"), (1001020200, None, None)]
-    assert dict(readers.read_indicators(spark, str(tmp_path / "x.csv"), infer=True).dtypes)["EXTRA"] == "int"
+    assert dict(readers.read_indicators(spark, str(tmp_path / "x.csv")).dtypes)["EXTRA"] == "int"
+
+
+def test_position_follows_the_files(spark, tmp_path):
+    for name, values in (("a", range(50)), ("b", range(50, 90))):
+        (tmp_path / f"{name}.csv").write_text("ID,EXTRA\n" + "".join(f"{v % 7},{v}\n" for v in values))
+    found = readers.read_indicators(spark, str(tmp_path / "*.csv"), position=True)
+    last = writers.last_by_key(found, "ID", readers.POSITION)
+    assert sorted(r.EXTRA for r in last.collect()) == list(range(83, 90))
 
 
 def test_first_existing_and_optional_source(spark, tmp_path):

@@ -48,11 +48,24 @@ def test_wide_moments_without_keys(spark, tracts):
 
 def test_spearman_equals_pandas(spark, tracts):
     df = spark.createDataFrame(tracts)
-    found = moments.spearman(df, COLUMNS, ["ID"]).toPandas().pivot(index="var1", columns="var2", values="rho")
+    found = moments.spearman(df, COLUMNS).toPandas().pivot(index="var1", columns="var2", values="rho")
     expected = tracts[COLUMNS].dropna().rank().corr()
     np.testing.assert_allclose(found.loc[COLUMNS, COLUMNS], expected, atol=1e-12)
 
 
+def test_spearman_counts_repeated_rows(spark):
+    rows = [(1.0, 2.0), (1.0, 2.0), (2.0, 1.0), (3.0, 3.0), (5.0, 4.0), (None, 4.0)]
+    found = moments.spearman(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).where("var1='a' and var2='b'").head()
+    expected = pd.DataFrame(rows[:5]).rank().corr().iloc[0, 1]
+    assert found.n == 5 and found.rho == pytest.approx(expected)
+
+
+def test_standardise_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([("k", 1.0), ("k", 3.0), (None, 4.0), (None, 8.0), ("z", None)], "k string, a double")
+    found = moments.standardise(df, ["a"], ["k"]).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([("k", -1.0), ("k", 1.0), (None, -1.0), (None, 1.0), ("z", None)], key=str)
+
+
 def test_correlation_of_constant_column_is_missing(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)], "a double, b double")
     found = {(r.var1, r.var2): r.rho for r in moments.correlations(moments.group_moments(df, ["a", "b"])).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = new_path(spark, "collections")
-    writers.write_feature_collections(_with_geometry(spark, sf), folder, per_document=500)
+    writers.write_feature_collections(_with_geometry(spark, sf), folder, per_document=50)
     rows = readers.read_feature_collections(spark, folder)
     return rows.groupBy(F.col("properties.ST_ABBREV").alias("state")).agg(
         F.count("*").alias("features"),
@@ -112,7 +113,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = new_path(spark, "records")
     source = tables.unit(spark, sf).withColumn("geoid11", tables.geoid())
-    writers.write_keyed_json(source, folder, "geoid11", per_object=500)
+    writers.write_keyed_json(source, folder, "geoid11", per_object=50)
     kept = names.schema_for(["ID", "CNTY_NAME", "P_CANCER", "P_PTRAF"])
     rows = readers.read_keyed_json(spark, folder, kept)
     return rounded(rows.select("geoid11", "value.*", "state"), ["P_CANCER", "P_PTRAF"])
@@ -122,7 +123,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = new_path(spark, "driver-records")
     records = tables.driver_records(spark, sf).withColumn("record", F.to_json(F.struct("cancer", "resp")))
-    writers.write_keyed_json(records, folder, "geoid11", F.col("record"), per_object=500)
+    writers.write_keyed_json(records, folder, "geoid11", F.col("record"), per_object=50)
     rows = readers.read_keyed_json(spark, folder, names.DRIVER_RECORD)
     diesel = F.filter("value.cancer", lambda d: d["feature"] == "P_DSLPM")[0]["shap"]
     return rows.groupBy("state").agg(F.count("*").alias("entries"), r(F.sum(diesel), 3).alias("total"))
@@ -228,6 +229,11 @@ def _(spark, sf):
     return rounded(select.for_states(tables.unit(spark, sf), ["AM", "MI"]).select("ID", "ST_ABBREV", "P_PM25"), ["P_PM25"])
 
 
+@query("for_states_default", f"{UNIT} select ID, ST_ABBREV from unit where ST_ABBREV in ('EU')")
+def _(spark, sf):
+    return select.for_states(tables.unit(spark, sf), [], ["EU"]).select("ID", "ST_ABBREV")
+
+
 @query(
     "complete_cases",
     f"{UNIT} select ID, ST_ABBREV, {_r(['P_CANCER', 'P_RESP', 'P_DSLPM', 'P_PTRAF', 'DEMOGIDX_2'])} from unit where {sql.FIVE}",
@@ -487,20 +493,6 @@ def _(spark, sf):
     return rounded(jobs.state_summaries(tables.unit(spark, sf)), ROLLUP)
 
 
-@query(
-    "nested_summary",
-    f"""{COUNTY} select ST_ABBREV, tract_count, county_count, {r6('P_CANCER')} avg_cancer, {r6('P_RESP')} avg_resp, {r6('P_PM25')} env_pm25,
-    {r6('P_LOWINCPCT')} demo_lowinc, 12 env_size, 2 demo_size from state""",
-)
-def _(spark, sf):
-    nested = rollup.nested_summary(jobs.state_summaries(tables.unit(spark, sf)))
-    return nested.select(
-        "ST_ABBREV", "tract_count", "county_count", r(F.col("avg_cancer")).alias("avg_cancer"), r(F.col("avg_resp")).alias("avg_resp"),
-        r(F.col("avg_env")["P_PM25"]).alias("env_pm25"), r(F.col("avg_demo")["P_LOWINCPCT"]).alias("demo_lowinc"),
-        F.size("avg_env").alias("env_size"), F.size("avg_demo").alias("demo_size"),
-    )
-
-
 def _frequency(keys: str, n: int) -> str:
     return f"""{DRIVERS}, freq as (select {keys}, outcome, feature, count(*) c from
       (select ST_ABBREV, coalesce(CNTY_NAME,'Unknown') county, outcome, feature, shap from ranked where rk<=3) where shap>0 group by all)
@@ -508,10 +500,10 @@ def _frequency(keys: str, n: int) -> str:
       (select *, row_number() over (partition by {keys}, outcome order by c desc, feature) rk from freq) where rk<={n}"""
 
 
-@query("driver_frequency", _frequency("ST_ABBREV", 2))
+@query("driver_frequency", _frequency("ST_ABBREV", 5))
 def _(spark, sf):
     counts = rollup.driver_counts(tables.driver_records(spark, sf), ["ST_ABBREV"])
-    return rollup.driver_frequency(counts, ["ST_ABBREV"], 2)
+    return rollup.driver_frequency(counts, ["ST_ABBREV"])
 
 
 @query("driver_frequency_by_county", _frequency("ST_ABBREV, county", 3))
@@ -521,6 +513,44 @@ def _(spark, sf):
     return rollup.driver_frequency(rollup.driver_counts(records, keys), keys, 3)
 
 
+_NESTED = f"""{DRIVERS}, {sql.COUNTY_TABLE},
+rc as (select *, row_number() over (partition by ST_ABBREV order by round((P_CANCER+P_RESP)/2,9) desc, county) rk from county),
+hit as (select ST_ABBREV, coalesce(CNTY_NAME,'Unknown') county, outcome, feature from ranked where rk<=3 and shap>0),
+cf as (select *, row_number() over (partition by ST_ABBREV, county, outcome order by c desc, feature) fr from
+  (select ST_ABBREV, county, outcome, feature, count(*) c from hit group by all)),
+sf as (select *, row_number() over (partition by ST_ABBREV, outcome order by c desc, feature) fr from
+  (select ST_ABBREV, outcome, feature, count(*) c from hit group by all)),
+cl as (select ST_ABBREV, county, string_agg(feature || ':' || c, ',' order by fr) filter (outcome='cancer' and fr<=3) lc,
+  string_agg(feature || ':' || c, ',' order by fr) filter (outcome='resp' and fr<=3) lr from cf group by all),
+sl as (select ST_ABBREV, string_agg(feature || ':' || c, ',' order by fr) filter (outcome='cancer' and fr<=5) lc,
+  string_agg(feature || ':' || c, ',' order by fr) filter (outcome='resp' and fr<=5) lr from sf group by all)"""
+
+
+@query(
+    "nested_summary",
+    f"""{_NESTED} select rc.ST_ABBREV, s.tract_count, county_count, {r6('s.P_CANCER')} avg_cancer, {r6('s.P_PM25')} env_pm25, {r6('s.P_LOWINCPCT')} demo_lowinc,
+    coalesce(sl.lc,'') top_cancer, coalesce(sl.lr,'') top_resp, cast(rc.rk as int) "rank", rc.county, rc.tract_count county_tracts, {r6('rc.P_RESP')} county_resp, {r6('rc.P_PM25')} county_pm25,
+    coalesce(cl.lc,'') county_cancer_drivers, coalesce(cl.lr,'') county_resp_drivers
+    from rc join state s on s.ST_ABBREV=rc.ST_ABBREV left join sl on sl.ST_ABBREV=rc.ST_ABBREV left join cl on cl.ST_ABBREV=rc.ST_ABBREV and cl.county=rc.county""",
+)
+def _(spark, sf):
+    unit = tables.unit(spark, sf)
+    counts = reports.county_driver_counts(unit, tables.driver_records(spark, sf))
+    nested = rollup.nested_summary(rollup.county_summary(unit), counts)
+
+    def shown(c: str):
+        listed = F.transform(c, lambda d: F.concat(d["feature"], F.lit(":"), d["count"].cast("string")))
+        return F.coalesce(F.array_join(listed, ","), F.lit(""))
+
+    rows = nested.withColumn("c", F.explode("counties"))
+    return rows.select(
+        "ST_ABBREV", "tract_count", "county_count", r(F.col("avg_cancer")).alias("avg_cancer"), r(F.col("avg_env")["P_PM25"]).alias("env_pm25"),
+        r(F.col("avg_demo")["P_LOWINCPCT"]).alias("demo_lowinc"), shown("top_cancer").alias("top_cancer"), shown("top_resp").alias("top_resp"),
+        "c.rank", "c.county", F.col("c.tract_count").alias("county_tracts"), r(F.col("c.avg_resp")).alias("county_resp"),
+        r(F.col("c.avg_env")["P_PM25"]).alias("county_pm25"), shown("c.top_cancer").alias("county_cancer_drivers"), shown("c.top_resp").alias("county_resp_drivers"),
+    )
+
+
 @query("distinct_states", f"{UNIT} select distinct ST_ABBREV from unit where ST_ABBREV is not null")
 def _(spark, sf):
     return select.distinct_states(tables.unit(spark, sf))
@@ -541,6 +571,17 @@ def _(spark, sf):
     return rounded(ranks.group_median(tables.unit(spark, sf), ["DEMOGIDX_2", "P_PTRAF"], ["ST_ABBREV"]), ["median"])
 
 
+@query(
+    "group_quartile_large",
+    f"""{UNIT} select ST_ABBREV, 'DEMOGIDX_2' variable, {r6('quantile_cont(DEMOGIDX_2,0.75)')} median from unit group by 1
+    union all select ST_ABBREV, 'P_PTRAF', {r6('quantile_cont(P_PTRAF,0.75)')} from unit group by 1""",
+)
+def _(spark, sf):
+    # Every group takes the way of large ones: brackets, then ranks inside them.
+    found = ranks.group_median(tables.unit(spark, sf), ["DEMOGIDX_2", "P_PTRAF"], ["ST_ABBREV"], 0.75, small=0)
+    return rounded(found, ["median"])
+
+
 @query(
     "indicator_scale",
     f"""{UNIT}, s as (select ST_ABBREV, coalesce(min(P_PTRAF),0) lo, coalesce(max(P_PTRAF),1) hi from unit group by 1)
@@ -550,8 +591,8 @@ def _(spark, sf):
     return rounded(aggregates.indicator_scale(tables.unit(spark, sf), "P_PTRAF", ["ST_ABBREV"]), ["low", "high", "mid"])
 
 
-_POINTS = """with p as (select label, vec_id, cast(embedding[1] as double) a, cast(embedding[2] as double) b from embeddings),
-q as (select label, a x, b y from p where vec_id % 4 in (0,1,2) union all select label, b, a from p where vec_id % 4 in (1,2))"""
+_POINTS = """with p as (select label, vec_id, embedding e, unnest(range(0, cast(len(embedding)/2 as int))) i from embeddings),
+q as (select label, cast(e[2*i+1] as double) x, cast(e[2*i+2] as double) y from p where vec_id % 4 in (1,2) or (vec_id % 4 = 0 and i = 0))"""
 
 
 @query("bounds", f"{_POINTS} select label, {r6('min(x)')} min_lng, {r6('min(y)')} min_lat, {r6('max(x)')} max_lng, {r6('max(y)')} max_lat from q group by 1")
@@ -642,10 +683,10 @@ def _(spark, sf):
     return rollup.split_top(ranked, 3).select("ST_ABBREV", "county", "rank", "detailed")
 
 
-@query("top_drivers", f"{DRIVERS} select ID, outcome, feature, shap, cast(rk as int) \"rank\" from ranked where rk<=2")
+@query("top_drivers", f"{DRIVERS} select ID, outcome, feature, shap, cast(rk as int) \"rank\" from ranked where rk<=3")
 def _(spark, sf):
     long = drivers.to_long(tables.contributions(spark, sf), tables.LINEAR_FEATURES, ["ID"])
-    return drivers.top_drivers(long, ["ID"], 2)
+    return drivers.top_drivers(long, ["ID"])
 
 
 _top_wide = ", ".join(
@@ -674,20 +715,51 @@ def _loadings(spark, sf):
     return stage(pca.pca(tables.unit(spark, sf), P_COLUMNS, ["ST_ABBREV"]), "loadings")
 
 
-@query("top_loadings")
+def _component_sql(columns) -> str:
+    """Stand-ins that SQL can make: a column's row of the correlation matrix is a component's
+    loadings, its share of the total variance what the component explains."""
+    present = " and ".join(f"{c} is not null" for c in columns)
+    total = "+".join(f"var_pop({c})" for c in columns)
+    rows = " union all ".join(
+        f"select ST_ABBREV, count(*) n, {i} pc, {r6(f'var_pop({a})/({total})', 9)} ve, '{b}' variable, {r6(f'corr({a},{b})', 9)} loading from cc group by 1"
+        for i, a in enumerate(columns, 1)
+        for b in columns
+    )
+    return f"{UNIT}, cc as (select * from unit where {present}), ld as ({rows}), cp as (select distinct ST_ABBREV, n, pc, ve from ld)"
+
+
+def _components(spark, sf):
+    found = moments.group_moments(tables.unit(spark, sf), _NARROW, ["ST_ABBREV"])
+    number = F.array_position(F.array(*[F.lit(c) for c in _NARROW]), F.col("var1")).cast("int")
+    own = found.where("var1 = var2")
+    total = own.groupBy("ST_ABBREV").agg(F.sum("comoment").alias("total"))
+    share = own.join(total, "ST_ABBREV").select("ST_ABBREV", "var1", r(F.col("comoment") / F.col("total"), 9).alias("var_explained"))
+    rho = moments.correlations(found, ["ST_ABBREV"]).join(share, ["ST_ABBREV", "var1"])
+    return rho.select("ST_ABBREV", "n", number.alias("pc"), "var_explained", F.col("var2").alias("variable"), r(F.col("rho"), 9).alias("loading"))
+
+
+_NARROW = ["P_CANCER", "P_RESP", "P_DSLPM", "P_PTRAF", "P_PWDIS"]
+_tops = ", ".join(f"max(variable) filter (rk={i}) top{i}_var" for i in range(1, 11))
+
+
+@query(
+    "top_loadings",
+    f"""{_component_sql(_NARROW)}, od as (select *, row_number() over (partition by ST_ABBREV, pc order by abs(loading) desc, variable) rk from ld)
+    select ST_ABBREV, n, cast(pc as int) pc, {r6('ve')} var_explained, {_tops} from od group by ST_ABBREV, n, pc, ve""",
+)
 def _(spark, sf):
-    return rounded(pca.top_loadings(_loadings(spark, sf), ["ST_ABBREV"]), ["var_explained"])
+    return rounded(pca.top_loadings(_components(spark, sf), ["ST_ABBREV"]), ["var_explained"])
 
 
 @query(
     "rank_states",
     f"""{RESILIENCE} select ST_ABBREV, n_tracts, n_resilient_cancer, n_resilient_resp, r2_cancer, r2_resp, {r6('(r2_cancer+r2_resp)/2')} r2_avg,
     round_even(n_resilient_cancer/n_tracts*100, 1) pct_resilient_cancer, round_even(n_resilient_resp/n_tracts*100, 1) pct_resilient_resp
-    from summ where r2_cancer is not null and r2_resp is not null order by pct_resilient_cancer desc, ST_ABBREV limit 3""",
+    from summ where r2_cancer is not null and r2_resp is not null""",
 )
 def _(spark, sf):
     ranked = resilience.rank_states(_summary(spark, sf))
-    return rounded(resilience.top_states(ranked, "pct_resilient_cancer", 3), ["r2_avg", "r2_cancer", "r2_resp"])
+    return rounded(ranked, ["r2_avg", "r2_cancer", "r2_resp"])
 
 
 @query(
@@ -700,22 +772,27 @@ def _(spark, sf):
     return rounded(ranked.select("ST_ABBREV", "n_tracts", "r2_cancer", "r2_resp", "r2_avg"), ["r2_cancer", "r2_resp", "r2_avg"])
 
 
-@query("cumulative_variance")
+@query(
+    "cumulative_variance",
+    f"""{_component_sql(_NARROW)} select ST_ABBREV, n, cast(pc as int) pc, {r6('ve')} var_explained,
+    {r6('sum(ve) over (partition by ST_ABBREV order by pc)')} cumulative from cp""",
+)
 def _(spark, sf):
-    components = _loadings(spark, sf).select("ST_ABBREV", "n", "pc", "var_explained").distinct()
+    components = _components(spark, sf).select("ST_ABBREV", "n", "pc", "var_explained").distinct()
     return rounded(pca.cumulative_variance(components, ["ST_ABBREV"]), ["var_explained", "cumulative"])
 
 
 @query(
     "pad_components",
-    f"""{UNIT}, s as (select ST_ABBREV, count(*) n_tracts from unit group by 1) select ST_ABBREV, n_tracts, cast(pc as int) pc, pc <= {len(P_COLUMNS)} filled
-    from (select *, unnest(range(1,21)) pc from s)""",
+    f"""{_component_sql(_NARROW)}, s as (select ST_ABBREV, count(*) n_tracts from unit group by 1)
+    select g.ST_ABBREV, n_tracts, cast(g.pc as int) pc, {r6('ve')} var_explained
+    from (select *, unnest(range(1,21)) pc from s) g left join cp on cp.ST_ABBREV=g.ST_ABBREV and cp.pc=g.pc""",
 )
 def _(spark, sf):
-    components = pca.top_loadings(_loadings(spark, sf), ["ST_ABBREV"])
+    components = _components(spark, sf).select("ST_ABBREV", "n", "pc", "var_explained").distinct()
     states = tables.unit(spark, sf).groupBy("ST_ABBREV").agg(F.count("*").alias("n_tracts"))
     padded = pca.pad_components(components, states)
-    return padded.select("ST_ABBREV", "n_tracts", "pc", F.col("var_explained").isNotNull().alias("filled"))
+    return rounded(padded, ["var_explained"])
 
 
 @query("preview", f"{UNIT} select ID, ST_ABBREV, {_r(['P_CANCER'])} from unit order by ID limit 15")
@@ -726,7 +803,7 @@ def _(spark, sf):
 # ---- statistics and models ---------------------------------------------------------------------
 
 
-def _spearman_sql(columns, keys: str) -> str:
+def _spearman_sql(columns, keys: str, source: str = UNIT) -> str:
     present = " and ".join(f"{c} is not null" for c in columns)
     part = f"{keys}, " if keys else ""
     rank = ", ".join(
@@ -737,21 +814,29 @@ def _spearman_sql(columns, keys: str) -> str:
         for a in columns
         for b in columns
     )
-    return f"{UNIT}, cc as (select * from unit where {present}), rk as (select {part}{rank} from cc) {rows}"
+    return f"{source}, cc as (select * from unit where {present}), rk as (select {part}{rank} from cc) {rows}"
 
 
-_NARROW = ["P_CANCER", "P_RESP", "P_DSLPM", "P_PTRAF", "P_PWDIS"]
 _WIDE = [*P_COLUMNS[:10], "DEMOGIDX_2"]
 
 
 @query("spearman", _spearman_sql(_NARROW, "ST_ABBREV"))
 def _(spark, sf):
-    return rounded(moments.spearman(tables.unit(spark, sf), _NARROW, ["ID"], ["ST_ABBREV"]), ["rho"])
+    return rounded(moments.spearman(tables.unit(spark, sf), _NARROW, ["ST_ABBREV"]), ["rho"])
 
 
 @query("spearman_all", _spearman_sql(_WIDE, ""))
 def _(spark, sf):
-    return rounded(moments.spearman(tables.unit(spark, sf), _WIDE, ["ID"]), ["rho"])
+    return rounded(moments.spearman(tables.unit(spark, sf), _WIDE), ["rho"])
+
+
+_LINES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("spearman_copies", _spearman_sql(_LINES, "l_returnflag", "with unit as (select * from lineitem)"))
+def _(spark, sf):
+    # Rows without a key of their own: most prices and discounts repeat.
+    return rounded(moments.spearman(tables.table(spark, sf, "lineitem"), _LINES, ["l_returnflag"]), ["rho"])
 
 
 def _moments_sql(columns, keys: str) -> str:
@@ -827,7 +912,22 @@ def _(spark, sf):
     return _rebuilt(_loadings(spark, sf), ["ST_ABBREV"], P_COLUMNS)
 
 
-@query("pca_by_state")
+@query(
+    "pca_by_state",
+    f"""{UNIT}, s as (select ST_ABBREV, count(*) filter (P_CANCER is not null and P_PTRAF is not null) n_tracts, abs(corr(P_CANCER,P_PTRAF)) rho from unit group by 1)
+    select ST_ABBREV, n_tracts, cast(pc as int) PC, case pc when 1 then {r6('(1+rho)/2')} when 2 then {r6('(1-rho)/2')} end var_explained,
+      case when pc <= 2 then 2 else 0 end named
+    from (select *, unnest(range(1,21)) pc from s)""",
+)
+def _(spark, sf):
+    # Two columns have a closed form; both load alike, so their order is left open.
+    rows = pca.pca_by_state(tables.unit(spark, sf), ["P_CANCER", "P_PTRAF"])
+    tops = F.array(*[F.col(f"top{i}_var") for i in range(1, 11)])
+    named = F.size(F.array_intersect(tops, F.array(F.lit("P_CANCER"), F.lit("P_PTRAF"))))
+    return rounded(rows, ["var_explained"]).select("ST_ABBREV", "n_tracts", "PC", "var_explained", named.alias("named"))
+
+
+@query("pca_by_state_all")
 def _(spark, sf):
     return pca.pca_by_state(tables.unit(spark, sf))
 
@@ -902,17 +1002,19 @@ def _(spark, sf):
     f"""{UNIT}, s as (select ST_ABBREV, count(*) size from unit group by 1),
     t as (select ST_ABBREV, size*120/cast(sum(size) over () as double) x from s),
     b as (select ST_ABBREV, x, cast(floor(x) as bigint) base from t),
-    q as (select ST_ABBREV, base + case when row_number() over (order by x-base desc, ST_ABBREV) <= 120-sum(base) over () then 1 else 0 end n from b)
-    select ST_ABBREV, cast(n as bigint) n from q""",
+    q as (select ST_ABBREV, base + case when row_number() over (order by x-base desc, ST_ABBREV) <= 120-sum(base) over () then 1 else 0 end n from b),
+    d as (select ID, ST_ABBREV, row_number() over (partition by ST_ABBREV order by substr(md5(cast(ID as varchar)),1,15), ID) rn from unit)
+    select ID, d.ST_ABBREV from d join q on q.ST_ABBREV=d.ST_ABBREV where rn <= n""",
 )
 def _(spark, sf):
-    sample = stratified_sample(tables.unit(spark, sf), 120)
-    return sample.groupBy("ST_ABBREV").agg(F.countDistinct("ID").alias("n"))
+    # A digest that both engines have, so that the drawn tracts are compared.
+    draw = F.conv(F.substring(F.md5(F.col("ID").cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return stratified_sample(tables.unit(spark, sf), 120, draw=draw).select("ID", "ST_ABBREV")
 
 
 @tables._once("explained")
 def _explained(spark, sf):
-    minimal = jobs.analysis_minimal(tables.unit(spark, sf), tables.index(spark, sf))
+    minimal = jobs.analysis_minimal(tables.unit(spark, sf), tables.whole_index(spark, sf))
     wide, models = jobs.explain_outcomes(minimal)
     return stage(wide, "explained"), models
 
@@ -921,57 +1023,119 @@ def _features(wide):
     return [c.removeprefix("shap_cancer_") for c in wide.columns if c.startswith("shap_cancer_")]
 
 
-_EXPLAINED = f"""{INDEX}, cc as (select unit.* from unit join idx on trim(idx.GEOID)=lpad(cast(ID as varchar),11,'0')
+_EXPLAINED = f"""{sql.WHOLE_INDEX}, cc as (select unit.* from unit join idx on trim(idx.GEOID)=lpad(cast(ID as varchar),11,'0')
   where {' and '.join(f'{c} is not null' for c in names.MINIMAL_COLUMNS)})"""
 
 
+_means = {o: r6(f"avg({c})") for o, c in names.OUTCOME_COLUMNS.items()}
+
+
 @query(
     "fit_outcome",
-    f"{_EXPLAINED} select 'cancer' outcome, count(*) n, true beats_least_squares from cc union all select 'resp', count(*), true from cc",
+    f"{_EXPLAINED} select 'cancer' outcome, count(*) n, {_means['cancer']} mean_actual, true beats_least_squares from cc union all select 'resp', count(*), {_means['resp']}, true from cc",
 )
 def _(spark, sf):
     wide, _models = _explained(spark, sf)
     linear = moments.ols(wide, list(names.OUTCOME_COLUMNS.values()), _features(wide))
     fits = [
-        aggregates.fit_r2(wide, column, f"pred_{o}").select(F.lit(o).alias("outcome"), F.lit(column).alias("column"), "n", F.col("r2").alias("boosted"))
+        aggregates.fit_r2(wide, column, f"pred_{o}")
+        .withColumns({"outcome": F.lit(o), "column": F.lit(column), "boosted": F.col("r2")})
+        .select("outcome", "column", "n", "boosted")
+        .join(wide.agg(F.lit(o).alias("outcome"), r(F.avg(column)).alias("mean_actual")), "outcome")
         for o, column in names.OUTCOME_COLUMNS.items()
     ]
     compared = fits[0].unionByName(fits[1]).join(linear.select(F.col("outcome").alias("column"), "r2"), "column")
-    return compared.select("outcome", "n", (F.col("boosted") > F.col("r2")).alias("beats_least_squares"))
+    return compared.select("outcome", "n", "mean_actual", (F.col("boosted") > F.col("r2")).alias("beats_least_squares"))
 
 
 _zero = " union all ".join("select ID, '{o}' outcome, 0.0 gap from cc".format(o=o) for o in names.OUTCOME_COLUMNS)
 
 
-@query("tree_shap", f"{_EXPLAINED} select ID, outcome, cast(gap as double) gap from ({_zero})")
+@query("tree_shap_fitted", f"{_EXPLAINED} select ID, outcome, cast(gap as double) gap, cast(0 as double) mean_gap from ({_zero})")
 def _(spark, sf):
-    """What the contributions of a tract leave open of prediction minus mean prediction."""
+    """What a fitted model's contributions leave open: of prediction minus mean prediction for each
+    tract, and of zero for each feature's mean over the background."""
     wide, _models = _explained(spark, sf)
+    features = _features(wide)
     means = wide.agg(*[F.avg(f"pred_{o}").alias(o) for o in names.OUTCOME_COLUMNS]).head()
     parts = []
     for o in names.OUTCOME_COLUMNS:
-        total = sum((F.col(f"shap_{o}_{f}") for f in _features(wide)), F.lit(0.0))
-        parts.append(wide.select("ID", F.lit(o).alias("outcome"), r(total - (F.col(f"pred_{o}") - F.lit(means[o]))).alias("gap")))
+        total = sum((F.col(f"shap_{o}_{f}") for f in features), F.lit(0.0))
+        worst = wide.agg(r(F.greatest(*[F.abs(F.avg(f"shap_{o}_{f}")) for f in features])).alias("w")).head().w
+        parts.append(
+            wide.select("ID", F.lit(o).alias("outcome"), r(total - (F.col(f"pred_{o}") - F.lit(means[o]))).alias("gap"), F.lit(worst).alias("mean_gap"))
+        )
     return parts[0].unionByName(parts[1])
 
 
-@query("shap_importance")
+# A tree by hand over two features, with the values of its four leaves for each outcome: the left
+# side splits the second feature at 30, the right side at 60.
+_TREE = {"cancer": (1.0, 4.0, -2.0, 7.0), "resp": (0.5, -3.0, 2.5, 6.0)}
+_SPLIT = ["P_DSLPM", "P_PTRAF"]
+
+
+def _hand_leaves(values) -> boosting.LeafTable:
+    inf = float("inf")
+    low = np.array([[-inf, -inf], [-inf, 30.0], [50.0, -inf], [50.0, 60.0]])
+    high = np.array([[50.0, 30.0], [50.0, inf], [inf, 60.0], [inf, inf]])
+    return boosting.LeafTable(np.array(values), np.array([[0, 1]] * 4), low, high)
+
+
+def _tree_sql(values, a: str, b: str) -> str:
+    return f"case when {a} <= 50 then case when {b} <= 30 then {values[0]} else {values[1]} end else case when {b} <= 60 then {values[2]} else {values[3]} end end"
+
+
+def _shapley_sql() -> str:
+    """Both features' Shapley values against each of the background's cells, by their shares."""
+    parts = []
+    for o, values in _TREE.items():
+        f = lambda a, b: _tree_sql(values, f"{a}.x", f"{b}.y")  # noqa: B023, E731
+        first = f"sum(w*(({f('u', 'u')})-({f('b', 'u')})+({f('u', 'b')})-({f('b', 'b')})))/2"
+        second = f"sum(w*(({f('u', 'u')})-({f('u', 'b')})+({f('b', 'u')})-({f('b', 'b')})))/2"
+        parts += [f"{first} shap_{o}_{_SPLIT[0]}", f"{second} shap_{o}_{_SPLIT[1]}"]
+    return f"""{UNIT}, u as (select ID, ST_ABBREV, CNTY_NAME, P_DSLPM x, P_PTRAF y from unit where P_DSLPM is not null and P_PTRAF is not null),
+    b as (select case when x <= 50 then 0 else 100 end x, case when y <= 30 then 0 when y <= 60 then 45 else 100 end y,
+      count(*) / (select count(*) from u) w from u group by 1, 2),
+    phi as (select ID, {", ".join(parts)} from u, b group by ID)"""
+
+
+_shaps = [f"shap_{o}_{c}" for o in _TREE for c in _SPLIT]
+
+
+@tables._once("hand-explained")
+def _hand_explained(spark, sf):
+    rows = select.complete_cases(tables.unit(spark, sf).select("ID", "ST_ABBREV", "CNTY_NAME", *_SPLIT), _SPLIT)
+    models = [boosting.OutcomeModel(o, _SPLIT) for o in _TREE]
+    return stage(boosting.tree_shap(rows, models, leaves=[_hand_leaves(v) for v in _TREE.values()]), "hand-explained")
+
+
+@query("tree_shap", f"{_shapley_sql()} select ID, {_r(_shaps)} from phi")
 def _(spark, sf):
-    wide, _models = _explained(spark, sf)
-    return drivers.pivot_importance(drivers.driver_importance(drivers.to_long(wide, _features(wide), ["ID"])))
+    return rounded(_hand_explained(spark, sf).select("ID", *_shaps), _shaps)
 
 
-_actual = " union all ".join(
-    f"select ID, '{o}' outcome, {r6(c)} actual, cast(0 as double) gap from cc" for o, c in names.OUTCOME_COLUMNS.items()
+_importance = " union all ".join(
+    f"select '{c}' feature, {', '.join(r6(f'avg(abs(shap_{o}_{c}))') + ' ' + o for o in _TREE)} from phi" for c in _SPLIT
 )
 
 
-@query("residual_table", f"{_EXPLAINED} {_actual}")
+@query("shap_importance", f"{_shapley_sql()} {_importance}")
 def _(spark, sf):
-    wide, models = _explained(spark, sf)
-    rows = boosting.residual_table(wide.drop("pred_cancer", "pred_resp"), models, ["ID"])
-    gap = F.col("predicted") + F.col("residual") - F.col("actual")
-    return rows.select("ID", "outcome", r(F.col("actual")).alias("actual"), r(gap).alias("gap"))
+    long = drivers.to_long(_hand_explained(spark, sf), _SPLIT, ["ID"])
+    return rounded(drivers.pivot_importance(drivers.driver_importance(long)), list(_TREE))
+
+
+_left = " union all ".join(
+    f"select ID, '{o}' outcome, {r6(c, 4)} actual, {r6(f'{c}_pred', 4)} predicted, {r6(f'resid_{o}', 4)} residual from res"
+    for o, c in names.OUTCOME_COLUMNS.items()
+)
+
+
+@query("residual_table", f"{RESILIENCE} {_left}")
+def _(spark, sf):
+    """Of the least-squares predictions, which SQL has as well."""
+    rows = _resilience(spark, sf).withColumnsRenamed({f"{c}_pred": f"pred_{o}" for o, c in names.OUTCOME_COLUMNS.items()})
+    return rounded(boosting.residuals(rows, list(names.OUTCOME_COLUMNS), ["ID"]), ["actual", "predicted", "residual"], 4)
 
 
 @query(
@@ -990,6 +1154,36 @@ def _(spark, sf):
     return jobs.export(tables.unit(spark, sf), tables.boundaries(spark, sf), new_path(spark, "export"))
 
 
+@query(
+    "export_records",
+    """select lpad(cast(cast(n_regionkey+1 as bigint)*1000000000 + o_custkey as varchar),11,'0') geoid11, n, o_orderkey, price, 4 columns from
+    (select o_custkey, n_regionkey, o_orderkey, cast(o_totalprice as double) price, count(*) over (partition by o_custkey) n,
+      row_number() over (partition by o_custkey order by o_orderkey desc) rn
+     from orders join customer on c_custkey=o_custkey join nation on n_nationkey=c_nationkey) where rn=1""",
+)
+def _(spark, sf):
+    """A CSV with a row per order: the last row of a customer is the record that is kept."""
+    path, folder = new_path(spark, "orders-csv"), new_path(spark, "export")
+    home = tables.table(spark, sf, "customer").join(tables.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    orders = tables.table(spark, sf, "orders").join(home, F.col("c_custkey") == F.col("o_custkey"))
+    rows = orders.select(
+        ((F.col("n_regionkey") + 1).cast("bigint") * 1000000000 + F.col("o_custkey")).alias("ID"),
+        F.concat(F.lit("S"), "n_regionkey").alias("ST_ABBREV"), "o_orderkey", F.col("o_totalprice").alias("price"),
+    )
+    writers.write_csv(rows.orderBy("o_orderkey"), path)
+    source = readers.read_indicators(spark, path, position=True)
+    areas = source.select(scalars.geoid11_int(F.col("ID")).alias("GEOID")).distinct()
+    point = F.struct(F.lit("Point").alias("type"), F.lit("[1,2]").alias("coordinates"))
+    jobs.export(source, areas.withColumn("geometry", point), folder)
+    text_rows = readers.read_keyed_json(spark, f"{folder}/tract-data", T.MapType(T.StringType(), T.StringType()))
+    times = source.groupBy(scalars.geoid11_int(F.col("ID")).alias("geoid11")).agg(F.count("*").alias("n"))
+    kept = F.map_filter("value", lambda k, v: k != "GEOID")
+    return text_rows.join(times, "geoid11").select(
+        "geoid11", "n", F.col("value")["o_orderkey"].cast("bigint").alias("o_orderkey"), F.col("value")["price"].cast("double").alias("price"),
+        F.size(kept).alias("columns"),
+    )
+
+
 # ---- text --------------------------------------------------------------------------------------
 
 
@@ -1148,3 +1342,20 @@ from state s left join sl on sl.ST_ABBREV=s.ST_ABBREV left join body on body.ST_
 @query("state_context", _STATE_TEXT)
 def _(spark, sf):
     return reports.state_context(tables.unit(spark, sf), tables.driver_records(spark, sf))
+
+
+# 23 counties per state, so that eight of them are in the compact part.
+_MANY = _STATE_TEXT.replace("select ID, ST_ABBREV, STATE_NAME, CNTY_NAME, DEMOGIDX_2,", "select ID, ST_ABBREV, STATE_NAME, concat('County ', ID % 23) CNTY_NAME, DEMOGIDX_2,", 1).replace(
+    "body as (select",
+    f"""compact as (select rc.ST_ABBREV, concat('{reports.OTHER_COUNTIES_TITLE}', chr(10), chr(10), string_agg(concat('- ', rc.county, ': ', tract_count, ' tracts, cancer ',
+  {fixed1('P_CANCER', 0)}, ', resp ', {fixed1('P_RESP', 0)}, ', top driver: ', coalesce(string_split(lc, ', ')[1], string_split(lr, ', ')[1], '—')), chr(10) order by rk), chr(10)) more
+  from rc left join cl on cl.ST_ABBREV=rc.ST_ABBREV and cl.county=rc.county where rk>15 group by 1),
+body as (select""",
+    1,
+).replace("'', t], lambda", "'', t, more], lambda", 1) + " left join compact on compact.ST_ABBREV=s.ST_ABBREV"
+
+
+@query("state_context_many_counties", _MANY)
+def _(spark, sf):
+    unit = tables.unit(spark, sf).withColumn("CNTY_NAME", F.concat(F.lit("County "), (F.col("ID") % 23).cast("string")))
+    return reports.state_context(unit, tables.driver_records(spark, sf))

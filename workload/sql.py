@@ -52,6 +52,11 @@ idx as (select concat(' ', lpad(cast(ID as varchar),11,'0'), ' ') GEOID,
   percent_rank() over (order by P_PTSDF, ID) RPL_EJI
   from unit where DEMOGIDX_2 < 0.9 and P_PTSDF is not null)"""
 
+# An index that covers all tracts, for the models.
+WHOLE_INDEX = f"""{UNIT},
+idx as (select concat(' ', lpad(cast(ID as varchar),11,'0'), ' ') GEOID,
+  percent_rank() over (order by coalesce(P_PTSDF, -1), ID) RPL_EJI from unit)"""
+
 _features = list(LINEAR["cancer"])
 _contributions = ",\n  ".join(
     f"round({weight}*({f} - avg({f}) over (partition by ST_ABBREV)),7)+0.0 shap_{o}_{f}"

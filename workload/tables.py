@@ -140,7 +140,16 @@ def fips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_once("index")
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second index that lacks the most vulnerable tracts; blanks around the id test the trim."""
-    rows = unit(spark, sf_dir).where((F.col("DEMOGIDX_2") < 0.9) & F.col("P_PTSDF").isNotNull())
+    return _indexed(unit(spark, sf_dir).where((F.col("DEMOGIDX_2") < 0.9) & F.col("P_PTSDF").isNotNull()))
+
+
+@_once("whole-index")
+def whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second index that covers all tracts, for the models."""
+    return _indexed(unit(spark, sf_dir).withColumn("P_PTSDF", F.coalesce("P_PTSDF", F.lit(-1.0))))
+
+
+def _indexed(rows: DataFrame) -> DataFrame:
     # Ranked by P_PTSDF then ID, so that every pair is one row.
     pair = F.struct(F.col("P_PTSDF"), F.col("ID"))
     counts = cumulative_counts(rows.select(F.lit(0).alias("all"), pair.alias("pair")), ["all"], "pair")
@@ -184,17 +193,17 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geometries of four types from the first two numbers of each embedding."""
-    at = lambda i: F.col("embedding")[i].cast("double")
-    point, turned = F.array(at(0), at(1)), F.array(at(1), at(0))
-    ring = F.array(F.array(point, turned))
+    """Geometries of four types: rings and lines hold all pairs of an embedding, points the first."""
+    pair = lambda i: F.transform(F.slice("embedding", 2 * i + 1, 2), lambda x: x.cast("double"))
+    line = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), pair)
+    ring, point = F.array(line), F.element_at(line, 1)
     kind = F.col("vec_id") % 4
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
         "label",
         F.struct(
             F.when(kind == 0, "Point").when(kind == 1, "Polygon").when(kind == 2, "MultiPolygon").otherwise("LineString").alias("type"),
-            F.when(kind == 0, F.to_json(point)).when(kind == 1, F.to_json(ring)).when(kind == 2, F.to_json(F.array(ring))).otherwise(F.to_json(F.array(point))).alias("coordinates"),
+            F.when(kind == 0, F.to_json(point)).when(kind == 1, F.to_json(ring)).when(kind == 2, F.to_json(F.array(ring))).otherwise(F.to_json(line)).alias("coordinates"),
         ).alias("geometry"),
     )
 
