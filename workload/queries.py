@@ -1013,7 +1013,7 @@ def _(spark, sf):
 
 
 @tables._once("explained")
-def _explained(spark, sf):
+def explained(spark, sf):
     minimal = jobs.analysis_minimal(tables.unit(spark, sf), tables.whole_index(spark, sf))
     wide, models = jobs.explain_outcomes(minimal)
     return stage(wide, "explained"), models
@@ -1035,7 +1035,7 @@ _means = {o: r6(f"avg({c})") for o, c in names.OUTCOME_COLUMNS.items()}
     f"{_EXPLAINED} select 'cancer' outcome, count(*) n, {_means['cancer']} mean_actual, true beats_least_squares from cc union all select 'resp', count(*), {_means['resp']}, true from cc",
 )
 def _(spark, sf):
-    wide, _models = _explained(spark, sf)
+    wide, _models = explained(spark, sf)
     linear = moments.ols(wide, list(names.OUTCOME_COLUMNS.values()), _features(wide))
     fits = [
         aggregates.fit_r2(wide, column, f"pred_{o}")
@@ -1055,7 +1055,7 @@ _zero = " union all ".join("select ID, '{o}' outcome, 0.0 gap from cc".format(o=
 def _(spark, sf):
     """What a fitted model's contributions leave open: of prediction minus mean prediction for each
     tract, and of zero for each feature's mean over the background."""
-    wide, _models = _explained(spark, sf)
+    wide, _models = explained(spark, sf)
     features = _features(wide)
     means = wide.agg(*[F.avg(f"pred_{o}").alias(o) for o in names.OUTCOME_COLUMNS]).head()
     parts = []
