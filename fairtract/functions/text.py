@@ -34,6 +34,7 @@ def truncate_text(c: Column, limit: int = PAGE_LIMIT, mark: str = CUT_MARK) -> C
 
 def unwrap_fence(c: Column) -> Column:
     """Content of the first fenced block that starts a line, else the trimmed text."""
+    # Fixed value: what counts as a fenced block.
     fence = rf"(?mU)^```(?:markdown|md)?{_SPACE}*\n?((?s:.*?))\n?```{_SPACE}*$"
     text = trim_all(c)
     return F.when(text.rlike(fence), trim_all(F.regexp_extract(text, fence, 1))).otherwise(text)

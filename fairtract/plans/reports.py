@@ -29,6 +29,25 @@ STATE_AVERAGES_TITLE = "## Statewide Averages (percentiles)"
 STATE_DRIVERS_TITLE = "## Statewide Top Risk Drivers (SHAP analysis, by frequency across tracts)"
 OTHER_COUNTIES_TITLE = "## Other Counties (compact summary, sorted by risk)"
 TOP_COUNTIES = 15
+STATE_TITLE = "# State: "
+STATE_TRACTS, STATE_COUNTIES = "Total tracts: ", " | Counties: "
+AVERAGE_LINES = {
+    "P_CANCER": "- Cancer risk: ",
+    "P_RESP": "- Respiratory risk: ",
+    "P_LOWINCPCT": "- Low-income population: ",
+    "P_PEOPCOLORPCT": "- People of color: ",
+}
+STATE_DRIVER_LINES = {"cancer": "- Cancer: ", "resp": "- Respiratory: "}
+TOP_COUNTIES_TITLE = "## Top {n} Highest-Risk Counties (by average cancer + respiratory risk)"
+COUNTY_TITLE, TRACTS_SUFFIX, COUNTED_SUFFIX = "### ", " tracts)", " tracts)"
+COUNTY_RISKS = ("- Avg cancer risk: ", " | Avg respiratory risk: ")
+COUNTY_PEOPLE = ("- Low-income: ", " | People of color: ")
+COUNTY_DRIVER_LINES = {"cancer": "- Top cancer drivers: ", "resp": "- Top respiratory drivers: "}
+COMPACT_PARTS = ("- ", ": ", " tracts, cancer ", ", resp ", ", top driver: ")
+NO_DRIVER = "—"
+RESULTS_TITLE = ('Web search results for "', '":\n\n')
+NO_RESULTS = ('[No web results for: "', '". Proceed with other context.]')
+RESULT_PARTS = ("[", "] ", "\nURL: ", "\n")
 NO_CONTENT = "(No content)"
 
 
@@ -111,7 +130,7 @@ def _names(drivers: Column) -> Column:
 
 
 def _counted(drivers: Column) -> Column:
-    shown = lambda d: F.concat(label(d["feature"]), F.lit(" ("), d["count"].cast("string"), F.lit(" tracts)"))
+    shown = lambda d: F.concat(label(d["feature"]), F.lit(" ("), d["count"].cast("string"), F.lit(COUNTED_SUFFIX))
     return F.array_join(F.transform(drivers, shown), ", ")
 
 
@@ -121,30 +140,30 @@ def _some(drivers: Column) -> Column:
 
 def _county_detail() -> Column:
     return _lines(
-        F.concat(F.lit("### "), "county", F.lit(" ("), F.col("tract_count").cast("string"), F.lit(" tracts)")),
+        F.concat(F.lit(COUNTY_TITLE), "county", F.lit(" ("), F.col("tract_count").cast("string"), F.lit(TRACTS_SUFFIX)),
         F.concat(
-            F.lit("- Avg cancer risk: "), fixed(F.col("P_CANCER"), 1),
-            F.lit(" | Avg respiratory risk: "), fixed(F.col("P_RESP"), 1),
+            F.lit(COUNTY_RISKS[0]), fixed(F.col("P_CANCER"), 1),
+            F.lit(COUNTY_RISKS[1]), fixed(F.col("P_RESP"), 1),
         ),
         F.concat(
-            F.lit("- Low-income: "), fixed(F.col("P_LOWINCPCT"), 1, "N/A"),
-            F.lit(" | People of color: "), fixed(F.col("P_PEOPCOLORPCT"), 1, "N/A"),
+            F.lit(COUNTY_PEOPLE[0]), fixed(F.col("P_LOWINCPCT"), 1, "N/A"),
+            F.lit(COUNTY_PEOPLE[1]), fixed(F.col("P_PEOPCOLORPCT"), 1, "N/A"),
         ),
-        F.when(_some(F.col("top_cancer")), F.concat(F.lit("- Top cancer drivers: "), _names(F.col("top_cancer")))),
-        F.when(_some(F.col("top_resp")), F.concat(F.lit("- Top respiratory drivers: "), _names(F.col("top_resp")))),
+        F.when(_some(F.col("top_cancer")), F.concat(F.lit(COUNTY_DRIVER_LINES["cancer"]), _names(F.col("top_cancer")))),
+        F.when(_some(F.col("top_resp")), F.concat(F.lit(COUNTY_DRIVER_LINES["resp"]), _names(F.col("top_resp")))),
         F.lit(""),
     )
 
 
 def _county_line() -> Column:
     first = F.coalesce(
-        F.get(F.col("top_cancer"), F.lit(0))["feature"], F.get(F.col("top_resp"), F.lit(0))["feature"], F.lit("—")
+        F.get(F.col("top_cancer"), F.lit(0))["feature"], F.get(F.col("top_resp"), F.lit(0))["feature"], F.lit(NO_DRIVER)
     )
     return F.concat(
-        F.lit("- "), "county", F.lit(": "), F.col("tract_count").cast("string"),
-        F.lit(" tracts, cancer "), fixed(F.col("P_CANCER"), 0),
-        F.lit(", resp "), fixed(F.col("P_RESP"), 0),
-        F.lit(", top driver: "), label(first),
+        F.lit(COMPACT_PARTS[0]), "county", F.lit(COMPACT_PARTS[1]), F.col("tract_count").cast("string"),
+        F.lit(COMPACT_PARTS[2]), fixed(F.col("P_CANCER"), 0),
+        F.lit(COMPACT_PARTS[3]), fixed(F.col("P_RESP"), 0),
+        F.lit(COMPACT_PARTS[4]), label(first),
     )
 
 
@@ -181,23 +200,23 @@ def state_context(tracts: DataFrame, drivers: DataFrame) -> DataFrame:
     compact = F.filter(F.col("lines"), lambda e: ~e["detailed"])
     blank = F.lit("")
     report = _lines(
-        F.concat(F.lit("# State: "), STATE),
+        F.concat(F.lit(STATE_TITLE), STATE),
         F.concat(
-            F.lit("Total tracts: "), F.col("tract_count").cast("string"),
-            F.lit(" | Counties: "), F.col("county_count").cast("string"),
+            F.lit(STATE_TRACTS), F.col("tract_count").cast("string"),
+            F.lit(STATE_COUNTIES), F.col("county_count").cast("string"),
         ),
         blank,
         F.lit(STATE_AVERAGES_TITLE),
-        F.concat(F.lit("- Cancer risk: "), fixed(F.col("P_CANCER"), 1)),
-        F.concat(F.lit("- Respiratory risk: "), fixed(F.col("P_RESP"), 1)),
-        F.concat(F.lit("- Low-income population: "), fixed(F.col("P_LOWINCPCT"), 1, "N/A")),
-        F.concat(F.lit("- People of color: "), fixed(F.col("P_PEOPCOLORPCT"), 1, "N/A")),
+        F.concat(F.lit(AVERAGE_LINES["P_CANCER"]), fixed(F.col("P_CANCER"), 1)),
+        F.concat(F.lit(AVERAGE_LINES["P_RESP"]), fixed(F.col("P_RESP"), 1)),
+        F.concat(F.lit(AVERAGE_LINES["P_LOWINCPCT"]), fixed(F.col("P_LOWINCPCT"), 1, "N/A")),
+        F.concat(F.lit(AVERAGE_LINES["P_PEOPCOLORPCT"]), fixed(F.col("P_PEOPCOLORPCT"), 1, "N/A")),
         blank,
         F.lit(STATE_DRIVERS_TITLE),
-        F.when(_some(F.col("top_cancer")), F.concat(F.lit("- Cancer: "), _counted(F.col("top_cancer")))),
-        F.when(_some(F.col("top_resp")), F.concat(F.lit("- Respiratory: "), _counted(F.col("top_resp")))),
+        F.when(_some(F.col("top_cancer")), F.concat(F.lit(STATE_DRIVER_LINES["cancer"]), _counted(F.col("top_cancer")))),
+        F.when(_some(F.col("top_resp")), F.concat(F.lit(STATE_DRIVER_LINES["resp"]), _counted(F.col("top_resp")))),
         blank,
-        F.lit(f"## Top {TOP_COUNTIES} Highest-Risk Counties (by average cancer + respiratory risk)"),
+        F.lit(TOP_COUNTIES_TITLE.format(n=TOP_COUNTIES)),
         blank,
         F.array_join(F.transform(detailed, lambda e: e["text"]), "\n"),
         F.when(
@@ -227,12 +246,12 @@ def result_blocks(
     text = F.coalesce(F.substring("text", 1, chars), F.array_join("highlights", " "))
     content = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, NO_CONTENT).otherwise(text)
     block = F.concat(
-        F.lit("["), F.col("i").cast("string"), F.lit("] "), F.col("title"), F.lit("\nURL: "), F.col("url"), F.lit("\n"), content
+        F.lit(RESULT_PARTS[0]), F.col("i").cast("string"), F.lit(RESULT_PARTS[1]), F.col("title"), F.lit(RESULT_PARTS[2]), F.col("url"), F.lit(RESULT_PARTS[3]), content
     )
     blocks = F.array_sort(F.collect_list(F.struct("i", block.alias("block"))))
     texts = kept.groupBy("query").agg(F.array_join(F.transform(blocks, lambda b: b["block"]), "\n\n").alias("body"))
-    found = F.concat(F.lit('Web search results for "'), F.col("query"), F.lit('":\n\n'), F.col("body"))
-    nothing = F.concat(F.lit('[No web results for: "'), F.col("query"), F.lit('". Proceed with other context.]'))
+    found = F.concat(F.lit(RESULTS_TITLE[0]), F.col("query"), F.lit(RESULTS_TITLE[1]), F.col("body"))
+    nothing = F.concat(F.lit(NO_RESULTS[0]), F.col("query"), F.lit(NO_RESULTS[1]))
     return queries.select("query").distinct().join(texts, "query", "left").select(
         "query", F.when(F.col("body").isNotNull(), found).otherwise(nothing).alias("context")
     )
