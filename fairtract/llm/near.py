@@ -170,9 +170,10 @@ def _confirm(percent: int):
 
 def _exact(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose whole shingle sets are similar enough."""
-    left = texts.join(pairs, texts.doc_id == pairs.a).select("a", "b", "text")
+    # Pairs grow with the texts, so both are shuffled at every size; the texts once for both joins.
+    left = texts.join(pairs.hint("merge"), texts.doc_id == pairs.a).select("a", "b", "text")
     left = left.mapInArrow(_sets(k), "a long, b long, items binary").withColumnRenamed("items", "items_a")
-    right = texts.join(pairs.select("b").distinct(), texts.doc_id == F.col("b"), "left_semi")
+    right = texts.join(pairs.select("b").distinct().hint("merge"), texts.doc_id == F.col("b"), "left_semi")
     right = right.mapInArrow(_sets(k), "doc_id long, items binary").select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     return left.join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -191,7 +192,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
        signature positions, dropping pairs once the posterior says that the
        threshold is out of reach, then by whole sets for the best hub of each.
     3. Buckets whose classes are still in different components are compared
-       once more, all pairs across components, in cells of bounded size; only
+       once more, all pairs across components, in cells of bounded size: those
+       outside of the bucket's largest component with all others. Only
        survivors leave a task. So no link that joins two components is lost,
        however large a bucket is, and no pairs within a component are made.
 
@@ -241,22 +243,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     labelled = members.join(reached.withColumnRenamed("node", "cls"), "cls", "left").select(
         "band", "cls", F.coalesce("component", "cls").alias("component")
     )
+    # Of each bucket the component with most members is its main one; pairs within it are not needed.
     mixed = (
-        labelled.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        .where("low < high")
-        .select("band", F.ceil(F.col("size") / CELL).alias("blocks"))
+        labelled.groupBy("band", "component")
+        .count()
+        .groupBy("band")
+        .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("size"))
+        .where("size > inside")
+        .select(
+            "band",
+            "main",
+            F.ceil(F.col("inside") / CELL).alias("main_blocks"),
+            F.ceil((F.col("size") - F.col("inside")) / CELL).alias("other_blocks"),
+        )
+    )
+    placed = labelled.join(mixed, "band").withColumn("in_main", F.col("component") == F.col("main")).withColumn(
+        "block", F.pmod(F.xxhash64("cls"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("other_blocks")))
     )
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    # Main blocks face the others; the others face those and each other.
+    to_others = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("facing"))
+    to_main = placed.where("not in_main").select("*", F.explode(F.sequence(F.lit(0), F.col("main_blocks") - 1)).alias("facing"))
+    low, high = F.least("block", "facing"), F.greatest("block", "facing")
     cells = (
-        labelled.join(mixed, "band")
-        .withColumn("block", block)
-        .withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
+        to_others.select(
             "cls",
             "component",
-            F.xxhash64("band", F.least("block", "facing"), F.greatest("block", "facing")).alias("cell"),
-            (F.col("block") > F.col("facing")).alias("second"),
+            F.when(F.col("in_main"), F.xxhash64("band", F.lit("main"), "block", "facing"))
+            .otherwise(F.xxhash64("band", F.lit("other"), low, high))
+            .alias("cell"),
+            (F.col("in_main") | (F.col("block") > F.col("facing"))).alias("second"),
+        )
+        .unionByName(
+            to_main.select("cls", "component", F.xxhash64("band", F.lit("main"), "facing", "block").alias("cell"), F.lit(False).alias("second"))
         )
         .join(signatures, "cls")
     )
@@ -270,13 +288,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(across.join(known, ["a", "b"], "left_anti"), "across")
     more = stage(_exact(texts, rest, shingle, percent), "links")
-    final = components(links.unionByName(more))
-    for table in (tried, rest, members):
+    rows = stage(signed.join(classes.select(*digest, "cls"), digest, "left").select("doc_id", "n_shingles", "cls"), "rows")
+    # Texts of one doc_id belong together.
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
+    same = rows.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("cls").alias("b")).where("a < b")
+    final = components(links.unionByName(more).unionByName(same))
+    for table in (signed, classes, members, tried, links, rest, more):
         drop(table)
-
     return (
-        signed.join(classes.select(*digest, "cls"), digest, "left")
-        .join(final.withColumnRenamed("node", "cls"), "cls", "left")
+        rows.join(final.withColumnRenamed("node", "cls"), "cls", "left")
         .select(
             "doc_id",
             "n_shingles",
