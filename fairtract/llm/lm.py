@@ -17,7 +17,7 @@ A word's id is its place among all sorted hashes, so ids need no table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -35,6 +35,10 @@ END = U64(0x0EAD0EAD0EAD0EAD)
 CHUNK_BYTES = 8_000_000
 #: Key ranges per shuffle partition, so that partitions are even.
 BUCKETS_PER_PARTITION = 4
+#: A group of word buckets has about so many words, or several partitions share a group: every
+#: pair bucket sends each group a row, so groups are few.
+GROUP_WORDS = 1_000_000
+PARTITIONS_PER_GROUP = 4
 MANY = 255
 _HISTORY = np.dtype([("total", "<u8"), ("once", "<u4"), ("twice", "<u4"), ("more", "<u4")])
 _LARGE = np.dtype([("key", "<u8"), ("times", "<u8")])
@@ -53,6 +57,8 @@ class Meta:
     n_tokens: int
     #: Words more frequent than this have their pairs dealt to all buckets.
     hot: int
+    #: Runs of word buckets whose figures are added up together.
+    word_groups: int = 1
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_total: int = 0
@@ -153,6 +159,7 @@ class Model:
         self.offsets = np.array(meta.offsets)
         self.open: dict[str, np.ndarray] = {}
         self.n_words = int(self.offsets[-1])
+        self.groups = np.arange(meta.word_buckets) * meta.word_groups // meta.word_buckets
 
     def file(self, name: str, bucket: int, dtype) -> np.ndarray:
         name = f"{name}-{bucket}"
@@ -160,6 +167,9 @@ class Model:
             self.open[name] = mapped(f"{self.meta.path}/{name}", dtype)
         return self.open[name]
 
+    def group_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.groups[np.searchsorted(self.offsets[1:-1], ids.astype(np.int64), "right")]
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of sorted hashes; -1 and 0 for unknown words."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
@@ -297,10 +307,9 @@ def _keep_pairs(meta: Meta):
             pair >> U64(32), n, *((x).astype(U64) for x in (n == 1, n == 2, n > 2))
         )
         words, before = _summed(pair & U64(2**32 - 1), one)
-        range_of = lambda i: np.searchsorted(own.offsets[1:-1], i.astype(np.int64), "right")
         none = np.zeros(len(words), U64)
-        rows = _rows(range_of(ids), [(ids, 4), (total, 8), (once, 4), (twice, 4), (more, 4), (np.zeros(len(ids), U64), 4)])
-        rows += _rows(range_of(words), [(words, 4), (none, 8), (none, 4), (none, 4), (none, 4), (before, 4)])
+        rows = _rows(own.group_of(ids), [(ids, 4), (total, 8), (once, 4), (twice, 4), (more, 4), (np.zeros(len(ids), U64), 4)])
+        rows += _rows(own.group_of(words), [(words, 4), (none, 8), (none, 4), (none, 4), (none, 4), (before, 4)])
         small = np.array([(n == i).sum() for i in (1, 2, 3, 4)], U64)
         rows.append((-1, 4, planes(small, 8)))
         return pa.Table.from_batches([_batch(rows)])
@@ -317,15 +326,18 @@ def _keep_stats(meta: Meta):
             return pa.table({"bucket": [bucket], "small": [small.astype(np.int64).tolist()], "total": pa.array([0], pa.int64())})
         ids, *sums = _columns(table, [4, 8, 4, 4, 4, 4])
         ids, total, once, twice, more, before = _summed(ids, *sums)
-        low, high = own.offsets[bucket], own.offsets[bucket + 1]
-        # The start of a text, a history but no word, comes after all words.
-        high += bucket == meta.word_buckets - 1
-        at = ids.astype(np.int64) - low
-        history, left = np.zeros(high - low, _HISTORY), np.zeros(high - low, "<u8")
-        history["total"][at], history["once"][at], history["twice"][at], history["more"][at] = total, once, twice, more
-        left[at] = before
-        put(f"{meta.path}/history-{bucket}", history.tobytes())
-        put(f"{meta.path}/before-{bucket}", left.tobytes())
+        found = np.zeros(len(ids), _HISTORY)
+        found["total"], found["once"], found["twice"], found["more"] = total, once, twice, more
+        ids = ids.astype(np.int64)
+        for b in np.flatnonzero(own.groups == bucket).tolist():
+            low, high = own.offsets[b], own.offsets[b + 1]
+            # The start of a text, a history but no word, comes after all words.
+            high += b == meta.word_buckets - 1
+            rows = slice(*np.searchsorted(ids, [low, high]))
+            history, left = np.zeros(high - low, _HISTORY), np.zeros(high - low, "<u8")
+            history[ids[rows] - low], left[ids[rows] - low] = found[rows], before[rows]
+            put(f"{meta.path}/history-{b}", history.tobytes())
+            put(f"{meta.path}/before-{b}", left.tobytes())
         small = [int((before == i).sum()) for i in (1, 2, 3, 4)] + [int((before > 2).sum())]
         return pa.table({"bucket": [bucket], "small": [small], "total": [int(before.sum())]})
 
@@ -355,7 +367,8 @@ def fit(docs: DataFrame, path: str | None = None) -> Meta:
     spark = docs.sparkSession
     path = path or new_path(spark, "lm")
     texts = docs.select("text")
-    n_buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS_PER_PARTITION * partitions
     kept = (
         texts.mapInArrow(_count_words(n_buckets), PACKED)
         .groupBy("bucket")
@@ -366,7 +379,8 @@ def fit(docs: DataFrame, path: str | None = None) -> Meta:
     offsets = (0, *np.cumsum([sizes.get(b, 0) for b in range(n_buckets)]).tolist())
     if offsets[-1] >= 2**32 - 1:
         raise ValueError("more than 2^32 distinct words")
-    meta = Meta(path, n_buckets, n_buckets, offsets, total, total // (8 * n_buckets))
+    groups = min(n_buckets, max(-(-partitions // PARTITIONS_PER_GROUP), -(-offsets[-1] // GROUP_WORDS)))
+    meta = Meta(path, n_buckets, n_buckets, offsets, total, total // (8 * n_buckets), groups)
     if not total:
         return meta
     told = (
@@ -381,10 +395,13 @@ def fit(docs: DataFrame, path: str | None = None) -> Meta:
     low = np.sum([r.small for r in told if r.bucket >= 0], axis=0)
     low_total = sum(r.total for r in told)
     d = discounts(*low[:4].tolist())
-    return Meta(
-        path, n_buckets, n_buckets, offsets, total, meta.hot, discounts(*high), d, low_total,
-        float(d[0] * low[0] + d[1] * low[1] + d[2] * low[4]) / low_total,
-    )
+    return replace(
+        meta,
+        discounts=discounts(*high),
+        low_discounts=d,
+        low_total=low_total,
+        low_spare=float(d[0] * low[0] + d[1] * low[1] + d[2] * low[4]) / low_total,
+    )
 
 
 def _scored(meta: Meta):
