@@ -304,7 +304,10 @@ def _(spark, sf):
     f"{DRIVERS} select lpad(cast(ID as varchar),11,'0') geoid11, ST_ABBREV, outcome, cast(rk as int) \"rank\", feature, shap from ranked where ID=1000000103 and ST_ABBREV='AF'",
 )
 def _(spark, sf):
-    record = select.drivers_for_tract(tables.driver_records(spark, sf), "1000000103", "AF")
+    # Stored by state and sorted by id: one partition is read, with a pushed id filter.
+    path = new_path(spark, "drivers-by-state")
+    writers.write_tracts(drivers.top_drivers_wide(tables.contributions(spark, sf), tables.LINEAR_FEATURES), path)
+    record = drivers.nest_drivers(select.drivers_for_tract(spark.read.parquet(path), "1000000103", "AF"))
     lists = [record.select("geoid11", "ST_ABBREV", F.lit(o).alias("outcome"), F.posexplode(o).alias("i", "d")) for o in ("cancer", "resp")]
     return lists[0].unionByName(lists[1]).select(
         "geoid11", "ST_ABBREV", "outcome", (F.col("i") + 1).alias("rank"), "d.feature", "d.shap"
