@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fairtract.llm.graph import components
 from fairtract.llm.storage import drop, stage
-from fairtract.llm.words import U64, Words, mix, window_hashes
+from fairtract.llm.words import U64, Words, byte_slices, mix, runs, window_hashes
 
 #: 30 bands of 5: a pair of similarity 0.8 shares no band with probability 7e-6.
 BANDS, ROWS = 30, 5
@@ -54,9 +54,8 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 def _signatures(k: int):
     def signatures(batches):
-        for batch in batches:
-            words = Words(batch.column("text"), lower=True)
-            sets = shingle_sets(words, k)
+        for batch in (b.slice(start, stop - start) for b in batches for start, stop in byte_slices(b.column("text"))):
+            sets = shingle_sets(Words(batch.column("text"), lower=True), k)
             low = np.array([np.add.reduce(mix(s)) for s in sets], U64).view(np.int64)
             high = np.array([np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D))) for s in sets], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -112,37 +111,91 @@ def _compare(percent: int, miss: float):
     return compare
 
 
+CELLS = "group long, cell long, doc long, pairs binary"
+
+
+def _cell_rows(rows: list[tuple]) -> pa.Table:
+    group, cell, doc, pairs = zip(*rows) if rows else ((), (), (), ())
+    return pa.table(
+        {
+            "group": pa.array(group, pa.int64()),
+            "cell": pa.array(cell, pa.int64()),
+            "doc": pa.array(doc, pa.int64()),
+            "pairs": pa.array(pairs, pa.binary()),
+        }
+    )
+
+
 def _compare_cells(percent: int, miss: float):
-    """All pairs of a cell of a bucket that lie in different components."""
+    """Pairs of a cell in different components that may be linked: one row that packs them, one per class in them.
+
+    A pair is taken in the first band that its classes share, so in one cell only.
+    """
 
     def compare_cells(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("cell", "ascending"), ("cls", "ascending")]).combine_chunks()
-        cell, cls = table["cell"].to_numpy(), table["cls"].to_numpy()
+        cell, cls, place = (table[c].to_numpy() for c in ("cell", "cls", "place"))
         component, second = table["component"].to_numpy(), table["second"].to_numpy()
-        matrix = _matrix(table["signature"].combine_chunks()) if len(cell) else np.zeros((0, BANDS * ROWS), np.uint16)
-        bounds = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-        found_a, found_b = [], []
+        matrix = _matrix(table["signature"].combine_chunks())
+        bounds = np.append(runs(cell), len(cell))
+        out = []
         for a, b in zip(bounds[:-1], bounds[1:]):
             # In a cell of two blocks only pairs between them are new.
             rows = np.flatnonzero(~second[a:b]) + a
             others = np.flatnonzero(second[a:b]) + a
             one = not len(others)
             others = rows if one else others
+            found = []
             for start in range(0, len(rows), CELL):
                 i, j = np.meshgrid(rows[start : start + CELL], others, indexing="ij")
                 i, j = i.ravel(), j.ravel()
                 new = (component[i] != component[j]) & ((i < j) if one else True)
                 i, j = i[new], j[new]
                 alive, _ = survivors(matrix[i], matrix[j], percent, miss)
-                found_a.append(np.minimum(cls[i[alive]], cls[j[alive]]))
-                found_b.append(np.maximum(cls[i[alive]], cls[j[alive]]))
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                i, j = i[alive], j[alive]
+                before = int(place[a]) * ROWS
+                same = (matrix[i, :before] == matrix[j, :before]).reshape(len(i), int(place[a]), ROWS).all(axis=2).any(axis=1)
+                found.append(np.stack([cls[i[~same]], cls[j[~same]]], axis=1))
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            if len(pairs):
+                out.append((key[0].as_py(), int(cell[a]), None, pairs.tobytes()))
+                out += [(key[0].as_py(), int(cell[a]), int(d), None) for d in np.unique(pairs)]
+        return _cell_rows(out)
 
     return compare_cells
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm_cells(percent: int):
+    """Links of the packed pairs by whole sets, no more than join the classes of a cell."""
+
+    def confirm_cells(key: tuple[pa.Scalar, ...], items: pa.Table, packed: pa.Table) -> pa.Table:
+        sets: dict[int, dict[int, np.ndarray]] = {}
+        for cell, doc, own in zip(items["cell"].to_pylist(), items["doc"].to_pylist(), items["items"]):
+            sets.setdefault(cell, {})[doc] = np.frombuffer(own.as_buffer(), U64)
+        links = []
+        for cell, pairs in zip(packed["pairs_cell"].to_pylist(), packed["pairs"]):
+            top: dict[int, int] = {}
+
+            def root(d: int, top=top) -> int:
+                while (up := top.get(d, d)) != d:
+                    d = up
+                return d
+
+            for x, y in np.frombuffer(pairs.as_buffer(), np.int64).reshape(-1, 2).tolist():
+                if root(x) != root(y) and _alike(sets[cell][x], sets[cell][y], percent):
+                    top[root(x)] = root(y)
+                    links.append((x, y))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return confirm_cells
+
+
 def _sets(k: int):
     def sets(batches):
         for batch in batches:
@@ -161,8 +214,7 @@ def _confirm(percent: int):
             linked = []
             for x, y in zip(batch.column("items_a"), batch.column("items_b")):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                linked.append(_alike(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return confirm
@@ -193,8 +245,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
        threshold is out of reach, then by whole sets for the best hub of each.
     3. Buckets whose classes are still in different components are compared
        once more, all pairs across components, in cells of bounded size: those
-       outside of the bucket's largest component with all others. Only
-       survivors leave a task. So no link that joins two components is lost,
+       outside of the bucket's largest component with all others. The pairs of
+       a cell that may be linked stay packed together, and the sets of its
+       classes are brought to them. So no link that joins two components is lost,
        however large a bucket is, and no pairs within a component are made.
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``.
@@ -220,14 +273,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))
     )
-    banded = classes.select("cls", "copies", F.explode(bands).alias("band"))
+    banded = classes.select("cls", "copies", F.posexplode(bands).alias("place", "band"))
     hubs = (
         banded.groupBy("band")
         .agg(F.max_by("cls", F.struct("copies", -F.col("cls"))).alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high"))
         .where("low < high")
         .select("band", "hub")
     )
-    members = stage(banded.join(hubs, "band").select("band", "cls", "hub").distinct(), "buckets")
+    members = stage(banded.join(hubs, "band").select("band", "place", "cls", "hub").distinct(), "buckets")
     signatures = classes.select("cls", "signature")
     first = signatures.toDF("a", "sig_a"), signatures.toDF("b", "sig_b")
     stars = members.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
@@ -241,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     reached = components(links)
 
     labelled = members.join(reached.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "band", "cls", F.coalesce("component", "cls").alias("component")
+        "band", "place", "cls", F.coalesce("component", "cls").alias("component")
     )
     # Of each bucket the component with most members is its main one; pairs within it are not needed.
     mixed = (
@@ -267,6 +320,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     cells = (
         to_others.select(
             "cls",
+            "place",
             "component",
             F.when(F.col("in_main"), F.xxhash64("band", F.lit("main"), "block", "facing"))
             .otherwise(F.xxhash64("band", F.lit("other"), low, high))
@@ -274,26 +328,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
             (F.col("in_main") | (F.col("block") > F.col("facing"))).alias("second"),
         )
         .unionByName(
-            to_main.select("cls", "component", F.xxhash64("band", F.lit("main"), "facing", "block").alias("cell"), F.lit(False).alias("second"))
+            to_main.select("cls", "place", "component", F.xxhash64("band", F.lit("main"), "facing", "block").alias("cell"), F.lit(False).alias("second"))
         )
         .join(signatures, "cls")
     )
     groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = (
-        cells.withColumn("group", F.pmod("cell", F.lit(groups)))
-        .groupBy("group")
-        .applyInArrow(_compare_cells(percent, miss), "a long, b long")
-        .distinct()
+    compared = (
+        cells.withColumn("group", F.pmod("cell", F.lit(groups))).groupBy("group").applyInArrow(_compare_cells(percent, miss), CELLS)
     )
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(across.join(known, ["a", "b"], "left_anti"), "across")
-    more = stage(_exact(texts, rest, shingle, percent), "links")
+    across = stage(compared, "across")
+    needed = across.where("doc is not null").select("group", "cell", "doc")
+    own = texts.join(needed.select("doc").distinct().hint("merge"), texts.doc_id == F.col("doc"), "left_semi")
+    own = own.mapInArrow(_sets(shingle), "doc_id long, items binary").withColumnRenamed("doc_id", "doc")
+    items = needed.join(own, "doc").select("group", "cell", "doc", "items")
+    packed = across.where("pairs is not null").select(F.col("group").alias("pairs_group"), F.col("cell").alias("pairs_cell"), "pairs")
+    more = items.groupBy("group").cogroup(packed.groupBy("pairs_group")).applyInArrow(_confirm_cells(percent), "a long, b long")
+    more = stage(more.distinct(), "links")
     rows = stage(signed.join(classes.select(*digest, "cls"), digest, "left").select("doc_id", "n_shingles", "cls"), "rows")
     # Texts of one doc_id belong together.
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
     same = rows.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("cls").alias("b")).where("a < b")
     final = components(links.unionByName(more).unionByName(same))
-    for table in (signed, classes, members, tried, links, rest, more):
+    for table in (signed, classes, members, tried, links, across, more):
         drop(table)
     return (
         rows.join(final.withColumnRenamed("node", "cls"), "cls", "left")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: White space of the word pattern.
@@ -27,6 +28,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at once; a longer document makes a longer slice.
 SLICE = 1 << 20
+#: Bytes of whole texts that an operator works on at once.
+SLICE_BYTES = 8_000_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -94,6 +97,17 @@ class Words:
         return self.data[self.offsets[d] : self.offsets[d + 1]].tobytes()
 
 
+def byte_slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """Bounds of runs of whole texts of about ``size`` bytes, a longer text alone."""
+    upto = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        done = upto[start - 1] if start else 0
+        stop = max(int(np.searchsorted(upto, done + size, "right")), start + 1)
+        yield start, stop
+        start = stop
+
+
 def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
