@@ -15,7 +15,8 @@ from fairtract.llm.storage import stage
 PROJECTED = 8
 #: Stop when a better neighbour would have been met by now with this probability.
 CERTAINTY = 0.99
-LEAF = 32
+#: Rows of a leaf, which are verified together.
+LEAF = 256
 #: Distinct vectors of one tree, and queries that are sent to it at once.
 TREE_ROWS = 16_384
 QUERY_ROWS = 512
