@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairtract.llm.storage import stage
 from fairtract.llm.urls import url_host
 
 #: Weight of what lies below a node against its own layout, per layout of the node.
@@ -49,6 +50,8 @@ ENDS = {
     "th": {"td", "th"},
     "option": {"option"},
 }
+#: Numbers in a text up to which other numbers do not make it another text.
+FEW_NUMBERS = 3
 #: Branches that a worker remembers before it starts anew.
 REMEMBERED = 100_000
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -151,6 +154,11 @@ class Page(HTMLParser):
             self.text.append(data)
 
 
+def _plain(text: str) -> str:
+    """A text with its numbers made equal if it has few, such as a date or a counter."""
+    return _DIGITS.sub("0", text) if len(_DIGITS.findall(text)) <= FEW_NUMBERS else text
+
+
 def _facts(batches):
     """Rows ``host, branch, kind, item, n, mass, spread`` of a batch, added up: of branches
     their pages, of their layouts the pages with each, of their texts the uses by page."""
@@ -174,8 +182,7 @@ def _facts(batches):
                 paths[branch.number] = branch.path
                 add(host, branch.number, 0, 0, 1, 1)
                 add(host, branch.number, 1, number("|".join(children)), 1, 1)
-            # Numbers in a text, such as dates and counters, do not make it another one.
-            texts = Counter((branch.number, number(_DIGITS.sub("0", text))) for branch, text in page.blocks)
+            texts = Counter((branch.number, number(_plain(text))) for branch, text in page.blocks)
             for (branch, item), times in texts.items():
                 add(host, branch, 2, item, 1, times)
         keys = list(zip(*found)) if found else [[], [], [], []]
@@ -284,11 +291,13 @@ def extract(pages: DataFrame) -> DataFrame:
     own. Ids may be null or repeated; other columns are not read.
     """
     sited = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    dull = (
+    # Written, so that its size is known before the pages are joined to it.
+    dull = stage(
         style_tree(sited)
         .where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
         .groupBy("host")
-        .agg(F.array_sort(F.collect_set("branch")).alias("dull"))
+        .agg(F.array_sort(F.collect_set("branch")).alias("dull")),
+        "dull",
     )
     kind = pages.schema["page_id"].dataType.simpleString()
     found = (
