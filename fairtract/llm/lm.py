@@ -22,17 +22,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtract.llm.storage import mapped, new_path, put
-from fairtract.llm.words import U64, Words, mix, planes, runs, unplanes
+from fairtract.llm.words import U64, Words, byte_slices, mix, planes, runs, unplanes
 
 #: Hash of the token that ends each text; the start is a history only.
 END = U64(0x0EAD0EAD0EAD0EAD)
-#: Bytes of whole texts that are counted or scored at once in a task.
-CHUNK_BYTES = 8_000_000
 #: Key ranges per shuffle partition, so that partitions are even.
 BUCKETS_PER_PARTITION = 4
 #: A group of word buckets has about so many words, or several partitions share a group: every
@@ -75,16 +72,11 @@ def word_bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _chunks(batches, names: list[str]):
-    """Batches cut to about CHUNK_BYTES: ``Words`` and the other columns."""
+    """Batches cut into slices: ``Words`` and the other columns."""
     for batch in batches:
-        sizes = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < len(batch):
-            done = sizes[start - 1] if start else 0
-            stop = max(int(np.searchsorted(sizes, done + CHUNK_BYTES, "right")), start + 1)
+        for start, stop in byte_slices(batch.column("text")):
             part = batch.slice(start, stop - start)
             yield Words(part.column("text"), lower=True), [part.column(n) for n in names]
-            start = stop
 
 
 def _spread(words: Words, values: np.ndarray, begin, end) -> tuple[np.ndarray, np.ndarray]:
