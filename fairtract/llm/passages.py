@@ -130,7 +130,11 @@ def _window_pair(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _candidates(window: int, block: int, n_buckets: int):
-    """Of each part: the first start of each distinct window that holds a hit."""
+    """Of each part: the first start of each distinct window that can be a repeat.
+
+    All aligned blocks of a repeated window were found by a rolling block of
+    the other place, so all of them must be hits.
+    """
 
     def candidates(key: tuple[pa.Scalar, ...], table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -140,21 +144,26 @@ def _candidates(window: int, block: int, n_buckets: int):
         h = window_hashes(words.hashes, block)
         # A hit stands for all windows of its part with the same words.
         hit = np.isin(h, np.unique(h[_positions(hits)]))
-        reach = np.append(0, np.cumsum(hit))
+        within = np.arange(len(words)) - np.repeat(words.first[:-1], words.counts)
         a, b, at = _window_pair(words, window)
-        held = reach[at + window - block + 1] > reach[at]
+        held = np.ones(len(at), bool)
+        aligned = at + -within[at] % block
+        while len(inside := np.flatnonzero(aligned + block <= at + window)):
+            held[inside] &= hit[aligned[inside]]
+            aligned += block
         a, b, at = a[held], b[held], at[held]
         order = np.lexsort((at, b, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         first = order[new]
         a, b, at = a[first], b[first], at[first]
-        bucket = (a >> U64(32)) % U64(n_buckets)
-        order = np.argsort(bucket, kind="stable")
+        bucket = (b >> U64(32)) % U64(n_buckets)
+        # In page order, so that positions and ids have runs in their high bytes.
+        order = np.lexsort((at, bucket))
         doc = table["doc"].to_numpy()[np.searchsorted(words.first, at, "right") - 1].astype(np.int64)
         doc = doc.view(U64) ^ U64(1 << 63)  # unsigned in the order of the signed ids
         low = int(doc.min()) if len(doc) else 0
-        columns = [(a[order], 8), (b[order], 4), (doc[order] - U64(low), 8), (at[order], 4)]
+        columns = [(a[order], 8), (b[order] & U64(0xFFFF), 2), (doc[order] - U64(low), 8), (at[order], 4)]
         rows = _by_bucket(bucket[order], key[0].as_py(), columns)
         return _packed([(k, p, n, low.to_bytes(8, "little") + d) for k, p, n, d in rows])
 
@@ -169,7 +178,7 @@ def _later(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         data = data.as_buffer()
         low = int.from_bytes(memoryview(data)[:8], "little")
         at = 8
-        for c, width in zip(columns, (8, 4, 8, 4)):
+        for c, width in zip(columns, (8, 2, 8, 4)):
             values, at = unplanes(data, n, width, at)
             c.append(values)
         columns[2][-1] = columns[2][-1] + U64(low)
@@ -234,8 +243,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Reference blocks of half a window lie end to end in every document, so each
     whole window holds one, wherever it starts. All rolling blocks probe them,
-    by hash. Windows around a hit are the candidates, verified by 128 bits of
-    hash over all their words against the earliest start of the same words;
+    by hash. Windows around a hit are the candidates, verified by a hash over
+    all their words (80 bits besides the bucket, which is a hash of its own)
+    against the earliest start of the same words;
     overlapping verified windows are the maximal repeats that are cut.
 
     Documents lie in parts by a hash of their id, all of about ``PART_CHARS``.
