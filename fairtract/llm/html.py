@@ -28,17 +28,24 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-NEVER = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea input option iframe "
-    "object svg canvas dialog menu audio video map".split()
-)
+#: Never shown as text: these alone stay out of the tree.
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas audio video map".split())
 MAIN = frozenset("article main".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-NOISE = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
-    "notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies "
-    "reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+#: Names of what is no article though it differs by page, such as reader comments, adverts, footers and
+#: links to other pages: entropy cannot tell these from text, so their names decide.
+VARIED_TAGS = frozenset("nav aside footer form button select textarea input option dialog menu".split())
+VARIED_ROLES = frozenset("navigation complementary contentinfo search form menu menubar".split())
+VARIED = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments disqus footer "
+    "menu nav navbar navigation pager pagination promo promotion recommended related replies reply respond share sharing "
+    "sidebar social sponsor sponsored".split()
+)
+#: Names of frames and notices. The tree decides about them; the names do only where too few pages of
+#: the site have the branch for that.
+FRAME_ROLES = frozenset("banner dialog alertdialog alert".split())
+FRAME = frozenset(
+    "banner consent cookie cookies disclaimer gdpr login masthead modal newsletter notice notices notification "
+    "overlay paywall popup signup subscribe subscription toolbar widget".split()
 )
 #: Start tags that end an open element of the given names; all block elements end a paragraph.
 ENDS = {
@@ -65,7 +72,7 @@ def number(text: str) -> int:
 class Branch:
     """A place in a site's merged tree: the names, classes and ids of a path of elements."""
 
-    __slots__ = ("tag", "number", "path", "noise", "main", "plain")
+    __slots__ = ("tag", "number", "path", "unseen", "varied", "frame", "main")
 
     def __init__(self, tag: str, attrs: dict, parent: Branch | None):
         names = attrs.get("class") or ""
@@ -73,18 +80,35 @@ class Branch:
         self.tag = tag
         self.number = number(f"{parent.number if parent else ''}>{tag}#{mark}")
         self.path = (*parent.path, self.number) if parent else (self.number,)
-        self.main = bool(parent and parent.main) or tag in MAIN or attrs.get("role") == "main"
+        self.unseen = bool(parent and parent.unseen) or tag in UNSEEN or "hidden" in attrs
+        #: Number of the outermost article around the branch.
+        self.main = parent.main if parent else None
+        if self.main is None and (tag in MAIN or attrs.get("role") == "main"):
+            self.main = self.number
+        role = attrs.get("role") or ""
         words = {w.lower() for w in _PART.findall(f"{attrs.get('id') or ''} {names}")}
-        self.noise = (
-            bool(parent and parent.noise)
-            or tag in NEVER
-            or (tag == "header" or "header" in words) and not self.main
-            or (attrs.get("role") or "") in ROLES
-            or not words.isdisjoint(NOISE) and tag not in ("html", "body", *MAIN)
-            or "hidden" in attrs
+        named = tag not in ("html", "body", *MAIN)
+        self.varied = (
+            bool(parent and parent.varied)
+            or tag in VARIED_TAGS
+            or role in VARIED_ROLES
+            or named and not words.isdisjoint(VARIED)
+        )
+        self.frame = (
+            bool(parent and parent.frame)
+            or (tag == "header" or "header" in words) and self.main is None
+            or role in FRAME_ROLES
+            or named and not words.isdisjoint(FRAME)
         )
-        # Flowing text of an article, without names of its own, is what pages are for.
-        self.plain = tag in MAIN or bool(parent and parent.plain and mark == ".")
+
+    def kept(self, dull: frozenset, lively: frozenset) -> bool:
+        """Whether text right in the branch is main text, by the dull branches and lively frames of the site."""
+        if self.varied:
+            return False
+        if self.frame and self.number not in lively:
+            return False
+        # If whole articles are dull, the site has the same article everywhere and the tree cannot tell.
+        return self.main in dull or dull.isdisjoint(self.path)
 
 
 _ROOT = Branch("", {}, None)
@@ -150,18 +174,20 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if not self.text:
             self.holder = self.open[-1][0]
-        if not self.holder.noise:
+        if not self.holder.unseen:
             self.text.append(data)
 
 
-def _plain(text: str) -> str:
-    """A text with its numbers made equal if it has few, such as a date or a counter."""
+def _plain(branch: Branch, text: str) -> str:
+    """A text with its numbers made equal if it has few, such as a date or a counter. Articles' numbers stay."""
+    if branch.main is not None:
+        return text
     return _DIGITS.sub("0", text) if len(_DIGITS.findall(text)) <= FEW_NUMBERS else text
 
 
 def _facts(batches):
     """Rows ``host, branch, kind, item, n, mass, spread`` of a batch, added up: of branches
-    their pages, of their layouts the pages with each, of their texts the uses by page."""
+    their pages (the item is 1 in frames), of their layouts the pages with each, of their texts the uses by page."""
     for batch in batches:
         found: dict[tuple, list] = {}
         paths: dict[int, tuple] = {}
@@ -176,13 +202,13 @@ def _facts(batches):
             page = Page(html or "")
             layouts: dict[Branch, list] = {}
             for branch, children in page.elements:
-                if not branch.noise:
+                if not branch.unseen:
                     layouts.setdefault(branch, []).append(" ".join(children))
             for branch, children in layouts.items():
                 paths[branch.number] = branch.path
-                add(host, branch.number, 0, 0, 1, 1)
+                add(host, branch.number, 0, int(branch.frame), 1, 1)
                 add(host, branch.number, 1, number("|".join(children)), 1, 1)
-            texts = Counter((branch.number, number(_plain(text))) for branch, text in page.blocks)
+            texts = Counter((branch.number, number(_plain(branch, text))) for branch, text in page.blocks)
             for (branch, item), times in texts.items():
                 add(host, branch, 2, item, 1, times)
         keys = list(zip(*found)) if found else [[], [], [], []]
@@ -216,7 +242,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     Entropies are sums over texts, so a site of any size is added up in parts;
     no join and no list of a site's texts is needed.
 
-    Returns ``host, branch, n_pages, importance``.
+    Returns ``host, branch, path, frame, n_pages, importance``.
     """
     facts = pages.select("host", "html").mapInArrow(
         _facts, "host string, branch long, path array<long>, kind int, item long, n long, mass long, spread double"
@@ -228,6 +254,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     n = F.sum(F.when(F.col("kind") == 0, F.col("n")))
     branches = items.groupBy("host", "branch").agg(
         F.first("path").alias("path"),
+        F.bool_or((F.col("kind") == 0) & (F.col("item") == 1)).alias("frame"),
         n.alias("n_pages"),
         F.count_if(layout).alias("layouts"),
         F.sum(F.when(layout, F.col("n") * F.ln("n"))).alias("layout_spread"),
@@ -240,6 +267,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         "host",
         "branch",
         "path",
+        "frame",
         "n_pages",
         "layouts",
         F.when(several, (log_pages - F.col("layout_spread") / F.col("n_pages")) / log_pages).otherwise(1.0).alias("layout"),
@@ -254,24 +282,44 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     share = F.pow(F.lit(DECAY), F.col("layouts"))
     return own.join(below, ["host", "branch"]).select(
-        "host", "branch", "n_pages", ((1 - share) * F.col("layout") + share * F.col("below")).alias("importance")
+        "host", "branch", "path", "frame", "n_pages", ((1 - share) * F.col("layout") + share * F.col("below")).alias("importance")
     )
 
 
-def main_text(html: str | None, dull: frozenset) -> str:
-    """Blocks of a page outside of what is never an article and of dull branches, joined by one space."""
-    return " ".join(
-        text for branch, text in Page(html or "").blocks if branch.plain or dull.isdisjoint(branch.path)
+def judged(tree: DataFrame) -> DataFrame:
+    """By host, the dull branches of a style tree, and the branches in frames that are not.
+
+    Both are on ``LEAST_PAGES`` pages or more. A branch is dull if its importance
+    and that of every branch below it are under ``LEAST_IMPORTANCE``, so a page of
+    much boilerplate around a little text is not dull as a whole.
+    """
+    itself = F.col("branch") == F.col("at")
+    own = lambda c: F.max(F.when(itself, F.col(c)))
+    branches = (
+        tree.select("*", F.explode("path").alias("at"))
+        .groupBy("host", "at")
+        .agg(F.max("importance").alias("most"), *(own(c).alias(c) for c in ("frame", "n_pages", "importance")))
+        .where(F.col("n_pages") >= LEAST_PAGES)
     )
+    dull = F.col("most") < LEAST_IMPORTANCE
+    lively = F.col("frame") & (F.col("importance") >= LEAST_IMPORTANCE)
+    listed = lambda which: F.array_sort(F.collect_set(F.when(which, F.col("at"))))
+    return branches.where(dull | lively).groupBy("host").agg(listed(dull).alias("dull"), listed(lively).alias("lively"))
+
+
+def main_text(html: str | None, dull: frozenset, lively: frozenset = frozenset()) -> str:
+    """Blocks of a page that ``Branch.kept`` takes, joined by one space."""
+    return " ".join(text for branch, text in Page(html or "").blocks if branch.kept(dull, lively))
 
 
 def _extracted(batches):
     for batch in batches:
         sets: dict[tuple, frozenset] = {}
         texts = []
-        for html, dull in zip(batch.column("html"), batch.column("dull").to_pylist()):
-            key = tuple(dull or ())
-            texts.append(main_text(html.as_py(), sets.setdefault(key, frozenset(key))))
+        columns = (batch.column(c).to_pylist() for c in ("dull", "lively"))
+        for html, *lists in zip(batch.column("html"), *columns):
+            keys = (tuple(x or ()) for x in lists)
+            texts.append(main_text(html.as_py(), *(sets.setdefault(key, frozenset(key)) for key in keys)))
         rest = [batch.column(c) for c in ("page_id", "url")]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -279,12 +327,14 @@ def _extracted(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of each of ``pages(page_id, url, html)``.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-    and comments go by their names; branches of low importance in the style
-    tree of their site go too, unless they are the unnamed flowing text of an
-    article. The dull branches of a site, few whatever its number of pages, are
-    joined to the pages by host; Spark broadcasts them only while they are
-    small.
+    All that is shown is merged into the style tree of the page's site, and its
+    dull branches go, in articles as well as around them. Names decide only
+    where entropy cannot tell: on branches that too few pages of the site have,
+    frames and notices go and other text stays; comments, adverts, footers, forms
+    and links to other pages (``VARIED``) go though they differ by page; and an
+    article that is the same all over its site stays. The dull branches of a
+    site, few whatever its number of pages, are joined to the pages by host;
+    Spark broadcasts them only while they are small.
 
     Returns one row per input row: ``page_id, url, text, n_chars``. Null or
     empty html gives an empty text. Pages without a url form a site of their
@@ -292,17 +342,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     sited = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
     # Written, so that its size is known before the pages are joined to it.
-    dull = stage(
-        style_tree(sited)
-        .where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_set("branch")).alias("dull")),
-        "dull",
-    )
+    verdicts = stage(judged(style_tree(sited)), "dull")
     kind = pages.schema["page_id"].dataType.simpleString()
     found = (
-        sited.join(dull, "host", "left")
-        .select("page_id", "url", "html", "dull")
+        sited.join(verdicts, "host", "left")
+        .select("page_id", "url", "html", "dull", "lively")
         .mapInArrow(_extracted, f"page_id {kind}, url string, text string")
     )
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -229,6 +229,30 @@ def test_importance_of_branches(spark):
     assert tree[same].n_pages == 10
 
 
+def test_tree_decides_inside_articles_and_named_parts(spark):
+    """Parts that no name gives away go, and text under the name of a frame stays, by importance alone."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+
+    def site(i, n):
+        # The title is in a header outside of the article; a widget holds the text, as page builders do.
+        return (
+            f"<header><p>The Site</p><h1>Title {word(i)}</h1></header><article><p>Text {word(i)}.</p>"
+            f"<div>Our journal is free to read.</div><p>More {word(i * n)}.</p></article>"
+            f"<div class='widget'><p>Block {word(i)}.</p></div><section class='comments'>Reader {word(i)}</section>"
+            f"<div class='ad'>Buy {word(i)}</div><footer>Made {word(i)}</footer>"
+        )
+
+    rows = [(i, f"http://large.com/{i}", site(i, 7)) for i in range(40)]
+    rows += [(100 + i, f"http://small.com/{i}", site(i, 7)) for i in range(3)]
+    rows += [(200 + i, f"http://copies.com/{i}", "<nav>Home</nav><article><p>The same article.</p></article>") for i in range(9)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert found[i] == f"Title {word(i)} Text {word(i)}. More {word(i * 7)}. Block {word(i)}."
+    for i in range(3):  # too few pages to tell: names decide
+        assert found[100 + i] == f"Text {word(i)}. Our journal is free to read. More {word(i * 7)}."
+    assert {found[200 + i] for i in range(9)} == {"The same article."}
+
+
 # ---- neighbours --------------------------------------------------------------------------------
 
 
