@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtract.llm import bpe, html, lm, mixing, near, neighbours, passages, quality, token_counts, urls
+from fairtract.llm import bpe, dialogue, html, lm, mixing, near, neighbours, passages, phrases, quality, token_counts, toxicity, urls
 from fairtract.llm.storage import new_path
 
 #: The rules of the url query: verdict, host, path.
@@ -179,5 +179,61 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 from d left join g using (doc_id)
 """
 
-QUERIES = {"op1_nearest": op1_nearest, "op2_token_counts": op2_token_counts, "op3_bpe": op3_bpe, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_main_text": op7_main_text, "op8_url_rules": op8_url_rules, "op9_near_duplicates": op9_near_duplicates, "op10_repeated_passages": op10_repeated_passages}
-ORACLES = {"op2_token_counts": OP2_SQL, "op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op10_repeated_passages": OP10_SQL}
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, w[i:i + k - 1] as g, count(*)::bigint as f
+  from (select lang, w, unnest(generate_series(1, len(w))) as i from w where len(w) > 0), (values (1), (2), (3)) as t(k)
+  where i + k - 1 <= len(w) group by all),
+c as (select * from g where len(g) >= 2 and f >= 10),
+longer as (select lang, part, max(f) as most from (select lang, f, unnest([g[1:2], g[2:3]]) as part from c where len(g) = 3) group by all),
+kept as (select c.* from c left join longer on longer.lang = c.lang and longer.part = c.g where most is null or 100 * most < 50 * c.f),
+cuts as (select k.lang, k.g, k.f as a, l.f as l, r.f as r, t.k, ((1000000::hugeint * k.f * k.f) // (l.f::hugeint * r.f))::bigint as score
+  from kept k join (values (1), (2)) as t(k) on t.k < len(k.g)
+  join g l on l.lang = k.lang and l.g = k.g[1:t.k] join g r on r.lang = k.lang and r.g = k.g[t.k + 1:len(k.g)]),
+best as (select lang, g, any_value(a) as a, min({'score': score, 'k': k, 'l': l, 'r': r}) as b from cuts group by lang, g),
+n as (select lang, sum(f)::bigint as n from g where len(g) = 1 group by lang),
+ranked as (select lang, array_to_string(g, ' ') as phrase, a, b.l as l, b.r as r, b.score as score,
+  row_number() over (partition by lang order by b.score desc, a desc, array_to_string(g, ' ')) as rank from best)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")))
+    return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+QUERIES = {
+    "op1_nearest": op1_nearest,
+    "op2_token_counts": op2_token_counts,
+    "op3_bpe": op3_bpe,
+    "op4_language_model": op4_language_model,
+    "op5_quality": op5_quality,
+    "op6_source_mix": op6_source_mix,
+    "op7_main_text": op7_main_text,
+    "op8_url_rules": op8_url_rules,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeated_passages": op10_repeated_passages,
+    "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
+    "op13_dialogue_repair": op13_dialogue_repair,
+}
+ORACLES = {
+    "op2_token_counts": OP2_SQL,
+    "op6_source_mix": OP6_SQL,
+    "op8_url_rules": OP8_SQL,
+    "op9_near_duplicates": OP9_SQL,
+    "op10_repeated_passages": OP10_SQL,
+    "op11_collocations": OP11_SQL,
+}
