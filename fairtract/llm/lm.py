@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairtract.llm.storage import mapped, new_path, put
+from fairtract.llm.storage import mapped, new_path, put, qualified
 from fairtract.llm.words import U64, Words, byte_slices, mix, planes, runs, unplanes
 
 #: Hash of the token that ends each text; the start is a history only.
@@ -60,6 +60,8 @@ class Meta:
     low_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_total: int = 0
     low_spare: float = 1.0
+    #: The pair buckets that have files; a file that is missing in any of these is an error.
+    pairs: tuple[int, ...] = ()
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -151,6 +153,7 @@ class Model:
         self.offsets = np.array(meta.offsets)
         self.open: dict[str, np.ndarray] = {}
         self.n_words = int(self.offsets[-1])
+        self.pairs = frozenset(meta.pairs)
         self.groups = np.arange(meta.word_buckets) * meta.word_groups // meta.word_buckets
 
     def file(self, name: str, bucket: int, dtype) -> np.ndarray:
@@ -201,10 +204,9 @@ class Model:
         bounds = np.append(runs(sorted_bucket), len(order))
         for a, b in zip(bounds[:-1], bounds[1:]):
             k, rows = int(sorted_bucket[a]), order[a:b]
-            try:
-                known = self.file("pairs", k, "<u8")
-            except FileNotFoundError:  # no pair of the training texts fell there
+            if k not in self.pairs:  # no pair of the training texts fell there
                 continue
+            known = self.file("pairs", k, "<u8")
             at = np.minimum(np.searchsorted(known, key[rows]), len(known) - 1)
             found = known[at] == key[rows]
             rows, at = rows[found], at[found]
@@ -302,8 +304,8 @@ def _keep_pairs(meta: Meta):
         none = np.zeros(len(words), U64)
         rows = _rows(own.group_of(ids), [(ids, 4), (total, 8), (once, 4), (twice, 4), (more, 4), (np.zeros(len(ids), U64), 4)])
         rows += _rows(own.group_of(words), [(words, 4), (none, 8), (none, 4), (none, 4), (none, 4), (before, 4)])
-        small = np.array([(n == i).sum() for i in (1, 2, 3, 4)], U64)
-        rows.append((-1, 4, planes(small, 8)))
+        small = np.array([*((n == i).sum() for i in (1, 2, 3, 4)), bucket], U64)
+        rows.append((-1, 5, planes(small, 8)))
         return pa.Table.from_batches([_batch(rows)])
 
     return keep_pairs
@@ -314,8 +316,9 @@ def _keep_stats(meta: Meta):
         bucket, own = key[0].as_py(), model(meta)
         if bucket < 0:
             (n,) = _columns(table, [8])
-            small = n.reshape(-1, 4).sum(axis=0)
-            return pa.table({"bucket": [bucket], "small": [small.astype(np.int64).tolist()], "total": pa.array([0], pa.int64())})
+            told = n.reshape(-1, 5).astype(np.int64)
+            small = [*told[:, :4].sum(axis=0).tolist(), *sorted(told[:, 4].tolist())]
+            return pa.table({"bucket": [bucket], "small": [small], "total": pa.array([0], pa.int64())})
         ids, *sums = _columns(table, [4, 8, 4, 4, 4, 4])
         ids, total, once, twice, more, before = _summed(ids, *sums)
         found = np.zeros(len(ids), _HISTORY)
@@ -357,7 +360,7 @@ def fit(docs: DataFrame, path: str | None = None) -> Meta:
     buckets. The driver sees a few numbers per bucket.
     """
     spark = docs.sparkSession
-    path = path or new_path(spark, "lm")
+    path = qualified(spark, path) if path else new_path(spark, "lm")
     texts = docs.select("text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = BUCKETS_PER_PARTITION * partitions
@@ -389,7 +392,8 @@ def fit(docs: DataFrame, path: str | None = None) -> Meta:
     d = discounts(*low[:4].tolist())
     return replace(
         meta,
-        discounts=discounts(*high),
+        pairs=tuple(high[4:]),
+        discounts=discounts(*high[:4]),
         low_discounts=d,
         low_total=low_total,
         low_spare=float(d[0] * low[0] + d[1] * low[1] + d[2] * low[4]) / low_total,

@@ -5,31 +5,59 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only a local session may go without."""
+    """The folder named in ``spark.checkpoint.dir``, with its scheme; only a local session may go without.
+
+    A path without a scheme is one of the default file system, which need not be the machine's own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = folder or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return qualified(spark, folder.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is put into the shared folder inside is deleted at the end, but for tables staged with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: lineage ends there."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,10 +75,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def local_of(path: str) -> str | None:
-    """The path of a file as the machine's own file system shows it, if it does."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path if path.startswith("/") else None
+    """The path of a file as the machine's own file system shows it, if its scheme says so."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else None
 
 
 def put(path: str, data: bytes) -> None:

@@ -2,8 +2,10 @@
 
 import math
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 
@@ -100,3 +102,23 @@ def test_frequent_histories_are_spread(spark):
     own = lm.Model(meta)
     full = [b for b in range(meta.pair_buckets) if len(own.file("pairs", b, "<u8"))]
     assert len(full) == meta.pair_buckets
+
+
+def test_a_missing_file_is_an_error(spark, tmp_path):
+    """Wherever a model's folder lies and whatever a bucket holds, a lost file is no empty one."""
+    docs = [(i, "s", " ".join(f"w{(i * 7 + j * j) % 90}" for j in range(40)), 0) for i in range(60)]
+    df = spark.createDataFrame(docs, DOCS)
+    meta = lm.fit(df, str(tmp_path / "model"))
+    assert meta.path.startswith("file:")
+    scored = df.selectExpr("doc_id", "true as held_out", "text")
+    assert lm.score(scored, meta).count() == 60
+    for name in ("pairs", "words", "history"):
+        lost = next(p for p in sorted((tmp_path / "model").iterdir()) if p.name.startswith(f"{name}-") and p.stat().st_size)
+        content = lost.read_bytes()
+        lost.unlink()
+        # Another folder name, as workers remember the files that they have opened.
+        moved = tmp_path / f"model-without-{name}"
+        shutil.copytree(tmp_path / "model", moved)
+        with pytest.raises(Exception, match="No such file"):
+            lm.score(scored, replace(meta, path=f"file:{moved}")).collect()
+        lost.write_bytes(content)
