@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPLIT = re.compile(f"[{_SPACE}]+")
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of words and ids that a worker remembers before it starts anew, and the longest word that it does:
+#: longer ones, such as whole lines of scripts without spaces or encoded data, hardly come again.
+REMEMBERED = 64_000_000
+LONGEST = 64
+#: Bytes of an entry besides its word and ids.
+ENTRY = 250
 #: Characters that are encoded into one batch of results.
 BATCH_CHARS = 4_000_000
 
@@ -89,6 +93,7 @@ class Encoder:
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.append(0, np.cumsum([len(p) for p in pieces]))
         self.words: dict[str, bytes] = {}
+        self.room = REMEMBERED
 
     def _short(self, token: str) -> str:
         return token.removesuffix(self.end) + self.closing if token.endswith(self.end) else token
@@ -162,15 +167,22 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         known, parts = self.words, []
-        if len(known) > REMEMBERED:
-            known.clear()
         for word in _SPLIT.split(text) if _ONLY_PYTHON.search(text) else text.split():
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = self.word(word)
+                ids = self.word(word)
+                if len(word) <= LONGEST:
+                    self.remember(word, ids)
             parts.append(ids)
         return b"".join(parts)
 
+    def remember(self, word: str, ids: bytes) -> None:
+        if self.room <= 0:
+            self.words.clear()
+            self.room = REMEMBERED
+        self.words[word] = ids
+        self.room -= ENTRY + 4 * len(word) + len(ids)
+
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the token strings joined by one space, and where each document begins.
 
@@ -239,7 +251,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Returns ``doc_id, ids, decoded``, one row per input row in any order; null
     and empty texts have no ids and decode to an empty text. Null or repeated
     doc_ids are passed through; other columns are not read. Each worker keeps
-    the ids of the words it meets, up to ``REMEMBERED``.
+    the ids of the short words it meets, up to ``REMEMBERED`` bytes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_coded(path), f"doc_id {kind}, ids array<int>, decoded string")

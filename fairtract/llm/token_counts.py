@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
+#: Marks a batch as committed; the mark of Spark's own committer may be switched off.
+MARK = "_COMMITTED"
 DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -47,15 +49,17 @@ def commit(spark: SparkSession, path: str, batch: str, deltas: DataFrame) -> boo
 
     Deltas are added up in each task before the shuffle, so a source with most
     of the rows is no hot key, and written as one small table in a folder of
-    the batch. The folder counts once its success mark is there: a batch that
+    the batch. The folder counts once this function's mark is there: a batch that
     broke off is written anew, one that is committed is left as it is. Returns
     whether anything was written.
     """
     folder = f"{path}/batch={batch}"
-    if _exists(spark, f"{folder}/_SUCCESS"):
+    if _exists(spark, f"{folder}/{MARK}"):
         return False
     sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     sums.coalesce(1).write.mode("overwrite").parquet(folder)
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MARK}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, False).close()
     return True
 
 
@@ -69,17 +73,23 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders = [s.getPath().toString() for s in system.listStatus(root)] if system.exists(root) else []
-    done = [f for f in folders if _exists(spark, f"{f}/_SUCCESS")]
+    done = [f for f in folders if _exists(spark, f"{f}/{MARK}")]
     rows = spark.read.schema(DELTAS).parquet(*done) if done else spark.createDataFrame([], DELTAS)
     sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs(doc_id, text, ...)`` whose text an earlier document has; a null text is an empty one."""
-    keyed = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    first = keyed.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_times")).where("_times > 1")
-    return keyed.join(first, "_text").where("doc_id > _first").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs(doc_id, text, ...)`` whose text a smaller doc_id has; a null text is an empty one.
+
+    Rows of one doc_id and rows without one are no copies. All columns are returned, whatever their names.
+    """
+    # Helper columns get names longer than any of the documents.
+    mark = "_" * max(map(len, docs.columns))
+    digest, first, times = f"{mark}digest", f"{mark}first", f"{mark}times"
+    keyed = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    firsts = keyed.groupBy(digest).agg(F.min("doc_id").alias(first), F.count("*").alias(times)).where(F.col(times) > 1)
+    return keyed.join(firsts, digest).where(F.col("doc_id") > F.col(first)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def both(*deltas: DataFrame) -> DataFrame:
