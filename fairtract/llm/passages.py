@@ -62,7 +62,7 @@ PACKED = "bucket long, part long, n long, data binary"
 
 
 def _probes(block: int, n_buckets: int):
-    """Of each part: a row for each distinct rolling block, marked if it is an aligned block too."""
+    """Of each part: a row for each distinct rolling block, marked if it is an aligned block too, and if it is met twice."""
 
     def probes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = _sorted_part(table)
@@ -74,7 +74,8 @@ def _probes(block: int, n_buckets: int):
         order, begins = _groups(h)
         any_aligned = np.add.reduceat(aligned[order], begins, dtype=np.int64) > 0 if len(begins) else np.zeros(0, bool)
         first = order[begins]
-        h, mark = h[first], at[first] * 2 + any_aligned
+        twice = np.diff(np.append(begins, len(order))) > 1
+        h, mark = h[first], at[first] * 4 + twice * 2 + any_aligned
         bucket = (h >> U64(32)) % U64(n_buckets)
         anchor = h & U64(256**ANCHOR_BYTES - 1)
         order = np.lexsort((anchor, bucket))
@@ -107,13 +108,14 @@ def _answers(key: tuple[pa.Scalar, ...], table: pa.Table, owner: np.ndarray, pos
 
 
 def _hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Anchors that occur in two parts, in one of them aligned."""
+    """Anchors that occur twice, in one part or in two, and at least once aligned."""
     (anchor, mark), owner = _read(table, [ANCHOR_BYTES, 4])
     order, begins = _groups(anchor)
     size = np.diff(np.append(begins, len(order)))
-    aligned = np.add.reduceat((mark[order] & U64(1)).astype(np.int64), begins)
-    hit = order[np.repeat((size > 1) & (aligned > 0), size)]
-    return _answers(key, table, owner[hit], (mark >> U64(1))[hit])
+    marks = np.bitwise_or.reduceat(mark[order], begins)
+    aligned, twice = marks & U64(1) > 0, marks & U64(2) > 0
+    hit = order[np.repeat(((size > 1) | twice) & aligned, size)]
+    return _answers(key, table, owner[hit], (mark >> U64(2))[hit])
 
 
 def _positions(table: pa.Table) -> np.ndarray:
@@ -130,7 +132,7 @@ def _window_pair(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _candidates(window: int, block: int, n_buckets: int):
-    """Of each part: the first start of each distinct window that can be a repeat.
+    """Of each part: the first start of each distinct window that can be a repeat, and the other starts for itself.
 
     All aligned blocks of a repeated window were found by a rolling block of
     the other place, so all of them must be hits.
@@ -155,7 +157,7 @@ def _candidates(window: int, block: int, n_buckets: int):
         order = np.lexsort((at, b, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        first = order[new]
+        first, again = order[new], np.sort(at[order[~new]])
         a, b, at = a[first], b[first], at[first]
         bucket = (b >> U64(32)) % U64(n_buckets)
         # In page order, so that positions and ids have runs in their high bytes.
@@ -164,14 +166,18 @@ def _candidates(window: int, block: int, n_buckets: int):
         doc = doc.view(U64) ^ U64(1 << 63)  # unsigned in the order of the signed ids
         low = int(doc.min()) if len(doc) else 0
         columns = [(a[order], 8), (b[order] & U64(0xFFFF), 2), (doc[order] - U64(low), 8), (at[order], 4)]
-        rows = _by_bucket(bucket[order], key[0].as_py(), columns)
-        return _packed([(k, p, n, low.to_bytes(8, "little") + d) for k, p, n, d in rows])
+        part = key[0].as_py()
+        rows = [(k, p, n, low.to_bytes(8, "little") + d) for k, p, n, d in _by_bucket(bucket[order], part, columns)]
+        # Later starts in the part itself are late; they come back in a bucket of its own.
+        return _packed([*rows, (-1 - part, part, len(again), planes(again, 4))])
 
     return candidates
 
 
 def _later(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Starts of windows whose words start earlier in another part."""
+    if key[0].as_py() < 0:
+        return table
     columns, owner = [[], [], [], []], []
     parts = table["part"].to_pylist()
     for i, (n, data) in enumerate(zip(table["n"].to_pylist(), table["data"])):
@@ -194,19 +200,13 @@ def _later(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _cut(window: int):
-    """Kept words of each document of a part."""
+    """Kept words of each document of a part: the words of its late windows go."""
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, late: pa.Table) -> pa.Table:
         table = _sorted_part(table)
         words = Words(table["text"])
-        a, b, at = _window_pair(words, window)
-        order = np.lexsort((at, b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        group = np.cumsum(new) - 1
-        # All but the first of the part go, and the first too if it is late itself.
-        gone = ~new | np.isin(group, group[np.isin(at[order], _positions(late))])
-        removed = at[order][gone]
+        # A window that is late is so at all its places, of which all but the first are in the list.
+        removed = _positions(late)
         steps = np.zeros(len(words) + 1, np.int64)
         np.add.at(steps, removed, 1)
         np.add.at(steps, removed + window, -1)
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Reference blocks of half a window lie end to end in every document, so each
     whole window holds one, wherever it starts. All rolling blocks probe them,
-    by hash. Windows around a hit are the candidates, verified by a hash over
+    by hash, those of their own part as well. Windows whose blocks are all hits are the candidates, verified by a hash over
     all their words (80 bits besides the bucket, which is a hash of its own)
     against the earliest start of the same words;
     overlapping verified windows are the maximal repeats that are cut.

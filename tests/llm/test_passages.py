@@ -65,3 +65,16 @@ def test_many_copies_cost_a_row_per_part(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert found(spark, [], 20) == []
+
+
+def test_results_come_through_anchors(spark, monkeypatch):
+    """Without hits nothing goes, in one part or in many: the whole table of sf0.01 lies in one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    removed = lambda: passages.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0]
+    assert removed() > 50_000
+
+    def no_hits(key, table):
+        return table.slice(0, 0)
+
+    monkeypatch.setattr(passages, "_hits", no_hits)
+    assert removed() == 0
