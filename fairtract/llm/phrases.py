@@ -36,7 +36,9 @@ BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 END, HOT = U64(0), U64(1)
 #: Bytes of text whose edges a bucket holds.
 BUCKET_BYTES = 4_000_000
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
+#: Bytes of packed rows in a batch.
+BATCH_BYTES = 4_000_000
 
 _IS_BREAK, _IS_GAP = np.zeros(256, bool), np.zeros(256, bool)
 _IS_BREAK[list(BREAKS)] = True
@@ -48,21 +50,24 @@ _COUNTED_ARROW = pa.schema([(n, pa.string()) for n in ("kind", "lang", "word")]
 
 
 class Tokens:
-    """Words of a slice of texts: byte ranges in ``body``, hashes, whether a piece ends there, and the text."""
+    """Words of a slice of texts: starts and lengths in ``body``, hashes, and whether a piece ends there."""
 
     def __init__(self, texts: pa.Array, salts: np.ndarray):
         data, offsets = _bytes_of(texts)
         self.body = _LOWER[data[offsets[0] : offsets[-1]]]
         bounds = offsets - offsets[0]
         found = [self._segment(a, b, bounds) for a, b in self._segments(bounds)]
-        self.starts, self.ends, self.hashes, self.last = (
-            (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, U64, bool))
+        self.starts, self.lengths, self.hashes, self.last = (
+            (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int32, U64, bool))
         )
-        self.text = np.searchsorted(bounds, self.starts, "right") - 1
-        h = mix(self.hashes + salts[self.text]) if len(self.starts) else self.hashes
+        self.bounds = bounds
+        h = mix(self.hashes + salts[self.text_of(self.starts)]) if len(self.starts) else self.hashes
         # The two least values are marks.
         self.hashes = np.where(h <= HOT, h + U64(2), h)
 
+    def text_of(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, starts, "right") - 1
+
     def _segments(self, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         """Byte ranges that end with a piece or a text."""
         start, size = 0, len(self.body)
@@ -97,11 +102,11 @@ class Tokens:
         piece = np.cumsum(ends_piece, dtype=np.int32)[s] + np.searchsorted(inner, s, "right")
         last = np.ones(len(s), bool)
         last[:-1] = piece[1:] != piece[:-1]
-        return s + a, e + a, h, last
+        return s + a, (e - s).astype(np.int32), h, last
 
     def strings(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Lengths and joined bytes of some words."""
-        length = self.ends[at] - self.starts[at]
+        length = self.lengths[at].astype(np.int64)
         return length, _gather(self.body, self.starts[at], length).tobytes()
 
 
@@ -117,15 +122,19 @@ def _salt(lang: str) -> int:
 def _edges(ids: np.ndarray, last: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct edges of a slice by numbers of words (0: end mark), sorted, with their counts."""
     # Two empty places stand behind the last word; what lies behind an end of a piece is the end mark.
-    own = np.append(ids + 1, [0, 0])
+    own = np.append(ids.astype(np.int32) + 1, np.zeros(2, np.int32))
     ended = np.append(last, [True, True])
     second = np.where(ended[:-2], 0, own[1:-1])
     third = np.where(ended[:-2] | ended[1:-1], 0, own[2:])
     if n_words < (1 << 21) - 1:
-        key = (own[:-2].astype(U64) << U64(42)) | (second.astype(U64) << U64(21)) | third.astype(U64)
-        key, n = np.unique(key, return_counts=True)
-        low = U64((1 << 21) - 1)
-        return (key >> U64(42)).astype(np.int64), ((key >> U64(21)) & low).astype(np.int64), (key & low).astype(np.int64), n
+        key = own[:-2].astype(U64) << U64(42)
+        key |= second.astype(U64) << U64(21)
+        key |= third.astype(U64)
+        key.sort()
+        begins = runs(key)
+        n = np.diff(np.append(begins, len(key)))
+        key, low = key[begins], U64((1 << 21) - 1)
+        return (key >> U64(42)).astype(np.int32), ((key >> U64(21)) & low).astype(np.int32), (key & low).astype(np.int32), n
     first = own[:-2]
     order = np.lexsort((third, second, first))
     first, second, third = first[order], second[order], third[order]
@@ -143,56 +152,76 @@ def _node(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return mix(h1) + h2 * _STEP
 
 
-def _slice(texts: pa.Array, langs: pa.Array, n_buckets: int, many: int) -> pa.RecordBatch:
+def _slice(texts: pa.Array, langs: pa.Array, n_buckets: int, many: int) -> Iterator[pa.RecordBatch]:
     """Packed rows of one slice: edges by node, edges of hot nodes, and words with the flow through them."""
     coded = langs.fill_null("und").dictionary_encode()
     names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    salts = np.array([_salt(x) for x in names], U64)
-    tokens = Tokens(texts, salts[lang])
+    tokens = Tokens(texts, np.array([_salt(x) for x in names], U64)[lang])
     known, first_at, ids = np.unique(tokens.hashes, return_index=True, return_inverse=True)
+    tokens.hashes = None
     first, second, third, n = _edges(ids, tokens.last, len(known))
+    del ids
     flow = np.bincount(first, n, len(known) + 1)[1:].astype(U64) if len(n) else np.zeros(0, U64)
+    yield from _batches(_edge_rows(np.append(END, known), first, second, third, n, n_buckets, many), None)
+
+    def word_rows() -> Iterator[tuple[int, int, bytes]]:
+        for bucket, at in _by_bucket(2 * n_buckets + _spread(known, n_buckets)):
+            own = first_at[at]
+            length, body = tokens.strings(own)
+            number = lang[tokens.text_of(tokens.starts[own])]
+            columns = [(known[at], 8), (flow[at], 5), (number.astype(U64), 4), (length.astype(U64), 4)]
+            yield bucket, len(at), b"".join([*(planes(c, w) for c, w in columns), body])
+
+    yield from _batches(word_rows(), names)
+
 
-    hashes = np.append(END, known)
-    h1, h2, h3, n = hashes[first], hashes[second], hashes[third], n.astype(U64)
+def _edge_rows(hashes, first, second, third, n, n_buckets: int, many: int) -> Iterator[tuple[int, int, bytes]]:
+    """Sorted edges by bucket of their node; those of a hot node one by one, and a mark at its home."""
+    h1, h2 = hashes[first], hashes[second]
     node = _node(h1, h2)
     begins = runs(node)
     sizes = np.diff(np.append(begins, len(node)))
     hot = sizes > max(many, 2 * len(node) // n_buckets)
     bucket = _spread(node, n_buckets)
-    if hot.any():
-        marked = begins[hot]
+    marks = begins[hot]
+    if len(marks):
         every = np.repeat(hot, sizes)
-        bucket[every] = n_buckets + _spread(node[every] + h3[every] * _BASE, n_buckets)
-        bucket = np.append(bucket, _spread(node[marked], n_buckets))
-        h1, h2, h3 = np.append(h1, h1[marked]), np.append(h2, h2[marked]), np.append(h3, np.full(len(marked), HOT))
-        n = np.append(n, np.zeros(len(marked), U64))
-    rows = _rows(bucket, [(h1, 8), (h2, 8), (h3, 8), (n, 5)])
-
-    home = 2 * n_buckets + _spread(known, n_buckets)
-    order = np.argsort(home, kind="stable")
-    begins = runs(home[order])
+        bucket[every] = n_buckets + _spread(node[every] + hashes[third[every]] * _BASE, n_buckets)
+    del node
+    for b, at in _by_bucket(bucket):
+        columns = [(h1[at], 8), (h2[at], 8), (hashes[third[at]], 8), (n[at].astype(U64), 5)]
+        yield b, len(at), b"".join(planes(c, w) for c, w in columns)
+    if len(marks):
+        h1, h2 = h1[marks], h2[marks]
+        for b, at in _by_bucket(_spread(_node(h1, h2), n_buckets)):
+            none = np.zeros(len(at), U64)
+            yield b, len(at), b"".join(planes(c, w) for c, w in [(h1[at], 8), (h2[at], 8), (none + HOT, 8), (none, 5)])
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each bucket, in order."""
+    order = np.argsort(bucket, kind="stable")
+    begins = runs(bucket[order])
     for a, b in zip(begins, np.append(begins[1:], len(order))):
-        at = order[a:b]
-        length, body = tokens.strings(first_at[at])
-        columns = [(known[at], 8), (flow[at], 5), (lang[tokens.text[first_at[at]]].astype(U64), 4), (length.astype(U64), 4)]
-        rows.append((int(home[order[a]]), len(at), b"".join([*(planes(c, w) for c, w in columns), body])))
-    bucket, n, data = zip(*rows) if rows else ((), (), ())
-    named = [names if b >= 2 * n_buckets else None for b in bucket]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary()), pa.array(named, pa.list_(pa.string()))],
-        ["bucket", "n", "data", "langs"],
-    )
+        yield int(bucket[order[a]]), order[a:b]
 
 
-def _rows(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [(c[order], w) for c, w in columns]
-    begins = runs(bucket)
-    return [
-        (int(bucket[a]), int(b - a), b"".join(planes(c[a:b], w) for c, w in columns))
-        for a, b in zip(begins, np.append(begins[1:], len(bucket)))
-    ]
+def _batches(rows: Iterator[tuple[int, int, bytes]], langs: list[str] | None) -> Iterator[pa.RecordBatch]:
+    def batch(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        bucket, n, data = zip(*held)
+        named = pa.array([langs] * len(held), pa.list_(pa.string()))
+        columns = [pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary()), named]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "n", "data", "langs"])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def _merged_edges(table: pa.Table, hot_bucket: bool, least: int) -> pa.Table:
@@ -290,13 +319,15 @@ def graph(docs: DataFrame, least: int = 10, bucket_bytes: int = BUCKET_BYTES, ma
         for batch in batches:
             for start, stop in byte_slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
-                yield _slice(part.column("text"), part.column("lang"), n_buckets, many)
+                yield from _slice(part.column("text"), part.column("lang"), n_buckets, many)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind = key[0].as_py() // n_buckets
         return _merged_words(table, least) if kind == 2 else _merged_edges(table, kind == 1, least)
 
-    counted = rows.mapInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(merge, _COUNTED)
+    # As many tasks as buckets of each kind, so that a task does not grow with the input.
+    packed = rows.mapInArrow(pack, _PACKED).repartition(n_buckets, "bucket")
+    counted = packed.groupBy("bucket").applyInArrow(merge, _COUNTED)
     return Graph(stage(counted, "grams"), least)
 
 

@@ -84,9 +84,9 @@ def test_counts_over_64_bits(spark):
 
 def test_pieces_span_segments(monkeypatch):
     text = "aa bb cc dd. ee ff gg\nhh " * 40
-    salts = np.array([7], np.uint64)
+    salts = np.array([7], np.uint64)  # of each text
     whole = phrases.Tokens(pa.array([text]), salts)
     monkeypatch.setattr(phrases, "SEGMENT", 17)
     cut = phrases.Tokens(pa.array([text]), salts)
-    for name in ("starts", "ends", "hashes", "last", "text"):
+    for name in ("starts", "lengths", "hashes", "last"):
         assert (getattr(whole, name) == getattr(cut, name)).all()
