@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_POINT = "array<double>"
+_POSITION = "array<double>"
 
 
-def _nested(depth: int) -> str:
-    kind = _POINT
-    for _ in range(depth):
-        kind = f"array<{kind}>"
-    return kind
+def points(geometry: Column) -> Column:
+    """Every position of a Point, Polygon or MultiPolygon as one array; other types give none.
 
+    The text is parsed once, into a variant, and read at the depth of its type.
+    """
+    kind = geometry["type"]
 
-def points(geometry: Column) -> Column:
-    """Every position of a Point, Polygon or MultiPolygon as one array; other types give none."""
-    kind, text = geometry["type"], geometry["coordinates"]
-    single = F.array(F.from_json(text, _nested(0)))
-    polygon = F.flatten(F.from_json(text, _nested(2)))
-    multi = F.flatten(F.flatten(F.from_json(text, _nested(3))))
-    every = (
-        F.when(kind == "Point", single).when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi)
-    )
+    def positions(parsed: Column) -> Column:
+        at = lambda depth: F.try_variant_get(parsed, "$", f"{'array<' * depth}{_POSITION}{'>' * depth}")
+        return (
+            F.when(kind == "Point", F.array(at(0)))
+            .when(kind == "Polygon", F.flatten(at(2)))
+            .when(kind == "MultiPolygon", F.flatten(F.flatten(at(3))))
+        )
+
+    # A list of one variant, so that the parse is one expression for all types.
+    every = F.get(F.transform(F.array(F.try_parse_json(geometry["coordinates"])), positions), 0)
     usable = lambda p: (F.size(p) >= 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull()
     return F.filter(every, usable)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtract.functions.scalars import county_or_unknown
+from fairtract.functions.sums import exact_mean, exact_sum
 from fairtract.schema import OUTCOME_COLUMNS, ROLLUP_DEMOGRAPHICS, ROLLUP_ENVIRONMENT
 
 STATE = "ST_ABBREV"
@@ -15,11 +16,14 @@ MEASURES = [*ROLLUP_ENVIRONMENT, *ROLLUP_DEMOGRAPHICS]
 
 
 def county_summary(df: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Tracts and means per county. Missing values are skipped; a county with none counts as 0."""
+    """Tracts and means per county. Missing values are skipped; a county with none counts as 0.
+
+    Means are the same to the last bit in any order of the rows, as ranks and texts build on them.
+    """
     counties = df.select(STATE, county_or_unknown(F.col("CNTY_NAME")).alias("county"), *measures)
     return counties.groupBy(STATE, "county").agg(
         F.count("*").alias("tract_count"),
-        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in measures],
+        *[F.coalesce(exact_mean(F.col(c)), F.lit(0.0)).alias(c) for c in measures],
     )
 
 
@@ -27,7 +31,7 @@ def state_summary(counties: DataFrame, measures: Sequence[str] = MEASURES) -> Da
     """Means of the county means weighted by tracts, which differ from plain tract means
     wherever a county has missing values."""
     weighted = [
-        F.try_divide(F.sum(F.col(c) * F.col("tract_count")), F.sum("tract_count")).alias(c)
+        F.try_divide(exact_sum(F.col(c) * F.col("tract_count")), F.sum("tract_count")).alias(c)
         for c in measures
     ]
     return counties.groupBy(STATE).agg(
@@ -46,6 +50,7 @@ def nested_summary(counties: DataFrame, counts: DataFrame) -> DataFrame:
     listed = with_maps(rank_counties(counties)).join(driver_lists(driver_frequency(counts, by_county, 3), by_county), by_county, "left")
     fields = [c for c in listed.columns if c not in (STATE, "risk")]
     entry = F.struct("rank", *[c for c in fields if c != "rank"])
+    # Entries hold maps, which have no order of their own, so ranks are compared.
     in_order = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"])
     return states.join(listed.groupBy(STATE).agg(in_order.alias("counties")), STATE)
 
@@ -106,10 +111,13 @@ def driver_lists(frequency: DataFrame, keys: Sequence[str]) -> DataFrame:
 def rank_counties(counties: DataFrame) -> DataFrame:
     """Counties of a state by mean of both outcomes, highest first; ties by name.
 
-    The input has one row per county, so a state's group is its list of counties.
+    Means do not depend on the order of rows, and risks are compared to nine decimals:
+    what lies below is left by the last bits of the tracts' values, in which counties that
+    are equal on paper may differ. The input has one row per county, so a state's group is
+    its list of counties.
     """
     risk = (F.col("P_CANCER") + F.col("P_RESP")) / 2
-    order = Window.partitionBy(STATE).orderBy(F.desc("risk"), "county")
+    order = Window.partitionBy(STATE).orderBy(F.round("risk", 9).desc(), "county")
     return counties.withColumn("risk", risk).withColumn("rank", F.row_number().over(order))
 
 

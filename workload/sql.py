@@ -170,9 +170,15 @@ summ as (select s.ST_ABBREV, cast(coalesce(f.n,0) as bigint) n_tracts, c.n_resil
 ROLLUP = ["P_CANCER", "P_RESP", "P_PM25", "P_OZONE", "P_DSLPM", "P_PTRAF", "P_LDPNT", "P_PNPL",
           "P_PRMP", "P_PTSDF", "P_UST", "P_PWDIS", "P_LOWINCPCT", "P_PEOPCOLORPCT"]
 
+
+def exact_sum(expression: str) -> str:
+    """A sum in whole units of 2^-60, so that neither the order of rows nor a last bit matters."""
+    return f"cast(sum(cast(({expression}) * 1152921504606846976.0 as hugeint)) as double) / 1152921504606846976.0"
+
+
 COUNTY_TABLE = f"""county as (select ST_ABBREV, coalesce(CNTY_NAME,'Unknown') county, count(*) tract_count,
-  {", ".join(f"coalesce(avg({c}),0) {c}" for c in ROLLUP)} from unit group by 1,2),
+  {", ".join(f"coalesce({exact_sum(c)} / count({c}),0) {c}" for c in ROLLUP)} from unit group by 1,2),
 state as (select ST_ABBREV, cast(sum(tract_count) as bigint) tract_count, count(*) county_count,
-  {", ".join(f"sum({c}*tract_count)/sum(tract_count) {c}" for c in ROLLUP)} from county group by 1)"""
+  {", ".join(f"{exact_sum(f'{c}*tract_count')}/sum(tract_count) {c}" for c in ROLLUP)} from county group by 1)"""
 
 COUNTY = f"{UNIT},\n{COUNTY_TABLE}"
