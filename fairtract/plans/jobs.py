@@ -12,7 +12,7 @@ from fairtract import schema as names
 from fairtract.functions.scalars import geoid11_int, json_row, nan_to_null
 from fairtract.operators import boosting, drivers, joins, pca, resilience, rollup, select
 from fairtract.operators.sampling import stratified_sample
-from fairtract.sources import writers
+from fairtract.sources import publish, writers
 from fairtract.sources.readers import POSITION
 from fairtract.staging import scope, stage
 
@@ -45,6 +45,29 @@ def export(indicators: DataFrame, geometry: DataFrame, folder: str, order: str |
         return _local(writers.write_report(joined))
 
 
+def publish_export(
+    indicators: DataFrame, geometry: DataFrame, folder: str, states: Sequence[str] = (), order: str | None = None
+) -> dict[str, dict[str, str]]:
+    """Export the states of ``indicators`` in the place of what the folder has of them; other states stay.
+
+    Features and keyed records appear together, by one mark (see ``sources.publish``); read them with
+    ``published=True``. ``states`` without tracts any more go.
+    """
+    spark = indicators.sparkSession
+    order = order or (POSITION if POSITION in indicators.columns else None)
+    with scope(spark):
+        joined = stage(joins.join_geometry(nan_to_null(indicators), geometry), "joined")
+        kept = joined.drop("geometry")
+        records = kept.drop(order) if order else kept
+        unique = writers.last_by_key(kept, "ID", order)
+        keyed = unique.select(STATE, geoid11_int(F.col("ID")).alias("geoid11"), json_row(*records.columns).alias("record"))
+        writes = {
+            "features": lambda path: writers.write_features(joined, path),
+            "tract-data": lambda path: writers.write_keyed_json(keyed, path, "geoid11", F.col("record")),
+        }
+        return publish.publish(spark, folder, writes, states)
+
+
 def _local(report: DataFrame) -> DataFrame:
     """A table of one row per state that outlives the tables it was made from."""
     return report.sparkSession.createDataFrame(report.collect(), report.schema)

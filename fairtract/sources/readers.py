@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fairtract import schema as names
 from fairtract.functions.scalars import nan_to_null
+from fairtract.sources import json_ranges, publish
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -78,41 +79,84 @@ def _feature_schema(columns: Iterable[str]) -> T.StructType:
     )
 
 
+def _in_folders(spark: SparkSession, folder: str, published: bool, states: Sequence[str] | None) -> tuple[list[str], bool]:
+    """The folders to read: all of one, or those that the last mark of a published one names."""
+    found = publish.paths(spark, *folder.rstrip("/").rsplit("/", 1), states) if published else [folder]
+    return found, not found
+
+
 def read_features(
     spark: SparkSession,
     folder: str,
     states: Sequence[str] | None = None,
     columns: Sequence[str] = names.FEATURE_COLUMNS,
+    published: bool = False,
 ) -> DataFrame:
-    """Features written by ``write_features``, one row each; only asked-for states are scanned."""
-    raw = spark.read.schema(
-        T.StructType([*_feature_schema(columns), T.StructField("state", T.StringType())])
-    ).json(folder)
+    """Features written by ``write_features``, one row each; only asked-for states are scanned.
+
+    ``published`` reads the states of this table that ``publish`` has put into the folder above.
+    """
+    schema = T.StructType([*_feature_schema(columns), T.StructField("state", T.StringType())])
+    found, nothing = _in_folders(spark, folder, published, states)
+    if nothing:
+        return spark.createDataFrame([], schema)
+    raw = spark.read.option("basePath", folder).schema(schema).json(found).select(*schema.names)
     return raw if states is None else raw.where(F.col("state").isin(list(states)))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Coordinates are kept as the text of the file, which may be indented."""
+    text = F.regexp_replace("geometry.coordinates", r"\s+", "")
+    return rows.withColumn("geometry", F.col("geometry").withField("coordinates", text))
+
+
 def read_feature_collections(
-    spark: SparkSession, path: str, columns: Sequence[str] = names.FEATURE_COLUMNS, whole: bool = False
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] = names.FEATURE_COLUMNS,
+    whole: bool = False,
+    range_bytes: int = json_ranges.RANGE_BYTES,
 ) -> DataFrame:
     """Feature rows of ``FeatureCollection`` documents, one per line.
 
-    ``whole`` reads classic files that hold one document over many lines; such
-    a file cannot be split between tasks.
+    ``whole`` reads classic files that hold one document over many lines, or in one long line: a
+    task reads a range of ``range_bytes`` and the features that begin in it.
     """
-    document = T.StructType([T.StructField("features", T.ArrayType(_feature_schema(columns)))])
-    raw = spark.read.option("multiLine", whole).schema(document).json(path)
-    rows = raw.select(F.explode("features").alias("feature")).select("feature.*")
-    # Coordinates are kept as the text of the file, which may be indented.
-    packed = F.regexp_replace("geometry.coordinates", r"\s+", "")
-    return rows.withColumn("geometry", F.col("geometry").withField("coordinates", packed))
+    feature = _feature_schema(columns)
+    if whole:
+        raw = json_ranges.read_records(spark, path, "array", range_bytes)
+        rows = raw.select(F.from_json("value", feature).alias("feature")).select("feature.*").where("type = 'Feature'")
+    else:
+        document = T.StructType([T.StructField("features", T.ArrayType(feature))])
+        raw = spark.read.schema(document).json(path)
+        rows = raw.select(F.explode("features").alias("feature")).select("feature.*")
+    return _packed(rows)
 
 
 def read_keyed_json(
-    spark: SparkSession, path: str, value_schema: T.StructType, key: str = "geoid11", whole: bool = False
+    spark: SparkSession,
+    path: str,
+    value_schema: T.StructType,
+    key: str = "geoid11",
+    whole: bool = False,
+    published: bool = False,
+    range_bytes: int = json_ranges.RANGE_BYTES,
 ) -> DataFrame:
-    """JSON objects keyed by id as rows ``key, value``. ``whole`` reads one pretty-printed object per file."""
-    text = spark.read.text(path, wholetext=whole)
+    """JSON objects keyed by id as rows ``key, value``, and the ``state`` of their folder where there is one.
+
+    ``whole`` reads classic files that hold one object over many lines, or in one long line: a
+    task reads a range of ``range_bytes`` and the members that begin in it. ``published``
+    reads the states of this table that ``publish`` has put into the folder above.
+    """
+    if whole:
+        raw = json_ranges.read_records(spark, path, "entries", range_bytes)
+        state = F.nullif(F.regexp_extract("file", "/state=([^/]*)/", 1), F.lit(""))
+        return raw.select(F.col("key").alias(key), F.from_json("value", value_schema).alias("value"), state.alias("state"))
+    found, nothing = _in_folders(spark, path, published, None)
+    if nothing:
+        fields = [T.StructField(key, T.StringType()), T.StructField("value", value_schema), T.StructField("state", T.StringType())]
+        return spark.createDataFrame([], T.StructType(fields))
+    reader = spark.read.option("basePath", path) if published else spark.read
+    text = reader.text(found).drop("version")
     parsed = F.from_json("value", T.MapType(T.StringType(), value_schema))
-    return text.select(
-        F.explode(parsed).alias(key, "value"), *[c for c in text.columns if c != "value"]
-    )
+    return text.select(F.explode(parsed).alias(key, "value"), *[c for c in text.columns if c != "value"])

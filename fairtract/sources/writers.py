@@ -92,6 +92,18 @@ def write_feature_collections(
     documents.write.partitionBy("state").text(folder)
 
 
+def _entries(df: DataFrame, key: str, value: Column | None, state: str) -> DataFrame:
+    """Members of JSON objects as text: ``state, entry, entry_key``."""
+    df = nan_to_null(df)
+    body = value if value is not None else json_row(*[c for c in df.columns if c != key])
+    quoted = F.to_json(F.array(F.col(key).cast("string")))
+    return df.where(F.col(state).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(state).alias("state"),
+        F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), body).alias("entry"),
+        F.col(key).alias("entry_key"),
+    )
+
+
 def write_keyed_json(
     df: DataFrame,
     folder: str,
@@ -105,14 +117,7 @@ def write_keyed_json(
     Keys must be unique (see ``last_by_key``); the objects of a state, of about
     ``per_object`` keys, have disjoint keys.
     """
-    df = nan_to_null(df)
-    body = value if value is not None else json_row(*[c for c in df.columns if c != key])
-    quoted = F.to_json(F.array(F.col(key).cast("string")))
-    entries = df.where(F.col(state).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(state).alias("state"),
-        F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), body).alias("entry"),
-        F.col(key).alias("entry_key"),
-    )
+    entries = _entries(df, key, value, state)
     objects = (
         _pieces(entries, F.xxhash64("entry_key"), per_object)
         .groupBy("state", "piece")
@@ -122,6 +127,33 @@ def write_keyed_json(
     objects.write.partitionBy("state").text(folder)
 
 
+def _write_documents(entries: DataFrame, head: str, tail: str, folder: str) -> None:
+    """One document per state from ``state, value`` entries, one entry per line.
+
+    A document is one file, so one task writes a state; it streams the sorted rows and holds none of them.
+    """
+    placed = stage(entries.select("state", "value", F.monotonically_increasing_id().alias("place")), "entries")
+    first = placed.groupBy("state").agg(F.min("place").alias("first"))
+    line = F.concat(F.when(F.col("place") == F.col("first"), "").otherwise(","), "value")
+    lines = placed.join(stage(first, "first"), "state").select("state", "place", line.alias("value"))
+    ends = placed.groupBy("state").agg(F.max("place").alias("last"))
+    lines = lines.unionByName(first.select("state", (F.col("first") - 1).alias("place"), F.lit(head).alias("value")))
+    lines = lines.unionByName(ends.select("state", (F.col("last") + 1).alias("place"), F.lit(tail).alias("value")))
+    ordered = lines.repartition("state").sortWithinPartitions("state", "place")
+    ordered.select("state", "value").write.partitionBy("state").text(folder)
+
+
+def write_classic_collections(df: DataFrame, folder: str, columns: Sequence[str] = names.FEATURE_COLUMNS) -> None:
+    """One ``FeatureCollection`` per state in one file, as other tools expect it; read it back in byte ranges."""
+    text = _feature_text(features(df.where(F.col(STATE).isNotNull()), columns))
+    _write_documents(text, '{"type":"FeatureCollection","features":[', "]}", folder)
+
+
+def write_classic_keyed_json(df: DataFrame, folder: str, key: str, value: Column | None = None, state: str = STATE) -> None:
+    """One JSON object keyed by id per state in one file. Keys must be unique (see ``last_by_key``)."""
+    _write_documents(_entries(df, key, value, state).select("state", F.col("entry").alias("value")), "{", "}", folder)
+
+
 def last_by_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """The row with the greatest ``order`` for each key: later rows overwrite earlier ones.
 
