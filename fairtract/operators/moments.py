@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairtract.operators.ranks import average_rank, rank_columns
+from fairtract.operators.rank_blocks import rank_moments
 from fairtract.operators.select import complete_cases
 from fairtract.staging import stage
 
@@ -178,12 +178,7 @@ def _literals(own: DataFrame) -> list:
 def spearman(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation matrix of complete cases, in long form; repeated rows all count."""
     rows = complete_cases(df.select(*keys, *columns), columns)
-    ranked = rank_columns(rows, keys, columns, average_rank(), keys)
-    if len(columns) > NARROW:
-        # Wide moments read their input twice; ranking twice would cost far more than a stored copy.
-        ranked = stage(ranked.select(*keys, *columns), "ranks")
-    moments = stage(group_moments(ranked, columns, keys), "moments")
-    return correlations(moments, keys)
+    return correlations(stage(rank_moments(rows, columns, keys), "moments"), keys)
 
 
 def ols(

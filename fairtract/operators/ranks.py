@@ -157,11 +157,11 @@ def _slice_ends(sliced: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-# Half width of a bracket around a quantile, relative to the group, and the accuracy of the
-# sketch that places it. Groups up to SMALL rows fit the built-in exact aggregate.
-MARGIN = 4e-4
-ACCURACY = 10_000
+# Groups up to SMALL rows fit the built-in exact aggregate. For larger ones a KLL sketch of SKETCH items places a
+# bracket; MARGIN, its half width relative to the group, is the sketch's rank error at 99 % confidence.
 SMALL = 50_000
+SKETCH = 4_096
+MARGIN = 2.296 / SKETCH**0.9021
 
 
 def exact_quantiles(
@@ -173,34 +173,59 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles, one row per group and variable, one column per named probability.
 
-    Groups up to ``small`` rows (default ``SMALL``) use the built-in exact aggregate, whose buffer grows with the
-    group. In large ones a sketch gives a narrow bracket around each quantile;
-    only values inside it are ranked, together with the number of rows below
+    A first pass counts the values of each group. Groups up to ``small`` rows (default ``SMALL``) use the built-in
+    exact aggregate, whose buffer grows with the group. In large ones a mergeable sketch gives a narrow
+    bracket around each quantile; only values inside it are ranked, together with the number of rows below
     it, so no large group is shuffled or sorted.
     """
-    groups = [*keys, "variable"]
-    long = melt(df, keys, columns)
-    brackets = stage(_brackets(df, columns, probabilities, list(keys)), "brackets")
-    return _quantiles(long, brackets, probabilities, groups, SMALL if small is None else small)
+    totals = stage(_totals(df, columns, list(keys), {}), "totals")
+    return _quantiles(df, columns, totals, probabilities, list(keys), SMALL if small is None else small)
 
 
-def _quantiles(long: DataFrame, brackets: DataFrame, probabilities: dict[str, float], groups: list[str], most: int) -> DataFrame:
-    small, large = brackets.where(F.col("total") <= most), brackets.where(F.col("total") > most)
+def _quantiles(df: DataFrame, columns: Sequence[str], totals: DataFrame, probabilities: dict[str, float], keys: list[str], most: int) -> DataFrame:
+    """Quantiles of the groups and variables of ``totals`` (``keys, variable, total``)."""
+    groups = [*keys, "variable"]
+    large = totals.where(F.col("total") > most).select(*groups, "total")
     if large.isEmpty():
-        return _small_quantiles(long, small, probabilities, groups)
-    found = _large_quantiles(long, large, groups)
+        return _small_quantiles(df, columns, probabilities, keys)
+    brackets = stage(_brackets(df, columns, probabilities, keys, large), "brackets")
+    long = melt(df, keys, columns)
+    found = _large_quantiles(long, brackets, groups)
     wide = found.groupBy(*groups).agg(
         *[F.max(F.when(F.col("q") == name, F.col("quantile"))).alias(name) for name in probabilities]
     )
+    small = totals.where((F.col("total") <= most) & (F.col("total") > 0)).select(*groups)
     if small.isEmpty():
         return wide
-    return wide.unionByName(_small_quantiles(long, small, probabilities, groups))
+    rows = long.join(small, groups, "left_semi")
+    exact = rows.groupBy(*groups).agg(F.percentile("value", list(probabilities.values())).alias("found"))
+    return wide.unionByName(exact.select(*groups, *[F.get("found", F.lit(i)).alias(name) for i, name in enumerate(probabilities)]))
 
 
-def _small_quantiles(long: DataFrame, small: DataFrame, probabilities: dict[str, float], groups: list[str]) -> DataFrame:
-    rows = long.join(small.select(*groups).distinct(), groups, "left_semi")
-    exact = rows.groupBy(*groups).agg(F.percentile("value", list(probabilities.values())).alias("found"))
-    return exact.select(*groups, *[F.get("found", F.lit(i)).alias(name) for i, name in enumerate(probabilities)])
+def _usable(c: str) -> Column:
+    """Values that count: numbers, neither missing nor NaN."""
+    number = F.col(c).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def _long(df: DataFrame, columns: Sequence[str], keys: list[str], aggregates: dict) -> DataFrame:
+    """Aggregates of each column (functions of its usable values) in one pass: ``keys, variable`` and one column each."""
+    cells = [f(_usable(c)).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in aggregates.items()]
+    entries = [
+        F.struct(F.lit(c).alias("variable"), *[F.col(f"{name}_{i}").alias(name) for name in aggregates])
+        for i, c in enumerate(columns)
+    ]
+    return df.groupBy(*keys).agg(*cells).select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*")
+
+
+def _totals(df: DataFrame, columns: Sequence[str], keys: list[str], more: dict) -> DataFrame:
+    return _long(df, columns, keys, {"total": F.count, **more})
+
+
+def _small_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: list[str]) -> DataFrame:
+    exact = _long(df, columns, keys, {"found": lambda v: F.percentile(v, list(probabilities.values()))})
+    names = [F.get("found", F.lit(i)).alias(name) for i, name in enumerate(probabilities)]
+    return exact.where(F.col("found").isNotNull()).select(*keys, "variable", *names)
 
 
 def _large_quantiles(long: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
@@ -225,48 +250,28 @@ def _large_quantiles(long: DataFrame, brackets: DataFrame, groups: list[str]) ->
 
 
 def _brackets(
-    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: list[str], more: dict | None = None
+    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], keys: list[str], large: DataFrame
 ) -> DataFrame:
-    """``keys, variable, q, p, total, low, high`` of every group with values.
-
-    ``more`` holds functions from a column to further aggregates of the same pass.
-    """
-    more = more or {}
+    """``keys, variable, q, p, total, low, high`` of the large groups: sketches of all columns in one pass."""
+    rows = df.join(large.select(*keys).distinct(), keys, "left_semi") if keys else df
+    sketches = _long(rows, columns, keys, {"sketch": lambda v: F.kll_sketch_agg_double(v, F.lit(SKETCH))})
     ends = [max(0.0, p - MARGIN) for p in probabilities.values()] + [min(1.0, p + MARGIN) for p in probabilities.values()]
-    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    sketches = []
-    for i, c in enumerate(columns):
-        sketches += [
-            F.count(number[c]).alias(f"total_{i}"),
-            F.percentile_approx(number[c], ends, ACCURACY).alias(f"ends_{i}"),
-            *[f(number[c]).alias(f"{name}_{i}") for name, f in more.items()],
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.col(f"total_{i}").alias("total"),
-            F.col(f"ends_{i}").alias("ends"),
-            *[F.col(f"{name}_{i}").alias(name) for name in more],
-        )
-        for i, c in enumerate(columns)
-    ]
+    found = F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, ends)))
     asked = [
         F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"), F.lit(j).alias("i"))
         for j, (name, p) in enumerate(probabilities.items())
     ]
-    per_column = df.groupBy(*keys).agg(*sketches).select(*keys, F.explode(F.array(*entries)).alias("e"))
     return (
-        per_column.where(F.col("e.total") > 0)
-        .select(*keys, "e", F.explode(F.array(*asked)).alias("a"))
+        sketches.join(large, [*keys, "variable"])
+        .select(*keys, "variable", "total", found.alias("ends"), F.explode(F.array(*asked)).alias("a"))
         .select(
             *keys,
-            "e.variable",
+            "variable",
             "a.q",
             "a.p",
-            "e.total",
-            F.get("e.ends", F.col("a.i")).alias("low"),
-            F.get("e.ends", F.col("a.i") + len(asked)).alias("high"),
-            *[F.col(f"e.{name}") for name in more],
+            "total",
+            F.get("ends", F.col("a.i")).alias("low"),
+            F.get("ends", F.col("a.i") + len(asked)).alias("high"),
         )
     )
 
@@ -294,11 +299,10 @@ def _holds(index: Column) -> Column:
 
 
 def described(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], more: dict) -> DataFrame:
-    """``variable, total``, the ``more`` aggregates and the quantiles of columns with values, in one pass and a bracket's."""
-    brackets = stage(_brackets(df, columns, probabilities, [], more), "brackets")
-    totals = brackets.select("variable", "total", *more).distinct()
-    found = _quantiles(melt(df, [], columns), brackets.drop(*more), probabilities, ["variable"], SMALL)
-    return totals.join(found, "variable")
+    """``variable, total``, the ``more`` aggregates and the quantiles of columns with values."""
+    totals = stage(_totals(df, columns, [], more), "totals")
+    found = _quantiles(df, columns, totals, probabilities, [], SMALL)
+    return totals.where(F.col("total") > 0).join(found, "variable")
 
 
 def group_median(
