@@ -10,6 +10,7 @@ is shuffled or shipped is bounded by the size of the model.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,6 +163,42 @@ def leaf_table(spark, fitted: OutcomeModel) -> LeafTable:
     return LeafTable(np.array([v for v, _ in leaves]), feature, low, high)
 
 
+def leaf_rows(spark, fitted: OutcomeModel) -> DataFrame:
+    """The fitted ensemble as a table that plain SQL can score: ``leaf, value, feature, low, high``.
+
+    A leaf has one row per feature on its path; a tract is in the leaf if each of these features
+    is above ``low`` and up to ``high``. The prediction is the sum of its leaves' values. The table is
+    bounded by the model; a leaf without conditions has one row without a feature.
+    """
+    table = leaf_table(spark, fitted)
+    rows = []
+    for leaf, value in enumerate(table.value.tolist()):
+        boxes = {
+            (fitted.features[f], a, b)
+            for f, a, b in zip(table.feature[leaf].tolist(), table.low[leaf].tolist(), table.high[leaf].tolist())
+            if a > -np.inf or b < np.inf
+        }
+        rows += [(leaf, value, *box) for box in sorted(boxes)] or [(leaf, value, None, None, None)]
+    return spark.createDataFrame(rows, "leaf int, value double, feature string, low double, high double")
+
+
+def leaf_score(leaves: DataFrame, features: Sequence[str]) -> Column:
+    """The prediction of a stored leaf table as a column over ``features``, without the model."""
+    box = F.struct(F.array_position(F.array(*map(F.lit, features)), F.col("feature")).cast("int").alias("f"), "low", "high")
+    boxes = F.collect_list(F.when(F.col("feature").isNotNull(), box))
+    listed = leaves.groupBy("leaf", "value").agg(boxes.alias("boxes")).orderBy("leaf")
+    most = float(np.finfo(float).max)
+    known = [
+        {"value": row.value, "boxes": [{"f": b.f, "low": max(b.low, -most), "high": min(b.high, most)} for b in row.boxes]}
+        for row in listed.collect()
+    ]
+    schema = "array<struct<value:double,boxes:array<struct<f:int,low:double,high:double>>>>"
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    inside = lambda leaf: F.forall(leaf["boxes"], lambda b: (F.get(x, b["f"] - 1) > b["low"]) & (F.get(x, b["f"] - 1) <= b["high"]))
+    add = lambda total, leaf: total + F.when(inside(leaf), leaf["value"]).otherwise(0.0)
+    return F.aggregate(F.from_json(F.lit(json.dumps(known)), schema), F.lit(0.0), add)
+
+
 def pattern_counts(df: DataFrame, features: Sequence[str], models: Sequence[LeafTable]) -> DataFrame:
     """Background rows per model, leaf and pattern; each task emits its own totals only."""
     features = list(features)

@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fairtract.operators import ranks
+from fairtract.operators import ranks, rollup
 from fairtract.staging import stage
+from workload import tables
 from workload.compare import rows_of
 from workload.queries import QUERIES
 
@@ -39,12 +40,24 @@ def test_state_filter_prunes_partitions(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*ST_ABBREV#\d+ = AS", plan_of(QUERIES["for_state"](spark, SF_DIR)))
 
 
+@pytest.mark.parametrize("name", ["join_geometry_bucketed", "join_index_bucketed", "attach_drivers_bucketed"])
+def test_tables_in_buckets_join_without_a_shuffle(spark, name):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, SF_DIR))
+    finally:
+        spark.conf.set(setting, before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
+
+
 def test_top_results_are_limited_before_the_shuffle(spark):
     plan = plan_of(QUERIES["result_blocks"](spark, SF_DIR))
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("name", ["state_summary", "resilience_summary", "spearman", "describe", "driver_frequency_by_county", "stratified_sample"])
+@pytest.mark.parametrize("name", ["state_context_many_counties", "rank_counties", "nested_summary", "state_summary", "resilience_summary", "spearman", "describe", "driver_frequency_by_county", "stratified_sample"])
 def test_partitioning_does_not_matter(spark, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     found = []
@@ -58,6 +71,17 @@ def test_partitioning_does_not_matter(spark, name):
     assert found[0] == found[1] == found[2]
 
 
+def test_county_means_have_equal_bits_in_any_order(spark):
+    """Unrounded: the same doubles from 1, 4 and 16 partitions, however rows lie in them."""
+    tracts = tables.unit(spark, SF_DIR).withColumn("CNTY_NAME", F.concat(F.lit("County "), (F.col("ID") % 4).cast("string")))
+    found = []
+    for partitions in (1, 4, 16):
+        counties = rollup.county_summary(tracts.orderBy(F.xxhash64("ID", F.lit(partitions))).repartition(partitions))
+        both = [counties, rollup.state_summary(counties.repartition(partitions)), rollup.rank_counties(counties).select("ST_ABBREV", "county", "risk", "rank")]
+        found.append([sorted(map(tuple, df.collect())) for df in both])
+    assert found[0] == found[1] == found[2]
+
+
 def test_hot_value_is_dealt_over_slices(spark, monkeypatch):
     """A third of the rows share one value; they are ranked in several slices."""
     df = spark.range(60_000).select(

@@ -129,6 +129,51 @@ def _(spark, sf):
     return rows.groupBy("state").agg(F.count("*").alias("entries"), r(F.sum(diesel), 3).alias("total"))
 
 
+@query("read_classic_features", ORACLES["read_features"])
+def _(spark, sf):
+    """One document per state, read in ranges of bytes."""
+    folder = new_path(spark, "classic-features")
+    writers.write_classic_collections(_with_geometry(spark, sf), folder)
+    rows = readers.read_feature_collections(spark, folder, whole=True, range_bytes=32_768)
+    flat = rows.select("properties.*", F.col("geometry.type").alias("shape"), F.col("geometry.coordinates").alias("coordinates"))
+    return rounded(flat.drop("P_RSEI_AIR"), MAP_P)
+
+
+@query("read_classic_keyed_json", ORACLES["read_keyed_json"])
+def _(spark, sf):
+    folder = new_path(spark, "classic-records")
+    source = tables.unit(spark, sf).withColumn("geoid11", tables.geoid())
+    writers.write_classic_keyed_json(source, folder, "geoid11")
+    kept = names.schema_for(["ID", "CNTY_NAME", "P_CANCER", "P_PTRAF"])
+    rows = readers.read_keyed_json(spark, folder, kept, whole=True, range_bytes=32_768)
+    return rounded(rows.select("geoid11", "value.*", "state"), ["P_CANCER", "P_PTRAF"])
+
+
+@query(
+    "republish_state",
+    f"""{GEO}, e as (select *, case when ST_ABBREV='AS' then 'Renamed' else CNTY_NAME end county from geo
+      where ST_ABBREV not in ('AF','AS') or (ST_ABBREV='AS' and P_CANCER >= 50))
+    select ID, ST_ABBREV state, county, county record_county, 'Polygon' shape from e""",
+)
+def _(spark, sf):
+    """All states are exported; then AS is with other rows and AF with none; a third export breaks."""
+    folder, tracts, shapes = new_path(spark, "published"), tables.unit(spark, sf), tables.boundaries(spark, sf)
+    jobs.publish_export(tracts, shapes, folder)
+    changed = tracts.where("ST_ABBREV = 'AS' and P_CANCER >= 50").withColumn("CNTY_NAME", F.lit("Renamed"))
+    jobs.publish_export(changed, shapes, folder, ["AS", "AF"])
+    broken = tracts.where("ST_ABBREV in ('AM', 'AS')").withColumn("CNTY_NAME", F.raise_error(F.lit("broken export")).cast("string"))
+    try:
+        jobs.publish_export(broken, shapes, folder)
+    except Exception as error:  # as any failure of a task, it leaves what is published
+        if "broken export" not in str(error):
+            raise
+    features = readers.read_features(spark, f"{folder}/features", published=True)
+    records = readers.read_keyed_json(spark, f"{folder}/tract-data", names.schema_for(["ID", "CNTY_NAME"]), published=True)
+    return features.select("properties.ID", "state", F.col("properties.CNTY_NAME").alias("county"), F.col("geometry.type").alias("shape")).join(
+        records.select("value.ID", F.col("value.CNTY_NAME").alias("record_county")), "ID"
+    )
+
+
 @query("optional_source", f"{UNIT} select ID, cast(null as double) RPL_EJI from unit")
 def _(spark, sf):
     missing = readers.optional_source(spark, f"{sf}/no-such-index.csv", tables.NO_INDEX, lambda p: readers.read_indicators(spark, p))
@@ -458,6 +503,25 @@ def _(spark, sf):
     return joined.select("geoid11", "ST_ABBREV", first["feature"].alias("first_cancer"), first["shap"].alias("first_shap"))
 
 
+@query("join_geometry_bucketed", ORACLES["join_geometry"])
+def _(spark, sf):
+    joined = joins.join_geometry(tables.bucketed_unit(spark, sf), tables.bucketed_boundaries(spark, sf), "geoid11")
+    return rounded(joined.select("ID", "ST_ABBREV", "GEOID", "P_CANCER"), ["P_CANCER"])
+
+
+@query("join_index_bucketed", ORACLES["join_index"])
+def _(spark, sf):
+    joined = joins.join_index(tables.bucketed_unit(spark, sf), tables.bucketed_index(spark, sf), "geoid11")
+    return rounded(joined.select("GEOID", "ID", "ST_ABBREV", "P_CANCER", "RPL_EJI"), ["P_CANCER", "RPL_EJI"])
+
+
+@query("attach_drivers_bucketed", ORACLES["attach_drivers"])
+def _(spark, sf):
+    joined = joins.attach_drivers(tables.bucketed_unit(spark, sf), tables.bucketed_drivers(spark, sf), "geoid11")
+    first = F.get("cancer", F.lit(0))
+    return joined.select("geoid11", "ST_ABBREV", first["feature"].alias("first_cancer"), first["shap"].alias("first_shap"))
+
+
 @query(
     "attach_state",
     """select lpad(cast(cast(c_nationkey % 7 + 1 as bigint) * 1000000000 + c_custkey as varchar), 11, '0') geoid11,
@@ -930,9 +994,37 @@ def _(spark, sf):
     return rounded(rows, ["var_explained"]).select("ST_ABBREV", "n_tracts", "PC", "var_explained", named.alias("named"))
 
 
-@query("pca_by_state_all")
-def _(spark, sf):
-    return pca.pca_by_state(tables.unit(spark, sf))
+def _components_sql() -> str:
+    """Grid of states and components; eigenvalues square up to the sum of all squared correlations."""
+    present = " and ".join(f"{c} is not null" for c in P_COLUMNS)
+    squares = " + ".join(f"{2 if i < j else 1} * pow(corr({a},{b}), 2)" for i, a in enumerate(P_COLUMNS) for j, b in enumerate(P_COLUMNS) if i <= j)
+    return f"""{UNIT}, cm as (select ST_ABBREV, {r6(squares, 2)} squares from unit where {present} group by 1),
+    s as (select ST_ABBREV, count(*) filter ({present}) n_tracts from unit group by 1)
+    select s.ST_ABBREV, n_tracts, cast(pc as int) PC, case when pc <= {len(P_COLUMNS)} then 0.0 end gap,
+      case when pc <= {len(P_COLUMNS)} then 10 else 0 end named, squares
+    from (select *, unnest(range(1,21)) pc from s) s join cm on cm.ST_ABBREV = s.ST_ABBREV"""
+
+
+@query("pca_by_state_all", _components_sql())
+def _(spark, sf):
+    """All percentile columns. ``gap`` is what R v - lambda v leaves of each component, R being the
+    correlations and lambda the share of variance that the result states; ``named`` counts the variables that
+    the result names and that are truly its largest; ``squares`` adds up the squared eigenvalues."""
+    p, unit = len(P_COLUMNS), tables.unit(spark, sf)
+    result = stage(pca.pca_by_state(unit), "components")
+    loadings = _loadings(spark, sf)
+    shares = result.select("ST_ABBREV", F.col("PC").alias("pc"), (F.col("var_explained") * p).alias("eigen"))
+    rho = moments.correlations(moments.group_moments(unit, P_COLUMNS, ["ST_ABBREV"]), ["ST_ABBREV"])
+    turned = rho.join(loadings.select("ST_ABBREV", "pc", F.col("variable").alias("var2"), "loading"), ["ST_ABBREV", "var2"])
+    turned = turned.groupBy("ST_ABBREV", "pc", F.col("var1").alias("variable")).agg(F.sum(F.col("rho") * F.col("loading")).alias("turned"))
+    left = turned.join(loadings, ["ST_ABBREV", "pc", "variable"]).join(shares, ["ST_ABBREV", "pc"])
+    gaps = left.groupBy("ST_ABBREV", "pc").agg(r(F.max(F.abs(F.col("turned") - F.col("eigen") * F.col("loading"))), 4).alias("gap"))
+    tops = [F.col(f"top{i}_var") for i in range(1, 11)]
+    best = pca.top_loadings(loadings, ["ST_ABBREV"]).select("ST_ABBREV", "pc", F.array(*tops).alias("best"))
+    squares = shares.groupBy("ST_ABBREV").agg(r(F.sum(F.col("eigen") * F.col("eigen")), 2).alias("squares"))
+    named = F.size(F.array_intersect(F.array_compact(F.array(*tops)), F.coalesce("best", F.array().cast("array<string>"))))
+    grid = result.withColumn("pc", F.col("PC")).join(gaps, ["ST_ABBREV", "pc"], "left").join(best, ["ST_ABBREV", "pc"], "left")
+    return grid.join(squares, "ST_ABBREV").select("ST_ABBREV", "n_tracts", F.col("pc").alias("PC"), "gap", named.alias("named"), "squares")
 
 
 _coefficients = "i_{o} intercept, ba_{o} b1, bb_{o} b2, bc_{o} b3, r2_{o} r2"
@@ -1030,25 +1122,20 @@ _EXPLAINED = f"""{sql.WHOLE_INDEX}, cc as (select unit.* from unit join idx on t
   where {' and '.join(f'{c} is not null' for c in names.MINIMAL_COLUMNS)})"""
 
 
-_means = {o: r6(f"avg({c})") for o, c in names.OUTCOME_COLUMNS.items()}
+_fitted = " union all ".join(f"select ID, '{o}' outcome, {r6(c)} actual, 0.0 gap from cc" for o, c in names.OUTCOME_COLUMNS.items())
 
 
-@query(
-    "fit_outcome",
-    f"{_EXPLAINED} select 'cancer' outcome, count(*) n, {_means['cancer']} mean_actual, true beats_least_squares from cc union all select 'resp', count(*), {_means['resp']}, true from cc",
-)
+@query("fit_outcome", f"{_EXPLAINED} select ID, outcome, actual, cast(gap as double) gap from ({_fitted})")
 def _(spark, sf):
-    wide, _models = explained(spark, sf)
-    linear = moments.ols(wide, list(names.OUTCOME_COLUMNS.values()), _features(wide))
-    fits = [
-        aggregates.fit_r2(wide, column, f"pred_{o}")
-        .withColumns({"outcome": F.lit(o), "column": F.lit(column), "boosted": F.col("r2")})
-        .select("outcome", "column", "n", "boosted")
-        .join(wide.agg(F.lit(o).alias("outcome"), r(F.avg(column)).alias("mean_actual")), "outcome")
-        for o, column in names.OUTCOME_COLUMNS.items()
-    ]
-    compared = fits[0].unionByName(fits[1]).join(linear.select(F.col("outcome").alias("column"), "r2"), "column")
-    return compared.select("outcome", "n", "mean_actual", (F.col("boosted") > F.col("r2")).alias("beats_least_squares"))
+    """Of each tract, how far the prediction of the model's stored leaf table, scored by expressions alone, is from the model's."""
+    wide, models = explained(spark, sf)
+    parts = []
+    for fitted in models:
+        leaves = stage(boosting.leaf_rows(spark, fitted), "leaves")
+        gap = F.abs(boosting.leaf_score(leaves, fitted.features) - F.col(f"pred_{fitted.outcome}"))
+        actual = r(F.col(names.OUTCOME_COLUMNS[fitted.outcome])).alias("actual")
+        parts.append(wide.select("ID", F.lit(fitted.outcome).alias("outcome"), actual, r(gap).alias("gap")))
+    return parts[0].unionByName(parts[1])
 
 
 _zero = " union all ".join("select ID, '{o}' outcome, 0.0 gap from cc".format(o=o) for o in names.OUTCOME_COLUMNS)

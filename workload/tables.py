@@ -15,6 +15,7 @@ from fairtract.functions.scalars import geoid11_int, zero_pad
 from fairtract.operators.drivers import nest_drivers, top_drivers_wide
 from fairtract.operators.ranks import cumulative_counts, percent_rank, rank_columns
 from fairtract.operators.select import complete_cases
+from fairtract.sources import buckets
 from fairtract.sources.writers import fips_table, write_tracts
 from fairtract.staging import new_path, stage
 
@@ -192,6 +193,35 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Buckets of the stored join tables; a table of real size has as many as it needs for a bucket to fit a task.
+BUCKETS = 16
+
+
+def _bucketed(name: str, df: DataFrame, key: Column | None) -> DataFrame:
+    path = new_path(df.sparkSession, name)
+    return buckets.store(df, f"{name}_{path[-32:]}", BUCKETS, key, path)
+
+
+@_once("bucketed-unit")
+def bucketed_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed("tracts", unit(spark, sf_dir), buckets.by_number("ID"))
+
+
+@_once("bucketed-boundaries")
+def bucketed_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed("boundaries", boundaries(spark, sf_dir), buckets.by_number("GEOID"))
+
+
+@_once("bucketed-index")
+def bucketed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed("idx", index(spark, sf_dir), buckets.by_text("GEOID"))
+
+
+@_once("bucketed-drivers")
+def bucketed_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed("drivers", driver_records(spark, sf_dir), None)
+
+
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometries of four types: rings and lines hold all pairs of an embedding, points the first."""
     pair = lambda i: F.transform(F.slice("embedding", 2 * i + 1, 2), lambda x: x.cast("double"))
