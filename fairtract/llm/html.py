@@ -61,6 +61,9 @@ ENDS = {
 FEW_NUMBERS = 3
 #: Branches that a worker remembers before it starts anew.
 REMEMBERED = 100_000
+#: Elements that lie deeper belong to the branch of their ancestor at this depth, so that what is told of a
+#: branch is bounded. Their text is read like any other, and names go on counting.
+DEEPEST = 64
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
@@ -78,8 +81,11 @@ class Branch:
         names = attrs.get("class") or ""
         mark = f"{attrs.get('id') or ''}.{' '.join(sorted(names.split()))}"
         self.tag = tag
-        self.number = number(f"{parent.number if parent else ''}>{tag}#{mark}")
-        self.path = (*parent.path, self.number) if parent else (self.number,)
+        if parent and len(parent.path) >= DEEPEST:
+            self.number, self.path = parent.number, parent.path
+        else:
+            self.number = number(f"{parent.number if parent else ''}>{tag}#{mark}")
+            self.path = (*parent.path, self.number) if parent else (self.number,)
         self.unseen = bool(parent and parent.unseen) or tag in UNSEEN or "hidden" in attrs
         #: Number of the outermost article around the branch.
         self.main = parent.main if parent else None
@@ -116,7 +122,7 @@ _branches: dict[tuple, Branch] = {}
 
 
 def branch_of(parent: Branch, tag: str, attrs: list) -> Branch:
-    key = (parent.number, tag, *attrs)
+    key = (parent.number, parent.unseen, parent.varied, parent.frame, parent.main, tag, *attrs)
     known = _branches.get(key)
     if known is None:
         if len(_branches) > REMEMBERED:
@@ -131,6 +137,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[Branch, list[str]]] = [(_ROOT, [])]
+        self.open_tags: Counter[str] = Counter()
         self.elements = list(self.open)
         self.blocks: list[tuple[Branch, str]] = []
         self.text: list[str] = []
@@ -153,10 +160,12 @@ class Page(HTMLParser):
             return
         while len(self.open) > 1 and (last := self.open[-1][0].tag) and (last == "p" or last in ENDS.get(tag, ())):
             self.open.pop()
+            self.open_tags[last] -= 1
         parent, children = self.open[-1]
         children.append(tag)
         element = (branch_of(parent, tag, attrs), [])
         self.open.append(element)
+        self.open_tags[tag] += 1
         self.elements.append(element)
 
     def handle_startendtag(self, tag, attrs):
@@ -166,10 +175,12 @@ class Page(HTMLParser):
         if tag in INLINE:
             return
         self.flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0].tag == tag:
-                del self.open[i:]
-                return
+        # An end without a start is passed over at once, however many elements are open.
+        found = self.open_tags[tag] == 0
+        while not found:
+            last = self.open.pop()[0].tag
+            self.open_tags[last] -= 1
+            found = last == tag
 
     def handle_data(self, data):
         if not self.text:
@@ -200,11 +211,11 @@ def _facts(batches):
 
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(html or "")
-            layouts: dict[Branch, list] = {}
+            layouts: dict[int, tuple[Branch, list]] = {}
             for branch, children in page.elements:
                 if not branch.unseen:
-                    layouts.setdefault(branch, []).append(" ".join(children))
-            for branch, children in layouts.items():
+                    layouts.setdefault(branch.number, (branch, []))[1].append(" ".join(children))
+            for branch, children in layouts.values():
                 paths[branch.number] = branch.path
                 add(host, branch.number, 0, int(branch.frame), 1, 1)
                 add(host, branch.number, 1, number("|".join(children)), 1, 1)
@@ -263,7 +274,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     log_pages = F.ln("n_pages")
     several = F.col("n_pages") > 1
-    own = branches.select(
+    own = stage(branches.select(
         "host",
         "branch",
         "path",
@@ -273,7 +284,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.when(several, (log_pages - F.col("layout_spread") / F.col("n_pages")) / log_pages).otherwise(1.0).alias("layout"),
         F.when(several, 1 - F.col("text_entropy") / F.col("texts") / log_pages).otherwise(1.0).alias("content"),
         (F.col("n_pages") * F.col("texts")).alias("weight"),
-    )
+    ), "branches")
+    # The pages are read for this table only; branches are few.
     below = (
         own.where("weight > 0")
         .select("host", F.explode("path").alias("branch"), "content", "n_pages")

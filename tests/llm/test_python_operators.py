@@ -298,6 +298,36 @@ def test_tree_decides_inside_articles_and_named_parts(spark):
     assert {found[200 + i] for i in range(9)} == {"The same article."}
 
 
+def peak_of(script):
+    import subprocess
+    import sys
+
+    tail = "import resource; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    return int(subprocess.run([sys.executable, "-c", f"{script}\n{tail}"], capture_output=True, text=True, check=True).stdout.split()[-1])
+
+
+def test_deeply_nested_page_is_linear():
+    """50,000 open elements, with ends that fit none: facts and text of the page, under 200 MB more than nothing."""
+    start = "import pyarrow as pa, time; from fairtract.llm import html"
+    body = """
+page = "".join(f"<div class=c{i % 7}>" + ("w%d</span></section>" % i if i % 10 == 0 else "") for i in range(50_000)) + "<nav>menu</nav>"
+begin = time.time()
+facts = list(html._facts([pa.record_batch({"host": ["a"], "html": [page]})]))
+text = html.main_text(page, frozenset())
+assert len(text.split()) == 5_000 and "menu" not in text and facts[0].nbytes < 20_000_000
+assert time.time() - begin < 30
+"""
+    assert peak_of(start + body) - peak_of(start) < 200
+
+
+def test_deep_pages_of_a_site(spark):
+    """Below the depth limit names still count, and text there is judged with the branch at the limit."""
+    deep = "<div>" * 100
+    rows = [(i, "http://deep.com/x", f"{deep}<p>text {i} {'abcdefgh'[i % 8]}</p><aside>links {i}</aside>") for i in range(12)]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: f"text {i} {'abcdefgh'[i % 8]}" for i in range(12)}
+
+
 # ---- neighbours --------------------------------------------------------------------------------
 
 
