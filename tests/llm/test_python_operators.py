@@ -374,6 +374,39 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, rows):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def share_and_recall(spark, vectors, k=5, certainty=neighbours.CERTAINTY):
+    """Verified share of all pairs of queries and vectors, and the share of the true nearest that were found."""
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    is_query = F.col("vec_id") % 50 == 0
+    found = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, is_query, k, certainty).collect()}
+    _, classes = neighbours._classes(df, is_query, k)
+    verified = neighbours.verify(classes, df.where(is_query).select(F.col("vec_id").alias("cls")), k, certainty).agg({"verified": "sum"}).first()[0]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    asked = np.arange(0, len(vectors), 50)
+    cosine = unit[asked] @ unit.T
+    cosine[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-cosine, axis=1)[:, :k]
+    true = {(int(q), int(i)) for q, row in zip(asked, best) for i in row}
+    return verified / (len(asked) * len(vectors)), len(found & true) / len(true)
+
+
+@pytest.mark.parametrize("rows", [16_384, 1_000])
+def test_clustered_vectors_are_pruned(spark, monkeypatch, rows):
+    """Of clusters of close vectors under a fifth is verified, in one tree or in cells, and little is missed."""
+    monkeypatch.setattr(neighbours, "TREE_ROWS", rows)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 32))
+    share, recall = share_and_recall(spark, centres[rng.integers(0, 100, 8_000)] + 0.15 * rng.normal(size=(8_000, 32)))
+    assert share < 0.2 and recall >= 0.95
+
+
+def test_more_trees_than_boxes_are_all_searched(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TREE_ROWS", 200)
+    monkeypatch.setattr(neighbours, "MOST_BOXES", 1)
+    rng = np.random.default_rng(7)
+    assert share_and_recall(spark, rng.normal(size=(1_500, 16)))[1] >= 0.95
+
+
 def test_chi_square():
     assert neighbours.chi_square(0) == 0 and neighbours.chi_square(neighbours.test_bound(0.99)) == pytest.approx(0.99)
     # A known quantile of eight degrees of freedom.
