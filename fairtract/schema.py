@@ -151,17 +151,6 @@ DEMOGRAPHIC_LABELS = {
     "P_PEOPCOLORPCT": "People of color (percentile)",
 }
 
-# The 13 indicators that have D2_/D5_ indices.
-_INDEXED = [
-    "PM25", "OZONE", "DSLPM", "CANCER", "RESP", "RSEI_AIR", "PTRAF",
-    "LDPNT", "PNPL", "PRMP", "PTSDF", "UST", "PWDIS",
-]
-
-
-def _paired(prefix: str) -> list[str]:
-    return [f"{prefix}{d}_{name}" for name in _INDEXED for d in ("D2", "D5")]
-
-
 # Sections of a tract record with their columns, in page order.
 SECTIONS = {
     "Location": ["ID", "STATE_NAME", "ST_ABBREV", "CNTY_NAME", "REGION"],
@@ -172,20 +161,31 @@ SECTIONS = {
         "LINGISO", "LINGISOPCT", "LESSHS", "LESSHSPCT", "UNDER5",
         "UNDER5PCT", "OVER64", "OVER64PCT", "LIFEEXPPCT",
     ],
-    "Environmental indicators (raw)": _INDEXED[:7],
+    "Environmental indicators (raw)": ["PM25", "OZONE", "DSLPM", "CANCER", "RESP", "RSEI_AIR", "PTRAF"],
     "Environmental indicators (percentiles)": [
         "P_PM25", "P_OZONE", "P_DSLPM", "P_CANCER", "P_RESP", "P_RSEI_AIR",
         "P_PTRAF", "P_LDPNT", "P_PNPL", "P_PRMP", "P_PTSDF", "P_UST",
         "P_PWDIS",
     ],
-    "D2/D5 indices (demographic % in high exposure)": _paired(""),
+    "D2/D5 indices (demographic % in high exposure)": [
+        "D2_PM25", "D5_PM25", "D2_OZONE", "D5_OZONE", "D2_DSLPM", "D5_DSLPM",
+        "D2_CANCER", "D5_CANCER", "D2_RESP", "D5_RESP", "D2_RSEI_AIR",
+        "D5_RSEI_AIR", "D2_PTRAF", "D5_PTRAF", "D2_LDPNT", "D5_LDPNT", "D2_PNPL",
+        "D5_PNPL", "D2_PRMP", "D5_PRMP", "D2_PTSDF", "D5_PTSDF", "D2_UST",
+        "D5_UST", "D2_PWDIS", "D5_PWDIS",
+    ],
     "Other": [
         "PRE1960", "PRE1960PCT", "PNPL", "PRMP", "PTSDF", "UST", "PWDIS",
         "AREALAND", "AREAWATER", "NPL_CNT", "TSDF_CNT", "EXCEED_COUNT_80",
         "EXCEED_COUNT_80_SUP", "P_DEMOGIDX_2", "P_DEMOGIDX_5",
         "P_PEOPCOLORPCT", "P_LOWINCPCT", "P_UNEMPPCT", "P_LINGISOPCT",
         "P_LESSHSPCT", "P_UNDER5PCT", "P_OVER64PCT", "P_LIFEEXPPCT",
-        *_paired("P_"),
+        "P_D2_PM25", "P_D5_PM25", "P_D2_OZONE", "P_D5_OZONE", "P_D2_DSLPM",
+        "P_D5_DSLPM", "P_D2_CANCER", "P_D5_CANCER", "P_D2_RESP", "P_D5_RESP",
+        "P_D2_RSEI_AIR", "P_D5_RSEI_AIR", "P_D2_PTRAF", "P_D5_PTRAF", "P_D2_LDPNT",
+        "P_D5_LDPNT", "P_D2_PNPL", "P_D5_PNPL", "P_D2_PRMP", "P_D5_PRMP",
+        "P_D2_PTSDF", "P_D5_PTSDF", "P_D2_UST", "P_D5_UST", "P_D2_PWDIS",
+        "P_D5_PWDIS",
     ],
 }
 
