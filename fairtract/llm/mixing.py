@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairtract.llm.storage import stage
 from fairtract.llm.words import WORD_PATTERN
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -57,6 +58,7 @@ def mix_sources(
     share: float = 1.0,
     max_epochs: float = 3.0,
     seed: int = 42,
+    rows: bool = True,
 ) -> DataFrame:
     """How often each document enters a mix of ``docs(doc_id, source, text)``.
 
@@ -68,43 +70,45 @@ def mix_sources(
     which the fraction ends is ranked by document.
 
     Returns one row per input row: ``doc_id, source, size, source_size, target,
-    copies, taken, row``, the last a struct of all its columns. A null text has size 0 and is taken as often as its source
+    copies, taken, row``, the last a struct of all its columns. Without ``rows`` it is left out, and sizes and digests
+    are stored once instead of being taken from the texts again. A null text has size 0 and is taken as often as its source
     is; a null source is a source of its own; a null doc_id counts as its own
     text. Equal rows share their digest and are told apart by position in it.
     An empty table gives an empty one. Other columns are only passed on.
     """
     number = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))
     digest = F.md5(F.concat(F.lit(f"{seed} "), number).cast("binary"))
-    sized = docs.select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        digest.alias("digest"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    ).withColumn("bucket", F.conv(F.substring("digest", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest"), *whole_row)
+    sized = sized.withColumn("bucket", F.conv(F.substring("digest", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    if not rows:
+        sized = stage(sized, "sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
     targets = targets.withColumn("whole", whole.cast("long")).withColumn(
         "left", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
     )
+    # Of each source the first bucket that the fraction does not take whole: those before it enter, those after it do not.
     in_source = Window.partitionBy("b.source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
+    last = (
         buckets.alias("b")
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
         .withColumn("before", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
-        .select("b.source", "bucket", "bucket_size", "before", "source_size", "target", "whole", "left")
+        .groupBy("b.source", "source_size", "target", "whole", "left")
+        .agg(F.min(F.when(F.col("before") + F.col("bucket_size") > F.col("left"), F.struct(F.col("bucket").alias("at"), "before"))).alias("last"))
     )
-    placed = sized.alias("d").join(
-        plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))
-    ).select("doc_id", "d.source", "size", "digest", "row", "before", "bucket_size", "source_size", "target", "whole", "left", "d.bucket")
-    inside = F.col("before") + F.col("bucket_size") <= F.col("left")
-    outside = F.col("before") >= F.col("left")
-    clear = placed.where(inside | outside).withColumn("more", inside.cast("long"))
-    ordered = Window.partitionBy("source", "bucket").orderBy("digest", F.col("doc_id").asc_nulls_last(), "size")
+    # One row per source. Stored, its size is known, and documents need no shuffle to meet a small table.
+    plan = stage(last.select("source", "source_size", "target", "whole", "left", "last.at", "last.before"), "mix-plan")
+    kept = ["row"] if rows else []
+    placed = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    inside = F.col("at").isNull() | (F.col("bucket") < F.col("at"))
+    ends_here = (F.col("bucket") == F.col("at")) & (F.col("before") < F.col("left"))
+    clear = placed.where(inside | ~ends_here).withColumn("more", inside.cast("long"))
+    ordered = Window.partitionBy("source").orderBy("digest", F.col("doc_id").asc_nulls_last(), "size")
     upto = F.col("before") + F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     # The last document enters if more than half of it is wanted.
-    edge = placed.where(~(inside | outside)).withColumn("more", (upto - F.col("size") / 2.0 < F.col("left")).cast("long"))
+    edge = placed.where(~inside & ends_here).withColumn("more", (upto - F.col("size") / 2.0 < F.col("left")).cast("long"))
     copies = F.col("whole") + F.when(F.col("source_size") > 0, F.col("more")).otherwise(F.lit(0))
     return reduce(DataFrame.unionByName, [clear, edge]).select(
         "doc_id",
@@ -114,7 +118,7 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
-        "row",
+        *kept,
     )
 
 

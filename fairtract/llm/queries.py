@@ -77,11 +77,12 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), rows=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -40,7 +40,8 @@ def test_pipeline_stages_equal_plain_versions(spark):
     stage = dict(corpus_pipeline.STAGES)
 
     kept = corpus_pipeline.storage.stage(stage["quality rules"](spark, docs, SF_DIR), "t")
-    verdicts = {r.doc_id: r for r in quality.judge(docs).collect()}
+    bands = quality.fit_bands(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    verdicts = {r.doc_id: r for r in quality.judge(docs, bands).collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, v in verdicts.items() if v.kept}
     assert all(verdicts[i].base_failed == judged(r.text)[5] for i, r in rows.items())
 
