@@ -12,8 +12,9 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return docs.where(quality.is_kept(F.col("text")))
+    """Documents that the quality rules keep, with bands fitted on a bounded sample of labelled ones."""
+    bands = quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.is_kept(F.col("text"), bands))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,8 +85,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again.
+
+    Only the table that the last stage reads is left there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
-        docs = storage.stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        with storage.scope(spark):
+            docs = storage.stage(function(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if before is not None:
+            storage.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
