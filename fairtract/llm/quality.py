@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from fairtract import staging
 from fairtract.llm.storage import stage
 from fairtract.llm.words import _BYTE, SPACES, U64, Words, byte_slices, mix, window_hashes
+from fairtract.operators.ranks import exact_quantiles
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -167,51 +169,63 @@ def _quality(text: pa.Array, bands: Bands = WIDE) -> pa.Array:
 
 
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts that pass the base rule: whether they are of the other kind, their band, ratio and chunk ratios."""
+    """Of texts that pass the base rule: their doc_id, whether they are of the other kind, their band, ratio and chunk ratios."""
     compressor = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
         for a, b in byte_slices(batch.column("text")):
             words = Words(batch.column("text").slice(a, b - a))
             _, failed = _base(words)
             others, out = _per_document(_OTHER, words), []
-            for d in np.flatnonzero(~failed).tolist():
+            at = np.flatnonzero(~failed)
+            for d in at.tolist():
                 raw = words.bytes_of(d)
                 start = max(x for x in STARTS if x <= len(raw))
                 chunks = chunk_ratios(raw, compressor)
                 out.append((bool(others[d] > MOST_OTHER * len(raw)), start, len(raw) / len(compressor.compress(raw)), chunks))
             columns = zip(*out) if out else ((), (), (), ())
             types = (pa.bool_(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["other", "start", "ratio", "chunks"])
+            ids = batch.column("doc_id").slice(a, b - a).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "other", "start", "ratio", "chunks"])
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Bands:
-    """Bands from documents that ``labels(doc_id, quality)`` call good (1) and that pass the base rule.
+def fit_bands(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> Bands:
+    """Bands from all documents that ``labels(doc_id, quality)`` call good (1) and that pass the base rule.
 
-    The sample is bounded: about ``rows`` labelled documents by a hash of doc_id, twice as many at most. A limit lies at a
-    quantile of the ratios of its length and kind, with a margin; where there are fewer than
-    ``LEAST_FITTED`` documents the wide limit holds. Rows without a label, a doc_id or a text teach nothing.
+    A limit lies at a quantile of the ratios of its length and kind, exact and found without sorting them all,
+    with a margin; where there are fewer than ``LEAST_FITTED`` documents the wide limit holds. Rows without a
+    label, a doc_id or a text teach nothing. Texts are not shuffled: their ratios are, a few numbers each.
+    ``rows`` bounds the documents to about as many by a hash of doc_id; by default all count.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    known = stage(known.where("good = 1").select("doc_id"), "good")
-    share = min(rows / max(known.count(), 1), 1.0)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("bands")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * rows)
-    sample = docs.select("doc_id", "text").where("text is not null").join(stage(chosen, "chosen"), "doc_id", "left_semi")
-    found = stage(sample.select("text").mapInArrow(_figures, "other boolean, start int, ratio double, chunks array<double>"), "ratios")
-    quantiles = lambda c: F.percentile(c, list(QUANTILES)).alias("q")
-    n = F.count("*").alias("n")
-    whole = {(r.other, r.start): r for r in found.groupBy("other", "start").agg(n, quantiles("ratio")).collect()}
-    chunks = found.select("other", F.explode("chunks").alias("ratio")).groupBy("other").agg(n, quantiles("ratio"))
-    chunks = {r.other: r for r in chunks.collect()}
+    spark = docs.sparkSession
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    good = good.where("good = 1").select("doc_id")
+    if rows is not None:
+        good = stage(good, "good")
+        share = min(rows / max(good.count(), 1), 1.0)
+        good = good.where(F.pmod(F.xxhash64("doc_id", F.lit("bands")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    figures = texts.mapInArrow(_figures, f"doc_id {kind}, other boolean, start int, ratio double, chunks array<double>")
+    found = stage(figures.join(good, "doc_id", "left_semi").select("other", "start", "ratio", "chunks"), "ratios")
+    chunks = found.select("other", F.explode("chunks").alias("ratio"))
+
+    def fitted(of: DataFrame, keys: list[str]) -> dict:
+        sizes = of.groupBy(*keys).agg(F.count("*").alias("n"))
+        quantiles = exact_quantiles(of, ["ratio"], {"low": QUANTILES[0], "high": QUANTILES[1]}, keys)
+        return {tuple(r[k] for k in keys): r for r in sizes.join(quantiles, keys).collect()}
+
+    with staging.scope(spark):
+        whole, chunks = fitted(found, ["other", "start"]), fitted(chunks, ["other"])
 
     def limits(row, wide: tuple[float, float]) -> tuple[float, float]:
         if row is None or row.n < LEAST_FITTED:
             return wide
-        return row.q[0] * MARGINS[0], row.q[1] * MARGINS[1]
+        return row.low * MARGINS[0], row.high * MARGINS[1]
 
     def of_kind(other: bool) -> tuple[tuple[int, float, float], ...]:
         return tuple((start, *limits(whole.get((other, start)), band(start, _WIDE))) for start in STARTS)
 
-    return Bands(of_kind(False), of_kind(True), limits(chunks.get(False), WIDE.plain_chunk), limits(chunks.get(True), WIDE.other_chunk))
+    return Bands(of_kind(False), of_kind(True), limits(chunks.get((False,)), WIDE.plain_chunk), limits(chunks.get((True,)), WIDE.other_chunk))
 
 
 def judge(docs: DataFrame, bands: Bands = WIDE) -> DataFrame:

@@ -202,6 +202,23 @@ def test_fitted_bands_reject_low_quality_elsewhere(spark):
     assert len(quality.fit_bands(docs, labels, rows=500).plain) == len(quality.STARTS)
 
 
+def test_bands_are_fitted_on_all_good_documents(spark):
+    """Sixty long texts among 45,000: enough to fit their band, but not in a sample of 20,000."""
+    texts, rng = [], random.Random(11)
+    for i in range(61):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(40 + i)]
+        texts.append(" ".join(rng.choice(words) for _ in range(400))[: 1800 if i else 400])
+    n = 45_000
+    table = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    docs = spark.range(n).withColumn("k", F.greatest(F.col("id") - (n - 61), F.lit(0))).join(F.broadcast(table), "k")
+    docs = docs.select(F.col("id").alias("doc_id"), "text")
+    bands = {start: (low, high) for start, low, high in quality.fit_bands(docs, docs.select("doc_id", F.lit(1).alias("quality"))).plain}
+    compressor = zstandard.ZstdCompressor(level=quality.LEVEL)
+    ratio = [len(t) / len(compressor.compress(t.encode())) for t in texts]
+    for start, own in ((256, ratio[:1]), (1536, ratio[1:])):
+        assert bands[start] == pytest.approx(tuple(np.quantile(own, quality.QUANTILES) * quality.MARGINS))
+
+
 def test_bands_without_labels_are_wide(spark):
     docs = spark.createDataFrame([(1, None), (None, "x y"), (2, "a b c")], "doc_id long, text string")
     for known in ([], [(1, 1), (2, None), (None, 1)]):
