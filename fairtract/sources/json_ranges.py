@@ -1,4 +1,4 @@
-"""Large JSON documents in byte ranges: one task per range, whatever the document's size.
+"""Large JSON documents in byte ranges, whatever the document's size.
 
 A classic export has one document per state, a single feature collection or a single object
 keyed by id, which line-wise readers cannot split. Here a file is cut into ranges of bytes. A
@@ -9,6 +9,9 @@ second job a range gives the records that *begin* in it, and reads past its end
 
 ``array`` records are objects in an array at the second level (the features of a collection);
 ``entries`` are the members of the outermost object. Several documents in a file are fine.
+
+A task reads a span of neighbouring ranges one after another and carries along what each begins with. So
+a range bounds the memory of a task, while the number of tasks follows the cores and, beyond ``SPAN_BYTES`` each, the bytes.
 Files are opened with pyarrow, so folders must be local, mounted, or of a store that it knows.
 """
 
@@ -25,7 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 32 << 20
-_TAIL = 1 << 20
+#: The most bytes of a span, unless a single range has more, and the spans of a core while they are less.
+SPAN_BYTES = 32 << 20
+SPANS_PER_CORE = 4
+#: Bytes that are read first to finish a record beyond its range.
+_TAIL = 1 << 12
 _BATCH = 1_000
 
 _LEVEL = np.zeros(256, np.int8)
@@ -37,7 +44,7 @@ _BLANK[list(b" \t\r\n")] = True
 
 @dataclass
 class Range(InputPartition):
-    """Bytes of a file, and what stands before them: whether a string is open, the depth, the last character."""
+    """Bytes of a file, ``step`` at a time (0: at once), and what stands before them: whether a string is open, the depth, the last character."""
 
     file: str
     start: int
@@ -45,6 +52,12 @@ class Range(InputPartition):
     in_string: bool = False
     depth: int = 0
     last: int = 0
+    step: int = 0
+
+    def windows(self) -> Iterator[tuple[int, int]]:
+        step = self.step or max(self.stop - self.start, 1)
+        for a in range(self.start, self.stop, step):
+            yield a, min(a + step, self.stop)
 
 
 def _open(file: str):
@@ -158,11 +171,21 @@ class _Scan(DataSourceReader):
     def partitions(self) -> list[Range]:
         return self.ranges
 
+    def __getstate__(self) -> dict:
+        # Tasks get their own range only.
+        return {**self.__dict__, "ranges": []}
+
     def read(self, part: Range) -> Iterator[tuple]:
+        """Under both assumptions on its begin: change of depth and last character; and whether the quotes are odd."""
+        odd, down, last = 0, [0, 0], [0, 0]
         with _open(part.file) as source:
-            _, text = _text(source, part.start, part.stop)
-        quotes = int(np.count_nonzero(text == ord('"'))) % 2
-        yield (part.file, part.start, quotes, *_summary(text, False), *_summary(text, True))
+            for a, b in part.windows():
+                _, text = _text(source, a, b)
+                for begin in (0, 1):
+                    more, seen = _summary(text, bool(begin ^ odd))
+                    down[begin], last[begin] = down[begin] + more, seen or last[begin]
+                odd ^= int(np.count_nonzero(text == ord('"'))) % 2
+        yield (part.file, part.start, odd, down[0], last[0], down[1], last[1])
 
 
 class _Records(_Scan):
@@ -171,20 +194,26 @@ class _Records(_Scan):
         self.kind = kind
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        in_string, depth, last = part.in_string, part.depth, part.last
+        rows = []
         with _open(part.file) as source:
-            data, text = _text(source, part.start, part.stop)
-            begins, ends = _Structure(text, part.in_string, part.depth, part.last).records(self.kind)
-            place = np.searchsorted(ends, begins, "right")
-            rows = []
-            for begin, i in zip(begins.tolist(), place.tolist()):
-                record = data[begin : ends[i]] if i < len(ends) else _finish(source, part.start + begin, self.kind)
-                key, value = _split_entry(record) if self.kind == "entries" else (None, record.decode())
-                rows.append((part.file, part.start + begin, key, value))
-                if len(rows) == _BATCH:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            for a, b in part.windows():
+                data, text = _text(source, a, b)
+                begins, ends = _Structure(text, in_string, depth, last).records(self.kind)
+                place = np.searchsorted(ends, begins, "right")
+                for begin, i in zip(begins.tolist(), place.tolist()):
+                    record = data[begin : ends[i]] if i < len(ends) else _finish(source, a + begin, self.kind)
+                    key, value = _split_entry(record) if self.kind == "entries" else (None, record.decode())
+                    rows.append((part.file, a + begin, key, value))
+                    if len(rows) == _BATCH:
+                        yield _batch(rows)
+                        rows = []
+                if b < part.stop:
+                    down, seen = _summary(text, in_string)
+                    in_string ^= bool(np.count_nonzero(text == ord('"')) % 2)
+                    depth, last = depth + down, seen or last
+        if rows:
+            yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -225,13 +254,21 @@ def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def _dump(ranges: list[Range]) -> str:
-    return json.dumps([(r.file, r.start, r.stop, r.in_string, r.depth, r.last) for r in ranges])
+    return json.dumps([(r.file, r.start, r.stop, r.in_string, r.depth, r.last, r.step) for r in ranges])
+
+
+def _span(total: int, range_bytes: int, cores: int) -> int:
+    """Bytes of a task: whole ranges, at least one."""
+    share = min(SPAN_BYTES, total // (SPANS_PER_CORE * cores))
+    return max(share // range_bytes, 1) * range_bytes
 
 
 def read_records(spark: SparkSession, path: str, records: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``file, start, key, value`` of each record: its place, its key (entries only) and its JSON text."""
     spark.dataSource.register(JsonRanges)
-    ranges = [Range(file, a, min(a + range_bytes, size)) for file, size in files_of(spark, path) for a in range(0, size, range_bytes)]
+    files = files_of(spark, path)
+    span = _span(sum(size for _, size in files), range_bytes, spark.sparkContext.defaultParallelism)
+    ranges = [Range(file, a, min(a + span, size), step=range_bytes) for file, size in files for a in range(0, size, span)]
     several = [r for i, r in enumerate(ranges) if r.start or (i + 1 < len(ranges) and ranges[i + 1].start)]
     if several:
         rows = spark.read.format("json_ranges").option("ranges", _dump(several)).load().collect()

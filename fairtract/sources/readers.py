@@ -120,7 +120,7 @@ def read_feature_collections(
     """Feature rows of ``FeatureCollection`` documents, one per line.
 
     ``whole`` reads classic files that hold one document over many lines, or in one long line: a
-    task reads a range of ``range_bytes`` and the features that begin in it.
+    task reads ranges of ``range_bytes``, one at a time, and the features that begin in them.
     """
     feature = _feature_schema(columns)
     if whole:
@@ -145,7 +145,7 @@ def read_keyed_json(
     """JSON objects keyed by id as rows ``key, value``, and the ``state`` of their folder where there is one.
 
     ``whole`` reads classic files that hold one object over many lines, or in one long line: a
-    task reads a range of ``range_bytes`` and the members that begin in it. ``published``
+    task reads ranges of ``range_bytes``, one at a time, and the members that begin in them. ``published``
     reads the states of this table that ``publish`` has put into the folder above.
     """
     if whole:

@@ -1,6 +1,7 @@
 """Documents read in byte ranges of any size against a plain parser; published exports."""
 
 import json
+import pickle
 import random
 
 import pytest
@@ -120,3 +121,32 @@ def test_published_states_are_replaced_together(spark, tmp_path):
     assert publish.clean(spark, folder) == 3 and states(spark, folder) == [("AK", "5"), ("AL", "2")]
     schema = T.StructType([T.StructField("x", T.LongType())])
     assert readers.read_keyed_json(spark, f"{folder}/none", schema, published=True).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 10_000])
+@pytest.mark.parametrize("span", [70, 1_000, 10**6])
+def test_spans_of_ranges_give_every_record_once(tmp_path, step, span):
+    rng = random.Random(step + span)
+    features = [feature(rng, i) for i in range(30)]
+    members = {rng.choice(TRICKY) + str(i): rng.choice([feature(rng, i), [1, "a,b"], "x", None]) for i in range(30)}
+    for kind, document, want in (("array", {"features": features}, features), ("entries", members, list(members.items()))):
+        path = tmp_path / f"{kind}.json"
+        path.write_text(json.dumps(document, ensure_ascii=False))
+        plain = ranges_of(path, span)
+        for part in plain:
+            whole = list(json_ranges._Scan([]).read(part))
+            part.step = step
+            assert list(json_ranges._Scan([]).read(part)) == whole
+        rows = [row for part in plain for batch in json_ranges._Records([], kind).read(part) for row in batch.to_pylist()]
+        assert [json.loads(r["value"]) if kind == "array" else (r["key"], json.loads(r["value"])) for r in rows] == want
+
+
+def test_tasks_follow_the_cores_and_not_the_ranges(spark, tmp_path):
+    document = {"features": [{"type": "Feature", "properties": {"ID": i}, "geometry": None} for i in range(5_000)]}
+    (tmp_path / "AL.json").write_text(json.dumps(document))
+    raw = json_ranges.read_records(spark, str(tmp_path), "array", 200)
+    cores = spark.sparkContext.defaultParallelism
+    assert raw.count() == 5_000 and cores <= raw.rdd.getNumPartitions() <= 2 * json_ranges.SPANS_PER_CORE * cores
+    assert json_ranges._span(10**13, 32_768, 8) == json_ranges.SPAN_BYTES and json_ranges._span(10, 50, 8) == 50
+    parts = [json_ranges.Range("a", i, i + 1) for i in range(10_000)]
+    assert len(pickle.dumps(json_ranges._Records(parts, "array"))) < 1_000  # tasks do not get all ranges
