@@ -1,7 +1,7 @@
 """Cross-products of ranks, with ranks moved as packed arrays.
 
-Values of all columns are sorted by range together, as in ``ranks.rank_columns``. A slice ranks its own
-values and packs them by blocks of rows: one row per slice, variable and block, not one per value. What
+Values of all columns are sorted by range together, as in ``ranks.rank_columns``. A slice, a bounded run of a sorted
+partition, ranks its own values and packs them by blocks of rows: one row per slice, variable and block, not one per value. What
 lies before a slice, and how far the values at its two ends reach into others, comes from a small table of slices.
 Then the pieces of a block meet: they make its matrix of ranks, which leaves as sums of products of
 ranks less their mean, known beforehand as (n + 1) / 2.
@@ -22,6 +22,9 @@ from fairtract.staging import stage
 
 #: Rows of a block; row numbers of one input partition are consecutive.
 BLOCK_BITS = 16
+#: Cells of a slice, which a task holds at once, and bits for the slices of one shuffle partition.
+SLICE_CELLS = 1 << 20
+SLICE_BITS = 32
 _INSIDE, _LOW, _HIGH = 0, 1, 2
 
 
@@ -33,28 +36,39 @@ def _cells(numbered: DataFrame, columns: list[str], keys: list[str]) -> DataFram
     return long.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
 
 
-def _pack(keys: list[str], schema: T.StructType):
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together until they have ``most`` cells."""
+    parts, cells = [], 0
+    for batch in batches:
+        parts.append(batch)
+        cells += len(batch)
+        if cells >= most:
+            yield pa.Table.from_batches(parts)
+            parts, cells = [], 0
+    if cells:
+        yield pa.Table.from_batches(parts)
+
+
+def _pack(keys: list[str], schema: T.StructType, most: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        # A slice is as large as a shuffle partition.
-        table = pa.Table.from_batches(parts).combine_chunks()
-        value, row = table["value"].to_numpy(), table["row"].to_numpy()
-        value = value + 0.0  # one zero
-        slice_ = table["slice"][0].as_py()
-        new = np.zeros(len(row), bool)
-        new[0] = True
-        for name in ["variable", *keys]:
-            codes = table[name].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            new[1:] |= codes[1:] != codes[:-1]
-        begins = np.flatnonzero(new)
-        rows: list[dict] = []
-        for a, b in zip(begins, np.append(begins[1:], len(row))):
-            rows += _pieces(value[a:b], row[a:b], {"slice": slice_, **{n: table[n][int(a)].as_py() for n in ["variable", *keys]}})
-        yield from pa.Table.from_pylist(rows, to_arrow_schema(schema)).to_batches(max_chunksize=256)
+        # A shuffle partition may be of any size: it makes several slices, in its order.
+        for number, table in enumerate(_runs(batches, most)):
+            value, row = table["value"].to_numpy(), table["row"].to_numpy()
+            value = value + 0.0  # one zero
+            slice_ = (table["slice"][0].as_py() << SLICE_BITS) + number
+            new = np.zeros(len(row), bool)
+            new[0] = True
+            for name in ["variable", *keys]:
+                codes = table[name].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            begins = np.flatnonzero(new)
+            for a, b in zip(begins, np.append(begins[1:], len(row))):
+                group = {"slice": slice_, **{n: table[n][int(a)].as_py() for n in ["variable", *keys]}}
+                rows = _pieces(value[a:b], row[a:b], group)
+                for i in range(0, len(rows), 256):
+                    yield from pa.Table.from_pylist(rows[i : i + 256], to_arrow_schema(schema)).to_batches()
 
     return pack
 
@@ -129,9 +143,9 @@ def rank_moments(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     values = [F.col(c).cast("double").alias(c) for c in columns]
     numbered = stage(rows.where(usable).select(*keys, *values, F.monotonically_increasing_id().alias("row")), "numbered")
     groups = ["variable", *keys]
-    fields = [T.StructField("slice", T.IntegerType()), T.StructField("variable", T.IntegerType()), *[numbered.schema[k] for k in keys]]
+    fields = [T.StructField("slice", T.LongType()), T.StructField("variable", T.IntegerType()), *[numbered.schema[k] for k in keys]]
     packed = T.StructType([*fields, *T.StructType.fromDDL("block long, place binary, rank binary, end binary, size long, first double, n_first long, last double, n_last long").fields])
-    pieces = stage(_cells(numbered, columns, keys).mapInArrow(_pack(keys, packed), packed), "pieces")
+    pieces = stage(_cells(numbered, columns, keys).mapInArrow(_pack(keys, packed, SLICE_CELLS), packed), "pieces")
     placed = pieces.select("slice", *groups, "block", "place", "rank", "end").join(stage(_ends(pieces, groups), "ends"), ["slice", *groups])
     parts = T.StructType([*[numbered.schema[k] for k in keys], *T.StructType.fromDDL("n long, i int, j int, part double").fields])
     sums = placed.groupBy("block").applyInPandas(_products(keys, len(columns)), parts).groupBy(*keys, "n", "i", "j").agg(F.sum("part").alias("comoment"))

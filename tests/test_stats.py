@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fairtract.operators import moments, pca, resilience
+from fairtract.operators import moments, pca, rank_blocks, resilience
 
 COLUMNS = ["P_CANCER", "P_RESP", "P_DSLPM", "P_PTRAF", "DEMOGIDX_2"]
 
@@ -53,6 +53,26 @@ def test_spearman_equals_pandas(spark, tracts):
     np.testing.assert_allclose(found.loc[COLUMNS, COLUMNS], expected, atol=1e-12)
 
 
+def test_spearman_of_partitions_in_several_slices(spark, tracts, monkeypatch):
+    """A task holds a bounded run of its partition; values that many runs share keep their rank."""
+    monkeypatch.setattr(rank_blocks, "SLICE_CELLS", 20)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    packed, runs = rank_blocks._pack, []
+    monkeypatch.setattr(rank_blocks, "_pack", lambda *args: runs.append(args[2]) or packed(*args))
+    rows = tracts.assign(P_RESP=(tracts.P_RESP > 30) * 1.0, P_DSLPM=tracts.P_DSLPM.round(0))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        found = moments.spearman(spark.createDataFrame(rows), COLUMNS, ["ST_ABBREV"]).toPandas()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert runs == [20]
+    for state, own in rows.dropna(subset=COLUMNS).groupby("ST_ABBREV"):
+        part = found[found.ST_ABBREV == state].pivot(index="var1", columns="var2", values="rho").loc[COLUMNS, COLUMNS]
+        np.testing.assert_allclose(part.to_numpy(dtype=float), own[COLUMNS].corr("spearman").to_numpy(), atol=1e-9)
+
+
 def test_spearman_counts_repeated_rows(spark):
     rows = [(1.0, 2.0), (1.0, 2.0), (2.0, 1.0), (3.0, 3.0), (5.0, 4.0), (None, 4.0)]
     found = moments.spearman(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).where("var1='a' and var2='b'").head()
