@@ -100,12 +100,13 @@ def residuals(df: DataFrame, outcomes: Sequence[str], keys: Sequence[str] = ("ID
 
 @dataclass
 class LeafTable:
-    """Leaves of all trees: weighted value, and per slot a feature with its interval (low, high]."""
+    """Leaves of all trees: weighted value, per slot a feature with its interval (low, high], and the number of the tree."""
 
     value: np.ndarray
     feature: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    tree: np.ndarray | None = None
 
     @property
     def slots(self) -> int:
@@ -147,24 +148,24 @@ def leaf_table(spark, fitted: OutcomeModel) -> LeafTable:
             number, box = open_nodes.pop()
             node = by_id[number]
             if node.leftChild < 0:
-                leaves.append((weights[tree] * node.prediction, box))
+                leaves.append((weights[tree] * node.prediction, box, tree))
                 continue
             low, high = box.get(node.featureIndex, (-np.inf, np.inf))
             cut = node.threshold
             open_nodes.append((node.leftChild, {**box, node.featureIndex: (low, min(high, cut))}))
             open_nodes.append((node.rightChild, {**box, node.featureIndex: (max(low, cut), high)}))
-    slots = max(1, max(len(box) for _, box in leaves))
+    slots = max(1, max(len(box) for _, box, _ in leaves))
     shape = (len(leaves), slots)
     feature = np.zeros(shape, dtype=np.int64)
     low, high = np.full(shape, -np.inf), np.full(shape, np.inf)
-    for i, (_, box) in enumerate(leaves):
+    for i, (_, box, _) in enumerate(leaves):
         for s, (f, (a, b)) in enumerate(box.items()):
             feature[i, s], low[i, s], high[i, s] = f, a, b
-    return LeafTable(np.array([v for v, _ in leaves]), feature, low, high)
+    return LeafTable(np.array([v for v, _, _ in leaves]), feature, low, high, np.array([t for _, _, t in leaves]))
 
 
 def leaf_rows(spark, fitted: OutcomeModel) -> DataFrame:
-    """The fitted ensemble as a table that plain SQL can score: ``leaf, value, feature, low, high``.
+    """The fitted ensemble as a table that plain SQL can score: ``leaf, value, feature, low, high, tree``.
 
     A leaf has one row per feature on its path; a tract is in the leaf if each of these features
     is above ``low`` and up to ``high``. The prediction is the sum of its leaves' values. The table is
@@ -172,31 +173,88 @@ def leaf_rows(spark, fitted: OutcomeModel) -> DataFrame:
     """
     table = leaf_table(spark, fitted)
     rows = []
-    for leaf, value in enumerate(table.value.tolist()):
+    for leaf, (value, tree) in enumerate(zip(table.value.tolist(), table.tree.tolist())):
         boxes = {
             (fitted.features[f], a, b)
             for f, a, b in zip(table.feature[leaf].tolist(), table.low[leaf].tolist(), table.high[leaf].tolist())
             if a > -np.inf or b < np.inf
         }
-        rows += [(leaf, value, *box) for box in sorted(boxes)] or [(leaf, value, None, None, None)]
-    return spark.createDataFrame(rows, "leaf int, value double, feature string, low double, high double")
+        rows += [(leaf, value, *box, tree) for box in sorted(boxes)] or [(leaf, value, None, None, None, tree)]
+    return spark.createDataFrame(rows, "leaf int, value double, feature string, low double, high double, tree int")
+
+
+#: Beyond any number: a feature that is missing or not finite is in no interval.
+MOST = float(np.finfo(float).max)
+_NODE = "f:int,cut:double,left:int,right:int,value:double"
+
+
+def _nodes(leaves: list[tuple[float, dict[int, tuple[float, float]]]]) -> list[dict]:
+    """Leaves (value, intervals by feature) as nodes to walk from the first one: up to ``cut`` to the left, else to the right.
+
+    A cut that divides the leaves without splitting one is taken, as a tree's root does. Leaves of no tree are
+    split where they must.
+    """
+    nodes: list[dict] = []
+
+    def grow(own: list, region: dict) -> int:
+        at = len(nodes)
+        nodes.append({"value": 0.0})
+        best = None
+        for f, cut in sorted({(f, c) for _, box in own for f, ends in box.items() for c in ends}):
+            low, high = region.get(f, (-np.inf, np.inf))
+            if low < cut < high:
+                left = [leaf for leaf in own if leaf[1].get(f, (-np.inf, np.inf))[0] < cut]
+                right = [leaf for leaf in own if leaf[1].get(f, (-np.inf, np.inf))[1] > cut]
+                if best is None or len(left) + len(right) < best[0]:
+                    best = (len(left) + len(right), f, cut, left, right)
+        if best is None:
+            nodes[at]["value"] = math.fsum(value for value, _ in own)
+        else:
+            _, f, cut, left, right = best
+            low, high = region.get(f, (-np.inf, np.inf))
+            nodes[at] |= {"f": f, "cut": cut, "left": grow(left, {**region, f: (low, cut)}), "right": grow(right, {**region, f: (cut, high)})}
+        return at
+
+    grow(leaves, {})
+    return nodes
+
+
+def _steps(nodes: list[dict], at: int = 0) -> int:
+    node = nodes[at]
+    return 1 + max(_steps(nodes, node["left"]), _steps(nodes, node["right"])) if "f" in node else 0
 
 
 def leaf_score(leaves: DataFrame, features: Sequence[str]) -> Column:
-    """The prediction of a stored leaf table as a column over ``features``, without the model."""
-    box = F.struct(F.array_position(F.array(*map(F.lit, features)), F.col("feature")).cast("int").alias("f"), "low", "high")
-    boxes = F.collect_list(F.when(F.col("feature").isNotNull(), box))
-    listed = leaves.groupBy("leaf", "value").agg(boxes.alias("boxes")).orderBy("leaf")
-    most = float(np.finfo(float).max)
-    known = [
-        {"value": row.value, "boxes": [{"f": b.f, "low": max(b.low, -most), "high": min(b.high, most)} for b in row.boxes]}
-        for row in listed.collect()
-    ]
-    schema = "array<struct<value:double,boxes:array<struct<f:int,low:double,high:double>>>>"
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    inside = lambda leaf: F.forall(leaf["boxes"], lambda b: (F.get(x, b["f"] - 1) > b["low"]) & (F.get(x, b["f"] - 1) <= b["high"]))
-    add = lambda total, leaf: total + F.when(inside(leaf), leaf["value"]).otherwise(0.0)
-    return F.aggregate(F.from_json(F.lit(json.dumps(known)), schema), F.lit(0.0), add)
+    """The prediction of a stored leaf table as a column over ``features``, without the model.
+
+    The leaves of a tree are put together to the tree again, so that a row takes one path through each.
+    """
+    place = {name: i for i, name in enumerate(features)}
+    found: dict[int, dict[int, tuple[float, dict]]] = {}
+    for row in leaves.select("tree", "leaf", "value", "feature", "low", "high").orderBy("tree", "leaf").collect():
+        _, box = found.setdefault(row.tree, {}).setdefault(row.leaf, (row.value, {}))
+        if row.feature is not None:
+            box[place[row.feature]] = (row.low, row.high)
+    trees = [_nodes(list(own.values())) for own in found.values()]
+    steps = F.array(*map(F.lit, range(max(map(_steps, trees), default=0))))
+    known = F.from_json(F.lit(json.dumps(trees)), f"array<array<struct<{_NODE}>>>")
+    nothing = F.lit(None).cast(f"struct<{_NODE}>")
+
+    def score(x: Column) -> Column:
+        def step(tree: Column, node: Column) -> Column:
+            value = F.get(x, node["f"])
+            inside = value.between(-MOST, MOST)
+            onward = F.when(inside, F.get(tree, F.when(value <= node["cut"], node["left"]).otherwise(node["right"]))).otherwise(nothing)
+            return F.when(node["f"].isNull(), node).otherwise(onward)
+
+        def add(total: Column, tree: Column) -> Column:
+            last = F.aggregate(steps, F.get(tree, F.lit(0)), lambda node, _: step(tree, node))
+            return total + F.coalesce(last["value"], F.lit(0.0))
+
+        return F.aggregate(known, F.lit(0.0), add)
+
+    # The features are bound once a row.
+    return F.transform(F.array(F.array(*[F.col(f).cast("double") for f in features])), score)[0]
 
 
 def pattern_counts(df: DataFrame, features: Sequence[str], models: Sequence[LeafTable]) -> DataFrame:

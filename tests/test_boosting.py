@@ -45,6 +45,34 @@ def test_leaves_reproduce_the_prediction(spark, rows, models):
         )
 
 
+def test_stored_leaves_score_as_the_model_by_one_path_a_tree(spark, rows, models):
+    for fitted in models:
+        stored = boosting.leaf_rows(spark, fitted)
+        scored = boosting.predict(rows, fitted).withColumn("score", boosting.leaf_score(stored, FEATURES)).toPandas()
+        np.testing.assert_allclose(scored.score, scored[f"pred_{fitted.outcome}"], atol=1e-9)
+        # As many nodes as the trees have: no leaf is split.
+        of_tree = {}
+        for r in stored.collect():
+            of_tree.setdefault(r.tree, {}).setdefault(r.leaf, (r.value, {}))[1].update({r.feature: (r.low, r.high)} if r.feature else {})
+        assert len(of_tree) == 6
+        for own in of_tree.values():
+            assert len(boosting._nodes(list(own.values()))) == 2 * len(own) - 1
+
+
+def test_leaves_that_are_no_tree_and_odd_values(spark):
+    """A pinwheel of boxes that no cut divides; missing and non-finite values are in no box of their feature."""
+    inf = float("inf")
+    table = [(0, 1.0, "a", -inf, 2.0), (0, 1.0, "b", -inf, 1.0), (1, 2.0, "a", 2.0, inf), (1, 2.0, "b", -inf, 2.0),
+             (2, 4.0, "a", 1.0, inf), (2, 4.0, "b", 2.0, inf), (3, 8.0, "a", -inf, 1.0), (3, 8.0, "b", 1.0, inf), (4, 16.0, None, None, None)]
+    leaves = spark.createDataFrame([(*r, 0 if r[0] < 4 else 1) for r in table], "leaf int, value double, feature string, low double, high double, tree int")
+    values = [0.5, 1.0, 1.5, 2.0, 2.5, None, float("nan"), inf, -inf]
+    df = spark.createDataFrame(list(itertools.product(values, values)), "a double, b double")
+    for r in df.withColumn("score", boosting.leaf_score(leaves, ["a", "b"])).collect():
+        sure = {k: v for k, v in (("a", r.a), ("b", r.b)) if v is not None and math.isfinite(v)}
+        inside = lambda leaf: all(f is None or f in sure and low < sure[f] <= high for i, _, f, low, high in table if i == leaf)
+        assert r.score == sum({i: v for i, v, *_ in table if inside(i)}.values())
+
+
 def test_contributions_add_up_and_equal_brute_force(spark, rows, models):
     background = rows.where(F.col("ID") % 5 == 0)
     scored = rows
