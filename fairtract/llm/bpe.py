@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import cache
 
 import ahocorasick
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPLIT = re.compile(f"[{_SPACE}]+")
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
-#: Bytes of words and ids that a worker remembers before it starts anew, and the longest word that it does:
+#: Bytes of words and ids that a worker remembers, half of them met lately, and the longest word that it does:
 #: longer ones, such as whole lines of scripts without spaces or encoded data, hardly come again.
-REMEMBERED = 64_000_000
+REMEMBERED = 160_000_000
 LONGEST = 64
 #: Bytes of an entry besides its word and ids.
 ENTRY = 250
@@ -92,8 +93,10 @@ class Encoder:
         pieces = [b" " + s.encode() for s in strings]
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.append(0, np.cumsum([len(p) for p in pieces]))
+        # Words that were met lately, and those from before that.
         self.words: dict[str, bytes] = {}
-        self.room = REMEMBERED
+        self.older: dict[str, bytes] = {}
+        self.room = REMEMBERED // 2
 
     def _short(self, token: str) -> str:
         return token.removesuffix(self.end) + self.closing if token.endswith(self.end) else token
@@ -124,7 +127,7 @@ class Encoder:
     def piece(self, text: str) -> list[int]:
         """Ids of one piece of the pattern, given in byte letters with the word end."""
         whole = self.ids.get(text)
-        if whole is not None and self.formed[whole] < 0:
+        if whole is not None:
             return [whole]
         n = len(text)
         longest, length = [-1] * n, self.length
@@ -134,13 +137,18 @@ class Encoder:
                 longest[start] = token
         chain: list[int] = []
         dead = bytearray(n + 1)
+        fits, prefix = self.fits, self.prefix
         at, token = 0, longest[0]
         while at < n:
             while token >= 0:
                 stop = at + length[token]
-                if not dead[stop] and (stop == n or longest[stop] >= 0) and (not chain or self.may_follow(chain[-1], token)):
-                    break
-                token = self.prefix[token]
+                if not dead[stop] and (stop == n or longest[stop] >= 0):
+                    if not chain:
+                        break
+                    fine = fits.get((chain[-1], token))
+                    if self.may_follow(chain[-1], token) if fine is None else fine:
+                        break
+                token = prefix[token]
             if token >= 0:
                 chain.append(token)
                 at = stop
@@ -149,7 +157,7 @@ class Encoder:
                 dead[at] = 1
                 last = chain.pop()
                 at -= length[last]
-                token = self.prefix[last]
+                token = prefix[last]
         return chain
 
     def word(self, word: str) -> bytes:
@@ -160,26 +168,31 @@ class Encoder:
                 out.append(self.special[part])
                 continue
             # Letter by letter: a final sigma is like any other.
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            plain = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             for piece in self.pattern.findall(plain):
-                out += self.piece("".join([self.letters[b] for b in piece.encode()]) + self.closing)
-        return np.array(out, np.int32).tobytes()
+                # Printable ASCII stands for itself.
+                same = piece.isascii() and piece.isprintable()
+                out += self.piece((piece if same else "".join([self.letters[b] for b in piece.encode()])) + self.closing)
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         known, parts = self.words, []
         for word in _SPLIT.split(text) if _ONLY_PYTHON.search(text) else text.split():
             ids = known.get(word)
             if ids is None:
-                ids = self.word(word)
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = self.word(word)
                 if len(word) <= LONGEST:
                     self.remember(word, ids)
+                    known = self.words
             parts.append(ids)
         return b"".join(parts)
 
     def remember(self, word: str, ids: bytes) -> None:
         if self.room <= 0:
-            self.words.clear()
-            self.room = REMEMBERED
+            self.older, self.words = self.words, {}
+            self.room = REMEMBERED // 2
         self.words[word] = ids
         self.room -= ENTRY + 4 * len(word) + len(ids)
 

@@ -72,6 +72,18 @@ def test_word_memory_is_bounded_in_bytes(library, monkeypatch):
         assert max(map(len, code.words)) <= bpe.LONGEST
 
 
+def test_words_that_come_again_outlast_rare_ones(monkeypatch):
+    """When the memory is full, rare words go and a word that comes again and again stays."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 10_000)
+    code, encoded = bpe.Encoder(PATH), []
+    plain = code.word
+    monkeypatch.setattr(code, "word", lambda word: encoded.append(word) or plain(word))
+    for i in range(500):
+        code.encode(f"w{i} again")
+    assert encoded.count("again") == 1 and len(encoded) == 501
+    assert len(code.words) + len(code.older) <= 10_000 // bpe.ENTRY + 2
+
+
 # ---- quality -----------------------------------------------------------------------------------
 
 
