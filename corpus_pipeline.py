@@ -12,7 +12,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with bands fitted on a bounded sample of labelled ones."""
+    """Documents that the quality rules keep, with bands fitted on all labelled good ones."""
     bands = quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.is_kept(F.col("text"), bands))
 
