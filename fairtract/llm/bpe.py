@@ -11,6 +11,7 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -20,12 +21,12 @@ _SPLIT = re.compile(f"[{_SPACE}]+")
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
 #: Bytes of words and ids that a worker remembers, half of them met lately, and the longest word that it does:
 #: longer ones, such as whole lines of scripts without spaces or encoded data, hardly come again.
-REMEMBERED = 160_000_000
+REMEMBERED = 96_000_000
 LONGEST = 64
 #: Bytes of an entry besides its word and ids.
 ENTRY = 250
-#: Characters that are encoded into one batch of results.
-BATCH_CHARS = 4_000_000
+#: Characters that are encoded into one batch of results: decoding takes some thirty bytes for each while it runs.
+BATCH_CHARS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -209,7 +210,8 @@ class Encoder:
         sizes[leads] -= 1
         ends = np.cumsum(sizes)
         bounds = np.append(0, ends)[first]
-        source = np.arange(bounds[-1]) + np.repeat(starts - (ends - sizes), sizes)
+        source = np.repeat(starts - (ends - sizes), sizes)
+        source += np.arange(len(source))
         return self.table[source], bounds
 
 
@@ -218,26 +220,27 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(texts: list[str]):
-    """Bounds of runs of whole texts of about BATCH_CHARS."""
+def _slices(sizes: list[int | None]):
+    """Bounds of runs of whole texts of about BATCH_CHARS, by their numbers of characters."""
     start, chars = 0, 0
-    for i, text in enumerate(texts):
-        chars += len(text)
+    for i, size in enumerate(sizes):
+        chars += size or 0
         if chars >= BATCH_CHARS:
             yield start, i + 1
             start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _coded(path: str):
     def coded(batches):
         code = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             rest = [n for n in batch.schema.names if n != "text"]
-            for a, b in _slices(texts):
-                parts = [code.encode(t) for t in texts[a:b]]
+            # Only the texts of a run become Python strings at once.
+            for a, b in _slices(pc.utf8_length(batch.column("text")).to_pylist()):
+                own = batch.slice(a, b - a)
+                parts = [code.encode(t or "") for t in own.column("text").to_pylist()]
                 first = np.append(0, np.cumsum([len(p) // 4 for p in parts]))
                 ids = np.frombuffer(b"".join(parts), np.int32)
                 body, bounds = code.decode(ids, first)
@@ -245,7 +248,6 @@ def _coded(path: str):
                     pa.string(), b - a, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body)]
                 )
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
-                own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*(own.column(n) for n in rest), lists, decoded], [*rest, "ids", "decoded"]
                 )

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -84,6 +86,24 @@ def test_words_that_come_again_outlast_rare_ones(monkeypatch):
     assert len(code.words) + len(code.older) <= 10_000 // bpe.ENTRY + 2
 
 
+def test_memory_of_a_batch_is_bounded(monkeypatch):
+    """A batch of large texts is encoded in runs, of which each frees what it took to decode the one before."""
+    texts = [None, "", *["again and again " * 625] * 400]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(402)), "text": texts})
+    coded = bpe._coded(PATH)
+    bpe.encoder(PATH)
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in coded([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 402 and peak < 40_000_000
+    found = pa.Table.from_batches(coded([batch]))
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 10**9)
+    assert found.equals(pa.Table.from_batches(coded([batch])))
+
+
 # ---- quality -----------------------------------------------------------------------------------
 
 
