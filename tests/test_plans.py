@@ -133,3 +133,11 @@ def test_staging_needs_a_shared_folder_on_a_cluster():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context)
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_dir(cluster)
+
+
+def test_order_lines_are_summed_after_the_shuffle(spark):
+    """An order has few lines: summing them before the shuffle takes memory for nearly all rows that a task reads."""
+    lines = plan_of(tables.raw(spark, SF_DIR)).splitlines()
+    shuffle = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(l_orderkey" in line)
+    scan = next(i for i in range(shuffle, len(lines)) if "Scan parquet" in lines[i])
+    assert not any("HashAggregate" in line for line in lines[shuffle:scan])

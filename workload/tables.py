@@ -64,8 +64,11 @@ def _when(condition: Column, value: Column) -> Column:
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the sums that become indicators."""
+    # An order has few lines, so summing them before the shuffle would take a sort of nearly all rows, on disk if
+    # a task reads many. Shuffled by order first, each task sums a bounded part in memory.
     lines = (
         table(spark, sf_dir, "lineitem")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey")
         .agg(
             F.count("*").alias("n_lines"),
